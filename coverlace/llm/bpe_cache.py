@@ -1,0 +1,36 @@
+"""Splitting at lone spaces, so that a text's pieces can be looked up in a table of pieces seen before.
+
+The GPT-2 pattern never joins what stands before a lone space with what follows it, and the space itself opens the
+next match. So a text without a run of two spaces is the concatenation of its space-separated pieces, each taken with
+its leading space; other texts are split by the pattern itself.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+
+class PieceTable(dict):
+    """piece (without its leading space) -> encoded bytes; bounded, refilled on demand by ``encode(b" " + piece)``."""
+
+    def __init__(self, encode: Callable[[str], bytes], bound: int = 600_000, longest: int = 64):
+        super().__init__()
+        self.encode, self.bound, self.longest = encode, bound, longest
+
+    def __missing__(self, piece: str) -> bytes:
+        out = self.encode(" " + piece)
+        if len(piece) <= self.longest:
+            if len(self) >= self.bound:
+                self.clear()
+            self[piece] = out
+        return out
+
+    def text(self, text: str) -> bytes:
+        """Encoding of a whole text."""
+        if not text:
+            return b""
+        if "  " in text:
+            return self.encode(text)
+        first, *rest = text.split(" ")
+        out = b"".join(map(self.__getitem__, rest))
+        return (self.encode(first) + out) if first else out
