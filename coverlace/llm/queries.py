@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coverlace.llm import bpe, packing, simhash
+from coverlace.llm import bpe, dedup, packing, simhash
 from coverlace.llm.common import documents
 
 
@@ -16,6 +16,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.digests(documents(spark, sf_dir))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(documents(spark, sf_dir), words=3, errors=3)
 
@@ -31,7 +35,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_simhash, op6_bpe, op9_packing)}
+    return {f.__name__: f for f in (op3_suffix_dedup, op5_simhash, op6_bpe, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
