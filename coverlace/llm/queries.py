@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coverlace.llm import bpe, dedup, packing, simhash
+from coverlace.llm import bpe, dedup, minhash, packing, simhash
 from coverlace.llm.common import documents
 
 
@@ -34,8 +34,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), width=1024)
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.edited_fingerprints(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_suffix_dedup, op5_simhash, op6_bpe, op9_packing)}
+    return {f.__name__: f for f in (op3_suffix_dedup, op5_simhash, op6_bpe, op9_packing, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
