@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import functools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,30 +21,39 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coverlace.llm.bpe_cache import PieceTable
+from coverlace.llm.bpe import piece_table
 from coverlace.session import materialize
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 @functools.lru_cache(maxsize=2)
-def _table(path: str) -> PieceTable:
+def _special(path: str) -> tuple[list[str], Callable[[str], bytes]]:
+    """The tokenizer's added tokens, and its own encoding of texts that hold one."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     if t.get_vocab_size() > 1 << 16:
         raise ValueError("ids are stored in 16 bits")
-    return PieceTable(lambda s: np.array(t.encode(s, add_special_tokens=False).ids, dtype="<u2").tobytes())
+    return [x.content for x in t.get_added_tokens_decoder().values()], lambda s: np.array(t.encode(s, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
 
-def encoded(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
+def encode_texts(texts: list[str | None], path: str, pattern: str) -> list[bytes]:
+    """Ids of whole texts as little-endian 16-bit integers, as the tokenizer in ``path`` gives them."""
+    added, own = _special(path)
+    special = {k: own(t) for k, t in enumerate(texts) if t and any(x in t for x in added)}
+    plain = piece_table(path, pattern, "<u2").texts(["" if k in special else t for k, t in enumerate(texts)])
+    return [special.get(k, x) for k, x in enumerate(plain)]
+
+
+def encoded(docs: DataFrame, path: str, pattern: str, end_id: int = 0) -> DataFrame:
     """(part, local_start, doc_id, n, ids): ids as little-endian 16-bit integers with the end id."""
     end = np.array([end_id], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, part, at = _table(path), TaskContext.get().partitionId(), 0
+        part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            blobs = [table.text(t or "") + end for t in batch.column("text").to_pylist()]
+            blobs = [x + end for x in encode_texts(batch.column("text").to_pylist(), path, pattern)]
             n = np.array([len(b) // 2 for b in blobs], np.int64)
             starts = at + np.cumsum(n) - n
             at += int(n.sum())
@@ -73,10 +82,10 @@ def cut(start: int, n: int, width: int, full: int, tail: np.ndarray) -> tuple[np
     return begins, ends, seq, offset
 
 
-def pack(docs: DataFrame, path: str, width: int = 1024, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, path: str, pattern: str, width: int = 1024, end_id: int = 0) -> DataFrame:
     """One row per piece of a document in a sequence of at most ``width`` ids."""
     spark = docs.sparkSession
-    tokens = materialize(encoded(docs, path, end_id), "tokens")
+    tokens = materialize(encoded(docs, path, pattern, end_id), "tokens")
     totals = sorted(tokens.groupBy("part").agg(F.sum("n")).collect())  # one row a partition
     ends = np.cumsum([x[1] for x in totals], dtype=np.int64)
     total = int(ends[-1]) if totals else 0

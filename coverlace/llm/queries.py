@@ -10,10 +10,11 @@ from coverlace.llm import bpe, dedup, minhash, packing, simhash
 from coverlace.llm.common import documents
 
 
-def tokenizer_path(name: str) -> str:
+def tokenizer(name: str) -> tuple[str, str]:
+    """Path of a public vocabulary file and the pattern that splits texts for it."""
     import public_tokenizers
 
-    return public_tokenizers.path(name)
+    return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,13 +26,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    return bpe.digests(documents(spark, sf_dir), tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.digests(documents(spark, sf_dir), *tokenizer("byte_bpe_multi_50k.tiktoken"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), width=1024)
+    return packing.pack(documents(spark, sf_dir), *tokenizer("byte_bpe_50k.json"), width=1024)
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
