@@ -49,3 +49,18 @@ def unpack6(blob: bytes) -> np.ndarray:
 def text_list(column) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column; null as empty."""
     return [b"" if x is None else x for x in column.cast("binary").to_pylist()]
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Ascending integers as differences of as many bytes as the largest needs; the first byte says how many."""
+    steps = np.diff(values.astype(np.uint64), prepend=np.uint64(0))
+    width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
+    raw = np.ascontiguousarray(steps, "<u8").view(np.uint8).reshape(-1, 8)
+    return bytes([width]) + np.ascontiguousarray(raw[:, :width]).tobytes()
+
+
+def unpack_sorted(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, blob[0])
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, : blob[0]] = raw
+    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coverlace.llm import bpe, dedup, minhash, packing, simhash
-from coverlace.llm.common import documents
+from coverlace.llm import bpe, dedup, extract, lm, minhash, packing, simhash, toxicity, urls
+from coverlace.llm.common import documents, pages
 
 
 def tokenizer(name: str) -> tuple[str, str]:
@@ -17,6 +17,26 @@ def tokenizer(name: str) -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
+#: (verdict, host, beginning of the path)
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op1_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_texts(pages(spark, sf_dir))
+
+
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(documents(spark, sf_dir), order=3)
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.verdicts(pages(spark, sf_dir), URL_RULES)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predictions(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.digests(documents(spark, sf_dir))
 
@@ -38,7 +58,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_suffix_dedup, op5_simhash, op6_bpe, op9_packing, op10_minhash)}
+    return {f.__name__: f for f in (op1_extract, op2_lm_scores, op3_suffix_dedup, op4_url_filters, op5_simhash, op6_bpe, op8_toxicity, op9_packing, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
