@@ -24,9 +24,11 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(F.col(column)).cast("long"))).first()[0] or 0)
 
 
-def sharded(docs: DataFrame, n_shards: int) -> DataFrame:
-    """(shard, doc_id, text): shards are even whatever the ids are, and a row's shard depends on the row alone."""
-    return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_shards)).cast("int").alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+def sharded(docs: DataFrame, n_shards: int, carry: list[str] | None = None) -> DataFrame:
+    """(shard, doc_id, text, and the columns in ``carry`` as one struct): shards are even whatever the ids are, and a
+    row's shard depends on the row alone."""
+    more = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []
+    return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_shards)).cast("int").alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
 
 
 def n_shards_for(total_bytes: int, shard_bytes: int) -> int:

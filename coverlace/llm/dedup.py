@@ -27,7 +27,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from coverlace.llm.common import n_shards_for, pack6, sharded, text_bytes, unpack6
 from coverlace.llm.suffix import plcp_at_least, suffix_array
@@ -130,6 +130,7 @@ class Shard:
         ids = table["doc_id"].to_pylist()
         datas = [b"" if x is None else x for x in table["text"].cast(pa.large_binary()).to_pylist()]
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, datas[i]))
+        self.order = order
         self.ids = [ids[i] for i in order]
         self.datas = [datas[i] for i in order]
         self.rank = np.array([LAST if i is None else i for i in self.ids], np.int64)
@@ -352,28 +353,27 @@ def _marked(s: Shard, told: pa.Table, buckets: int) -> np.ndarray:
     return gone
 
 
-def _finish(docs: DataFrame, schema: str, of: Callable[[Shard, np.ndarray], pa.Table], n_bytes: int | None = None) -> DataFrame:
-    total = text_bytes(docs) if n_bytes is None else n_bytes
-    shards = n_shards_for(total, SHARD_BYTES)
+def _finish(docs: DataFrame, schema, of: Callable[[pa.Table, Shard, np.ndarray], pa.Table], carry: list[str] | None = None) -> DataFrame:
+    shards = n_shards_for(text_bytes(docs), SHARD_BYTES)
     buckets = max(1, -(-shards // 2))
-    texts = sharded(docs, shards)
-    by_shard = lambda: texts.groupBy("shard")
-    values = by_shard().applyInArrow(_send_values(buckets), SENT)
+    texts = sharded(docs, shards, carry)
+    plain = texts.select("shard", "doc_id", "text") if carry else texts
+    values = plain.groupBy("shard").applyInArrow(_send_values(buckets), SENT)
     shared = values.groupBy("bucket").applyInArrow(_answer_values, SENT)
-    strings = by_shard().cogroup(shared.groupBy("shard")).applyInArrow(_send_strings(buckets), SENT)
+    strings = plain.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(_send_strings(buckets), SENT)
     answers = strings.groupBy("bucket").applyInArrow(_answer_strings, SENT)
 
     def last(t: pa.Table, told: pa.Table) -> pa.Table:
         s = Shard(t, buckets)
-        return of(s, _marked(s, told, buckets))
+        return of(t, s, _marked(s, told, buckets))
 
-    return by_shard().cogroup(answers.groupBy("shard")).applyInArrow(last, schema)
+    return texts.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(last, schema)
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``docs``."""
 
-    def of(s: Shard, gone: np.ndarray) -> pa.Table:
+    def of(_: pa.Table, s: Shard, gone: np.ndarray) -> pa.Table:
         removed, spans, sha, at = [], [], [], 0
         for data in s.datas:
             g = gone[at : at + len(data)]
@@ -387,16 +387,28 @@ def digests(docs: DataFrame) -> DataFrame:
     return _finish(docs, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", of)
 
 
-def kept_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, text (what is left, bytes of a cut character left out), n_removed, for every row of ``docs``."""
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with what is left of the texts (the bytes of a cut character left out) and n_chars to match.
 
-    def of(s: Shard, gone: np.ndarray) -> pa.Table:
-        texts, removed, at = [], [], 0
+    All rows stay, also those of which nothing is left.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+
+    def of(t: pa.Table, s: Shard, gone: np.ndarray) -> pa.Table:
+        texts, at = [], 0
         for data in s.datas:
             g = gone[at : at + len(data)]
             at += len(data)
-            removed.append(int(np.count_nonzero(g)))
-            texts.append(np.frombuffer(data, np.uint8)[~g].tobytes().decode("utf-8", "ignore"))
-        return pa.table({"doc_id": pa.array(s.ids, pa.int64()), "text": pa.array(texts, pa.string()), "n_removed": pa.array(removed, pa.int64())})
-
-    return _finish(docs, "doc_id long, text string, n_removed long", of)
+            texts.append((np.frombuffer(data, np.uint8)[~g].tobytes() if g.any() else data).decode("utf-8", "ignore"))
+        rows = t.take(pa.array(s.order, pa.int64()))
+        carried = rows["carried"].combine_chunks() if others else None
+        cols = {"doc_id": rows["doc_id"], "text": pa.array(texts, pa.string())}
+        for k, c in enumerate(others):
+            cols[c] = carried.field(k)
+        if "n_chars" in cols:
+            cols["n_chars"] = pa.array([len(x) for x in texts], pa.int64())
+        return pa.table([cols[c] for c in docs_columns], names=docs_columns)
+
+    docs_columns = docs.columns
+    schema = StructType([StructField(f.name, LongType() if f.name in ("doc_id", "n_chars") else f.dataType) for f in docs.schema.fields])
+    return _finish(docs, schema, of, others)

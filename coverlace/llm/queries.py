@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coverlace.llm import bpe, dedup, extract, lm, minhash, packing, simhash, toxicity, urls
+from coverlace.llm import audio, bpe, dedup, extract, lm, minhash, packing, simhash, toxicity, urls
 from coverlace.llm.common import documents, pages
 
 
@@ -33,6 +33,11 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.verdicts(pages(spark, sf_dir), URL_RULES)
 
 
+def op7_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tunes rendered from the whole table of embeddings, queries every row whose id is divisible by 20."""
+    return audio.searches(audio.rendered(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -58,7 +63,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_extract, op2_lm_scores, op3_suffix_dedup, op4_url_filters, op5_simhash, op6_bpe, op8_toxicity, op9_packing, op10_minhash)}
+    return {f.__name__: f for f in (op1_extract, op2_lm_scores, op3_suffix_dedup, op4_url_filters, op5_simhash, op6_bpe, op7_chroma, op8_toxicity, op9_packing, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coverlace.llm.common import text_list
@@ -189,53 +189,142 @@ def dealt_tries(keys: np.ndarray, p: np.ndarray, q: np.ndarray, width: int, erro
     return out
 
 
-LINKS = "a long, b long"
-
-
-def links(distinct_fp: DataFrame, errors: int = 3) -> DataFrame:
-    """(a, b): links whose components are those of all pairs of ``distinct_fp`` within ``errors`` bits."""
-    spark = distinct_fp.sparkSession
+def links(prints: DataFrame, errors: int = 3) -> DataFrame:
+    """(tab, a, b): links whose components are those of all pairs of ``prints`` (tab, fp; distinct rows) of one table
+    within ``errors`` bits."""
+    spark = prints.sparkSession
     blocks, width = errors + 1, 64 // (errors + 1)
-    n = distinct_fp.count()
+    n = prints.count()
     turned = lambda b: F.shiftleft("fp", b * width).bitwiseOR(F.shiftrightunsigned("fp", 64 - b * width)) if b else F.col("fp")
-    each = distinct_fp.select("fp", F.explode(F.array(*[F.struct(F.lit(b).alias("block"), turned(b).alias("key")) for b in range(blocks)])).alias("x"))
-    each = each.select(F.col("x.block").alias("block"), F.col("x.key").alias("key"), F.shiftrightunsigned("x.key", 64 - width).alias("head"))
+    each = prints.select("tab", F.explode(F.array(*[F.struct(F.lit(b).alias("block"), turned(b).alias("key")) for b in range(blocks)])).alias("x"))
+    each = each.select("tab", F.col("x.block").alias("block"), F.col("x.key").alias("key"), F.shiftrightunsigned("x.key", 64 - width).alias("head"))
     node = F.shiftrightunsigned("key", 64 - width - SPLIT_BITS).bitwiseAND((1 << SPLIT_BITS) - 1).cast("int")
-    # At most blocks * 2**width heads exist, so the broadcast table is bounded whatever the input.
-    hot = each.groupBy("block", "head").count().where(F.col("count") > HOT_TRIE).select("block", "head", F.lit(True).alias("hot"))
+    # At most tables * blocks * 2**width heads exist, so the broadcast table is bounded whatever the input.
+    hot = each.groupBy("tab", "block", "head").count().where(F.col("count") > HOT_TRIE).select("tab", "block", "head", F.lit(True).alias("hot"))
     near = F.filter(F.sequence(F.lit(0), F.lit((1 << SPLIT_BITS) - 1)), lambda q: F.bit_count(q.bitwiseXOR(F.col("node"))) <= errors)
-    dealt = each.join(F.broadcast(hot), ["block", "head"], "left").withColumn("node", node)
+    dealt = each.join(F.broadcast(hot), ["tab", "block", "head"], "left").withColumn("node", node)
     dealt = dealt.withColumn("other", F.explode(F.when(F.col("hot"), near).otherwise(F.array(F.lit(-1)))))
     lo = F.when(F.col("other") < 0, -1).otherwise(F.least("node", "other"))
     hi = F.when(F.col("other") < 0, -1).otherwise(F.greatest("node", "other"))
     tasks = max(1, -(-n * blocks // TASK_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = dealt.select("block", "key", lo.alias("lo"), hi.alias("hi"), F.pmod(F.xxhash64("block", "head", lo, hi), F.lit(tasks)).cast("int").alias("task"))
+    dealt = dealt.select("tab", "block", "key", lo.alias("lo"), hi.alias("hi"), F.pmod(F.xxhash64("tab", "block", "head", lo, hi), F.lit(tasks)).cast("int").alias("task"))
 
     def run(t: pa.Table) -> pa.Table:
-        block, keys = t["block"].to_numpy(), t["key"].to_numpy().view(np.uint64)
+        kind, keys = t["tab"].to_numpy().astype(np.int64) * blocks + t["block"].to_numpy(), t["key"].to_numpy().view(np.uint64)
         p, q = t["lo"].to_numpy(), t["hi"].to_numpy()
         found = []
-        for b in np.unique(block):
-            back = np.full(1, (64 - b * width) % 64)
+        for k in np.unique(kind):
+            back = np.full(1, (64 - (k % blocks) * width) % 64)
             for is_dealt in (False, True):
-                pick = (block == b) & ((p >= 0) == is_dealt)
+                pick = (kind == k) & ((p >= 0) == is_dealt)
                 if pick.any():
                     pairs = dealt_tries(keys[pick], p[pick], q[pick], width, errors) if is_dealt else [whole_tries(keys[pick], width, errors)]
-                    found += [(_rotated(x, back), _rotated(y, back)) for x, y in pairs]
-        a = np.concatenate([x for x, _ in found] or [np.zeros(0, np.uint64)]).view(np.int64)
-        b = np.concatenate([y for _, y in found] or [np.zeros(0, np.uint64)]).view(np.int64)
-        return pa.table({"a": a, "b": b})
+                    found += [(k // blocks, _rotated(x, back), _rotated(y, back)) for x, y in pairs]
+        none = [np.zeros(0, np.uint64)]
+        tab = np.concatenate([np.full(len(x), k) for k, x, _ in found] or [np.zeros(0)]).astype(np.int32)
+        a, b = (np.concatenate([f[c] for f in found] or none).view(np.int64) for c in (1, 2))
+        return pa.table({"tab": tab, "a": a, "b": b})
 
-    return dealt.groupBy("task").applyInArrow(run, LINKS)
+    return dealt.groupBy("task").applyInArrow(run, "tab int, a long, b long")
 
 
 def classes(docs: DataFrame, words: int = 3, errors: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the least doc_id reachable by links of ``errors`` bits."""
     prints = materialize(fingerprints(docs, words), "simhash")
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    comps = connected_components(links(least.select("fp"), errors), "a", "b")
+    comps = connected_components(links(least.select(F.lit(0).alias("tab"), "fp"), errors), "a", "b")
     placed = least.join(comps, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
     ids = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
     by_fp = placed.join(ids, "component").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return prints.join(by_fp, "fp").select("doc_id", hexed, "component_id")
+
+
+# Near copies by shared shingles --------------------------------------------------------------------------------------
+
+#: Independent fingerprints of a document's set of words. Few changed words leave most tables within three bits.
+TABLES = 8
+#: Least shingle hashes that a sketch keeps; texts of fewer shingles are compared exactly.
+SKETCH = 256
+_ODD, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
+
+
+def word_set_fingerprints(data: bytes, tables: int = TABLES) -> list[int]:
+    """SimHashes of the set of words, one per table, as signed longs."""
+    from xxhash import xxh64_intdigest
+
+    words = set(data.lower().split())
+    h = np.fromiter((xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
+    out = np.zeros(tables, np.uint64)
+    for k in range(tables):
+        g = h * np.uint64(_ODD * (2 * k + 1) % (1 << 64))
+        g = (g ^ (g >> np.uint64(29))) * _MIX
+        out[k] = majority(g ^ (g >> np.uint64(32)))
+    return out.view(np.int64).tolist()
+
+
+def sketch(data: bytes, k: int, size: int = SKETCH) -> bytes:
+    """The least hashes (the upper 32 bits of them) of the set of k-word shingles, ascending."""
+    from xxhash import xxh64_intdigest
+
+    s = set(shingles(data, k))
+    h = np.unique(np.fromiter((xxh64_intdigest(x, 7) >> 32 for x in s), np.uint32, len(s)))
+    return h[:size].astype("<u4").tobytes()
+
+
+def sketch_similarity(a: bytes, b: bytes, size: int = SKETCH) -> float:
+    """Jaccard similarity from the least hashes of the union; exact where both sets are smaller than a sketch."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    union = np.union1d(x, y)
+    if not len(union):
+        return 1.0
+    if len(x) >= size or len(y) >= size:
+        union = union[:size]
+    return float(np.isin(union, np.intersect1d(x, y)).mean())
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, errors: int = 3) -> DataFrame:
+    """(digest, kept_id, component): one row per different text, with its group's least digest and least doc_id.
+
+    Candidates come from the tries of all tables; a candidate counts if the shingles of both texts are ``similarity``
+    alike. Equal texts are one from the start.
+    """
+    import hashlib
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = text_list(batch.column("text"))
+            cols = [pa.array([hashlib.sha256(t).hexdigest()[:32] for t in texts]), pa.array([word_set_fingerprints(t) for t in texts], pa.list_(pa.int64())), pa.array([sketch(t, words) for t in texts], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *cols], names=["doc_id", "digest", "fps", "sketch"])
+
+    rows = materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest string, fps array<long>, sketch binary"), "words")
+    texts = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("fps").alias("fps"), F.min("sketch").alias("sketch"))
+    texts = materialize(texts, "texts")
+    entries = texts.select("digest", F.posexplode("fps").alias("tab", "fp"))
+    least = materialize(entries.groupBy("tab", "fp").agg(F.min("digest").alias("rep")), "classes")
+    same = entries.join(least, ["tab", "fp"]).where("digest != rep").select(F.col("digest").alias("a"), F.col("rep").alias("b"))
+    of = lambda c: least.select("tab", F.col("fp").alias(c), F.col("rep").alias(f"rep_{c}"))
+    across = links(least.select("tab", "fp"), errors).join(of("a"), ["tab", "a"]).join(of("b"), ["tab", "b"]).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    pairs = same.unionByName(across).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    own = lambda c: texts.select(F.col("digest").alias(c), F.col("sketch").alias(f"sketch_{c}"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = [sketch_similarity(x, y) >= similarity for x, y in zip(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist())]
+            yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    edges = pairs.join(own("a"), "a").join(own("b"), "b").mapInArrow(verify, "a string, b string")
+    comps = connected_components(edges, "a", "b")
+    placed = texts.join(comps, F.col("digest") == F.col("node"), "left").select("digest", "doc_id", F.coalesce("component", "digest").alias("component"))
+    kept = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("k"))
+    return placed.join(kept, "component").select("digest", "component", F.col("k.doc_id").alias("kept_id"), (F.col("digest") == F.col("k.digest")).alias("kept"))
+
+
+def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of near copies: the one with the least doc_id, repeated rows once."""
+    digest = F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32)
+    kept = near_copies(docs.select("doc_id", "text"), words, similarity).where("kept").select(F.col("kept_id").alias("__id"), F.col("digest").alias("__digest"))
+    named = docs.withColumn("__digest", digest)
+    found = named.join(kept.withColumnRenamed("__digest", "__kept"), (F.col("__digest") == F.col("__kept")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    once = found.withColumn("__nth", F.row_number().over(Window.partitionBy("__digest").orderBy("doc_id"))).where("__nth = 1")
+    return once.select(*docs.columns)
