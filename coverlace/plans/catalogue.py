@@ -1,19 +1,792 @@
-"""Registered queries of the analytics engine and the SQL that each must equal."""
+"""Registered queries of the analytics engine and the SQL that each must equal.
+
+All queries read whole tables. Points are customers (account balance, missing for every seventh, and mean order total),
+suppliers (balance) or embeddings; panels are users by week of the events. Doubles are rounded to six digits on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from coverlace.functions.hashing import gaussian_matrix
+from coverlace.operators import clustering, cover, diagnostics, graph, panel, preprocess, profile, project, stability, stats
+from coverlace.operators.preprocess import Impute, OneHot, Preprocessing
+from coverlace.plans import sweep
+from coverlace.plans.config import SweepConfig
+from coverlace.session import checkpoint, materialize
+from coverlace.sources import tables
+
+EPS, TAU = 0.2, 0.3
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c, name: str | None = None):
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c, 6).alias(name) if name else F.round(c, 6)
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(f.name, 6).alias(f.name) if f.dataType.simpleString() in ("double", "float") else F.col(f.name) for f in df.schema.fields])
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# Points --------------------------------------------------------------------------------------------------------------
+
+
+def customers(spark: SparkSession, d: str) -> DataFrame:
+    """node_id, custkey, segment, nation, a (balance with gaps), b (mean order total with natural gaps)."""
+    totals = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.avg("o_totalprice").alias("b"))
+    rows = read(spark, d, "customer").join(totals, "c_custkey", "left")
+    rows = rows.select("c_custkey", F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"), F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal")).alias("a"), "b")
+    return tables.with_node_id(rows, "c_custkey")
+
+
+CUSTOMERS = """base AS (SELECT row_number() OVER (ORDER BY c.c_custkey) - 1 AS node_id, c.c_custkey, c.c_mktsegment AS segment, c.c_nationkey AS nation,
+  CASE WHEN c.c_custkey % 7 <> 0 THEN c.c_acctbal END AS a, o.b AS b
+  FROM customer c LEFT JOIN (SELECT o_custkey, avg(o_totalprice) AS b FROM orders GROUP BY 1) o ON o.o_custkey = c.c_custkey)"""
+POINTS = CUSTOMERS + """, imp AS (SELECT node_id, coalesce(a, avg(a) OVER ()) AS a, coalesce(b, avg(b) OVER ()) AS b FROM base),
+  pts AS MATERIALIZED (SELECT node_id, (a - avg(a) OVER ()) / stddev_pop(a) OVER () AS x, (b - avg(b) OVER ()) / stddev_pop(b) OVER () AS y FROM imp)"""
+MEAN = Preprocessing(impute={"a": Impute("fill_mean"), "b": Impute("fill_mean")})
+
+
+def points(spark: SparkSession, d: str) -> DataFrame:
+    clean, _ = preprocess.preprocess(customers(spark, d).select("node_id", "a", "b"), MEAN)
+    scaled = project.Scaler.fit(clean, ["a", "b"]).transform(clean, ["a", "b"])
+    return materialize(preprocess.as_points(scaled, ["a", "b"]), "points")
+
+
+def one_map(pts: DataFrame, eps: float = EPS) -> DataFrame:
+    return cover.map_grid(pts.select(F.lit(0).alias("emb_id"), "node_id", "v"), [eps])
+
+
+def covered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    maps = one_map(points(spark, d))
+    balls = cover.centres(maps)
+    return maps, balls, materialize(cover.membership(maps, balls), "members")
+
+
+COVER = f"""WITH RECURSIVE {POINTS},
+  g AS (SELECT node_id AS i, [node_id] AS ids, [x] AS xs, [y] AS ys FROM pts WHERE node_id = 0
+    UNION ALL
+    SELECT i, CASE WHEN hit THEN ids ELSE list_append(ids, i) END, CASE WHEN hit THEN xs ELSE list_append(xs, x) END, CASE WHEN hit THEN ys ELSE list_append(ys, y) END
+    FROM (SELECT p.node_id AS i, p.x, p.y, g.ids, g.xs, g.ys, len(list_filter(range(1, len(g.xs) + 1), lambda k: (p.x - g.xs[k]) * (p.x - g.xs[k]) + (p.y - g.ys[k]) * (p.y - g.ys[k]) <= {EPS}::DOUBLE * {EPS}::DOUBLE)) > 0 AS hit
+      FROM g JOIN pts p ON p.node_id = g.i + 1)),
+  centers AS MATERIALIZED (SELECT row_number() OVER (ORDER BY center_id) - 1 AS ball_id, center_id FROM (SELECT unnest(ids) AS center_id FROM g WHERE i = (SELECT max(node_id) FROM pts))),
+  members AS MATERIALIZED (SELECT c.ball_id, p.node_id FROM centers c JOIN pts q ON q.node_id = c.center_id JOIN pts p
+    ON (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) <= {EPS}::DOUBLE * {EPS}::DOUBLE)"""
+GRAPH = COVER + """, deg AS (SELECT node_id, count(*) AS d FROM members GROUP BY 1),
+  cooc AS (SELECT a.node_id AS i, b.node_id AS j, count(*) AS c FROM members a JOIN members b ON a.ball_id = b.ball_id AND a.node_id < b.node_id GROUP BY 1, 2),
+  edges AS MATERIALIZED (SELECT i, j, c::DOUBLE / (x.d + y.d - c) AS w FROM cooc JOIN deg x ON x.node_id = i JOIN deg y ON y.node_id = j)"""
+
+
+def customer_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int]:
+    _, _, members = covered(spark, d)
+    nodes = read(spark, d, "customer")
+    nodes = materialize(tables.with_node_id(nodes.select("c_custkey"), "c_custkey"), "nodes")
+    return nodes, materialize(graph.exact_graph(graph.global_balls(members)), "edges"), nodes.count()
+
+
+@query(f"WITH {CUSTOMERS} SELECT node_id, c_custkey FROM base")
+def scan_node_ids(spark, d):
+    return customers(spark, d).select("node_id", "c_custkey")
+
+
+# Preprocessing -------------------------------------------------------------------------------------------------------
+
+
+def _imputed(method: str) -> Query:
+    def f(spark, d):
+        spec = Preprocessing(impute={"a": Impute(method), "b": Impute(method)})
+        return rounded(preprocess.preprocess(customers(spark, d).select("node_id", "a", "b"), spec)[0])
+
+    return f
+
+
+for _m, _f in (("mean", "avg"), ("median", "median")):
+    QUERIES[f"impute_{_m}"] = _imputed(f"fill_{_m}")
+    SQL[f"impute_{_m}"] = f"WITH {CUSTOMERS} SELECT node_id, round(coalesce(a, {_f}(a) OVER ()), 6) AS a, round(coalesce(b, {_f}(b) OVER ()), 6) AS b, (a IS NULL)::INT::DOUBLE AS a_was_missing, (b IS NULL)::INT::DOUBLE AS b_was_missing FROM base"
+QUERIES["impute_sample_normal"] = _imputed("sample_normal")
+
+
+@query(f"WITH {CUSTOMERS}, top AS (SELECT segment FROM base WHERE c_custkey % 5 <> 0 GROUP BY 1 ORDER BY count(*) DESC, segment LIMIT 1) SELECT node_id, CASE WHEN c_custkey % 5 = 0 THEN (SELECT segment FROM top) ELSE segment END AS segment FROM base")
+def impute_mode(spark, d):
+    rows = customers(spark, d).select("node_id", F.when(F.col("c_custkey") % 5 != 0, F.col("segment")).alias("segment"))
+    fill = preprocess.imputation(rows, "segment", Impute("fill_mode"), "node_id")
+    return rows.select("node_id", F.coalesce("segment", fill).alias("segment"))
+
+
+@query()
+def impute_sample_categorical(spark, d):
+    rows = customers(spark, d).select("node_id", F.when(F.col("c_custkey") % 5 != 0, F.col("segment")).alias("segment"))
+    return rows.select("node_id", F.coalesce("segment", preprocess.imputation(rows, "segment", Impute("sample_categorical"), "node_id")).alias("segment"))
+
+
+@query("SELECT doc_id, n_chars::DOUBLE AS n_chars, (lang = 'de')::INT::DOUBLE AS lang_de, (lang = 'en')::INT::DOUBLE AS lang_en, (lang = 'es')::INT::DOUBLE AS lang_es, (lang = 'fr')::INT::DOUBLE AS lang_fr FROM documents")
+def one_hot(spark, d):
+    rows = read(spark, d, "documents").select("doc_id", "n_chars", "lang")
+    return preprocess.preprocess(rows, Preprocessing(encode={"lang": OneHot(10)}), row_key="doc_id")[0]
+
+
+@query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events")
+def coerce_text(spark, d):
+    rows = read(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    return preprocess.coerce(rows, ["k"])
+
+
+@query(f"WITH {POINTS} SELECT node_id, round(x, 6) AS a, round(y, 6) AS b FROM pts")
+def standard_scale(spark, d):
+    return points(spark, d).select("node_id", r6(F.get("v", F.lit(0)), "a"), r6(F.get("v", F.lit(1)), "b"))
+
+
+@query("SELECT s_suppkey, round(s_acctbal, 6) AS s_acctbal FROM supplier")
+def inverse_scale(spark, d):
+    rows = read(spark, d, "supplier").select("s_suppkey", "s_acctbal")
+    scaler = project.Scaler.fit(rows, ["s_acctbal"])
+    return rounded(scaler.inverse(scaler.transform(rows, ["s_acctbal"]), ["s_acctbal"]))
+
+
+# Projections ---------------------------------------------------------------------------------------------------------
+
+
+def embeddings(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "embeddings").select(F.col("vec_id").alias("node_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("long").alias("label"))
+
+
+def _jl_sql(seed: int, width: int, dim: int, center: bool) -> str:
+    m = gaussian_matrix(seed, width, dim) / dim**0.5
+    mean = "(SELECT list(m ORDER BY k) FROM (SELECT k, avg(e[k]) AS m FROM v, range(1, 65) t(k) GROUP BY k))" if center else f"list_resize([0.0::DOUBLE], {width}, 0.0::DOUBLE)"
+    cols = ", ".join("round(list_sum(list_transform(range(1, 65), lambda k: (e[k] - mu[k]) * " + f"[{', '.join(f'{x!r}::DOUBLE' for x in m[:, c].tolist())}][k])), 6) AS y{c}" for c in range(dim))
+    return f"WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), mm AS (SELECT {mean} AS mu) SELECT vec_id AS node_id, {cols} FROM v, mm"
+
+
+@query(_jl_sql(42, 64, 3, True))
+def jl_project(spark, d):
+    y = project.jl_grid(embeddings(spark, d), [3], [42])
+    return y.select("node_id", *[r6(F.get("v", F.lit(k)), f"y{k}") for k in range(3)])
+
+
+@query(_jl_sql(7, 64, 2, False))
+def jl_uncentred(spark, d):
+    y = project.jl_grid(embeddings(spark, d), [2], [7], center=False)
+    return y.select("node_id", *[r6(F.get("v", F.lit(k)), f"y{k}") for k in range(2)])
+
+
+@query()
+def pca_grid(spark, d):
+    y = project.pca_grid(embeddings(spark, d), [2, 5], [42, 7])
+    return y.select("emb_id", "seed", "dim", "node_id", r6(F.get("v", F.lit(0)), "first"), r6(F.get("v", F.lit(1)), "second"))
+
+
+# Covers --------------------------------------------------------------------------------------------------------------
+
+
+@query(COVER + " SELECT ball_id, center_id FROM centers")
+def ball_centers(spark, d):
+    return covered(spark, d)[1].select("ball_id", "center_id")
+
+
+@query(COVER + " SELECT ball_id, node_id FROM members")
+def ball_membership(spark, d):
+    return covered(spark, d)[2].select("ball_id", "node_id")
+
+
+@query(COVER + " SELECT ball_id, node_id FROM members")
+def ball_membership_cells(spark, d):
+    maps, balls, _ = covered(spark, d)
+    return cover.membership_by_cells(maps, balls).select("ball_id", "node_id")
+
+
+@query(COVER + " SELECT DISTINCT a.ball_id AS a, b.ball_id AS b FROM members a JOIN members b USING (node_id) WHERE a.ball_id < b.ball_id")
+def ball_edges(spark, d):
+    return cover.ball_edges(covered(spark, d)[2]).select("a", "b")
+
+
+@query(COVER + " SELECT node_id, coalesce(min(ball_id), -1) AS label FROM pts LEFT JOIN members USING (node_id) GROUP BY 1")
+def ball_labels(spark, d):
+    maps, _, members = covered(spark, d)
+    return cover.label_points(maps, members)
+
+
+@query(COVER + " SELECT node_id FROM pts WHERE node_id NOT IN (SELECT node_id FROM members)")
+def ball_unclustered(spark, d):
+    maps, _, members = covered(spark, d)
+    return cover.unclustered(maps, members)
+
+
+@query(COVER + " SELECT ball_id, count(*) AS size, round(avg(x), 6) AS mean_x, round(stddev_samp(x), 6) AS std_x FROM members JOIN pts USING (node_id) GROUP BY 1")
+def ball_summary(spark, d):
+    maps, _, members = covered(spark, d)
+    return rounded(cover.ball_summary(members, maps.select("node_id", F.get("v", F.lit(0)).alias("x")), ["x"]).drop("map_id"))
+
+
+@query()
+def ball_representatives(spark, d):
+    emb = project.jl_grid(points(spark, d), [1, 2], [42, 7])
+    maps = materialize(cover.map_grid(emb, [0.3, 0.6]), "maps")
+    balls = cover.centres(maps)
+    sizes = cover.map_sizes(balls, cover.ball_edges(cover.membership(maps, balls)))
+    return sizes.withColumn("chosen", F.col("map_id").isin(cover.representatives(sizes, 3)))
+
+
+# Graphs --------------------------------------------------------------------------------------------------------------
+
+
+@query(GRAPH + " SELECT node_id, d FROM deg")
+def node_ball_counts(spark, d):
+    return graph.degrees(graph.global_balls(covered(spark, d)[2]))
+
+
+@query(GRAPH + " SELECT i, j, c FROM cooc")
+def cooccurrence(spark, d):
+    return graph.cooccurrence(graph.global_balls(covered(spark, d)[2]))
+
+
+@query(GRAPH + " SELECT i, j, round(w, 6) AS w FROM edges")
+def cosmic_exact(spark, d):
+    return rounded(customer_graph(spark, d)[1])
+
+
+@query(GRAPH + f" SELECT i, j, round(w, 6) AS w FROM edges WHERE w > {TAU}")
+def cosmic_threshold(spark, d):
+    _, edges, _ = customer_graph(spark, d)
+    return rounded(edges.where(F.col("w") > TAU))
+
+
+@query(GRAPH + ", two AS (SELECT i, j, 2 * c AS c FROM cooc) SELECT i, j, round(two.c::DOUBLE / (2 * x.d + 2 * y.d - two.c), 6) AS w FROM two JOIN deg x ON x.node_id = i JOIN deg y ON y.node_id = j")
+def cosmic_multi(spark, d):
+    members = covered(spark, d)[2]
+    return rounded(graph.exact_graph(graph.pooled([members, members])))
+
+
+@query(GRAPH + " SELECT node_id, count(w) AS degree, round(coalesce(sum(w), 0), 6) AS val FROM pts LEFT JOIN (SELECT i AS node_id, w FROM edges UNION ALL SELECT j, w FROM edges) USING (node_id) GROUP BY 1")
+def node_degree(spark, d):
+    nodes, edges, _ = customer_graph(spark, d)
+    return rounded(tables.node_degrees(nodes, edges))
+
+
+@query()
+def minhash_signature(spark, d):
+    return graph.signatures(graph.global_balls(covered(spark, d)[2]), 64)
+
+
+@query()
+def lsh_candidates(spark, d):
+    return graph.candidates(graph.signatures(graph.global_balls(covered(spark, d)[2]), 64), 64)
+
+
+@query()
+def minhash_edges(spark, d):
+    return graph.minhash_graph(graph.global_balls(covered(spark, d)[2]), 128)
+
+
+@query()
+def spectral_sparsify(spark, d):
+    nodes, edges, _ = customer_graph(spark, d)
+    return rounded(clustering.spectral_sparsify([r[0] for r in nodes.select("node_id").collect()], edges, 1.0, sketch_dim=24, samples=20_000))
+
+
+# Components and thresholds -------------------------------------------------------------------------------------------
+
+REACH = GRAPH + f", sym AS (SELECT i, j FROM edges WHERE w > {TAU} UNION ALL SELECT j, i FROM edges WHERE w > {TAU}), reach(node_id, other) AS (SELECT node_id, node_id FROM pts UNION SELECT r.node_id, s.j FROM reach r JOIN sym s ON s.i = r.other), roots AS MATERIALIZED (SELECT node_id, min(other) AS root FROM reach GROUP BY 1)"
+
+
+@query(REACH + " SELECT node_id, dense_rank() OVER (ORDER BY root) - 1 AS label FROM roots")
+def components(spark, d):
+    nodes, edges, _ = customer_graph(spark, d)
+    return stability.component_labels(nodes, edges, TAU)
+
+
+@query(REACH + ", sizes AS (SELECT root, row_number() OVER (ORDER BY count(*) DESC, root) - 1 AS label FROM roots GROUP BY 1) SELECT node_id, label FROM roots JOIN sizes USING (root)")
+def components_by_size(spark, d):
+    nodes, edges, _ = customer_graph(spark, d)
+    return stability.component_labels(nodes, edges, TAU, by_size=True)
+
+
+SIZES = REACH + ", sizes AS (SELECT root, count(*) AS size FROM roots GROUP BY 1), n AS (SELECT count(*)::DOUBLE AS n FROM pts)"
+
+
+@query(SIZES + " SELECT count(*) AS component_count, count(*) FILTER (size = 1) AS singleton_count, round(max(size) / max(n), 6) AS giant_fraction, round(count(*) FILTER (size = 1) / max(n), 6) AS singleton_fraction, round(sum(CASE WHEN size <= 0.01::DOUBLE * n THEN size ELSE 0 END) / max(n), 6) AS small_mass_fraction FROM sizes, n")
+def mass_profile(spark, d):
+    nodes, edges, n = customer_graph(spark, d)
+    return rounded(stability.mass_profile(stability.component_sizes(stability.component_labels(nodes, edges, TAU)), n))
+
+
+@query(SIZES + " SELECT CASE WHEN size = 1 THEN '1' WHEN size <= 5 THEN '2-5' WHEN size <= 20 THEN '6-20' ELSE '>20' END AS bucket, count(*) AS components FROM sizes GROUP BY 1")
+def size_buckets(spark, d):
+    nodes, edges, _ = customer_graph(spark, d)
+    return diagnostics.size_buckets(stability.component_sizes(stability.component_labels(nodes, edges, TAU)))
+
+
+@query(SIZES + " SELECT max(n)::BIGINT AS n_nodes, (SELECT count(*) FROM edges WHERE w > " + str(TAU) + ") AS n_edges, round((SELECT count(*) FROM edges WHERE w > " + str(TAU) + ") / (max(n) * (max(n) - 1) / 2), 6) AS density, round(2 * (SELECT count(*) FROM edges WHERE w > " + str(TAU) + ") / max(n), 6) AS avg_degree, count(*) AS component_count, round(max(size) / max(n), 6) AS giant_fraction, round(count(*) FILTER (size = 1) / max(n), 6) AS singleton_fraction FROM sizes, n")
+def graph_metrics(spark, d):
+    nodes, edges, n = customer_graph(spark, d)
+    kept = edges.where(F.col("w") > TAU)
+    return rounded(diagnostics.graph_metrics(nodes, kept, n, stability.component_sizes(stability.component_labels(nodes, edges, TAU))))
+
+
+@query(GRAPH + ", n AS (SELECT count(*) AS n FROM pts), weights AS (SELECT w FROM edges UNION ALL SELECT 0.0::DOUBLE FROM n, range(n.n * (n.n - 1) // 2 - (SELECT count(*) FROM edges))) SELECT round(quantile_cont(w, 0.25), 6) AS p25, round(quantile_cont(w, 0.5), 6) AS p50, round(quantile_cont(w, 0.95), 6) AS p95 FROM weights")
+def weight_percentiles(spark, d):
+    _, edges, n = customer_graph(spark, d)
+    return rounded(spark.createDataFrame([diagnostics.weight_percentiles(edges, n)]))
+
+
+@query(GRAPH + f", top AS (SELECT node_id, max(w) AS top FROM pts LEFT JOIN (SELECT i AS node_id, w FROM edges UNION ALL SELECT j, w FROM edges) USING (node_id) GROUP BY 1) SELECT t::DOUBLE AS threshold, count(*) FILTER (coalesce(top, -1) <= t) AS singletons FROM top, (VALUES (0.1::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) v(t) GROUP BY 1")
+def singletons_at(spark, d):
+    nodes, edges, _ = customer_graph(spark, d)
+    return diagnostics.singletons_at(nodes, edges, [0.1, 0.25, 0.5, 0.75])
+
+
+@query(REACH + ", ends AS (SELECT i AS node_id, w FROM edges UNION ALL SELECT j, w FROM edges), val AS (SELECT node_id, count(*) AS degree, sum(w) AS val FROM ends GROUP BY 1), lab AS (SELECT node_id, dense_rank() OVER (ORDER BY root) - 1 AS label FROM roots), ranked AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY round(val, 9) DESC, node_id) AS rank, node_id, degree, round(val, 6) AS val FROM val JOIN lab USING (node_id)) SELECT * FROM ranked WHERE rank <= 3")
+def hubs(spark, d):
+    nodes, edges, _ = customer_graph(spark, d)
+    found = tables.node_degrees(nodes, edges).withColumn("val", F.round("val", 9)).join(stability.component_labels(nodes, edges, TAU), "node_id").where("degree > 0")
+    return rounded(tables.ranked_within(found, ["label"], [F.desc("val"), "node_id"], 3).select("label", "rank", "node_id", "degree", "val"))
+
+
+SUPPLIERS = """WITH RECURSIVE pts AS MATERIALIZED (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS node_id, (s_acctbal - avg(s_acctbal) OVER ()) / stddev_pop(s_acctbal) OVER () AS x FROM supplier),
+  radii AS (SELECT * FROM (VALUES (0, 0.2::DOUBLE), (1, 0.5::DOUBLE), (2, 0.9::DOUBLE)) v(map_id, eps)),
+  g AS (SELECT map_id, eps, node_id AS i, [node_id] AS ids, [x] AS xs FROM pts, radii WHERE node_id = 0
+    UNION ALL
+    SELECT g.map_id, g.eps, p.node_id, CASE WHEN len(list_filter(g.xs, lambda c: (p.x - c) * (p.x - c) <= g.eps * g.eps)) > 0 THEN g.ids ELSE list_append(g.ids, p.node_id) END,
+      CASE WHEN len(list_filter(g.xs, lambda c: (p.x - c) * (p.x - c) <= g.eps * g.eps)) > 0 THEN g.xs ELSE list_append(g.xs, p.x) END FROM g JOIN pts p ON p.node_id = g.i + 1),
+  centers AS (SELECT map_id, eps, unnest(ids) AS center_id FROM g WHERE i = (SELECT max(node_id) FROM pts)),
+  members AS MATERIALIZED (SELECT map_id, center_id, p.node_id FROM centers JOIN pts q ON q.node_id = center_id JOIN pts p ON (p.x - q.x) * (p.x - q.x) <= eps * eps),
+  deg AS (SELECT node_id, count(*) AS d FROM members GROUP BY 1),
+  edges AS MATERIALIZED (SELECT i, j, c::DOUBLE / (x.d + y.d - c) AS w FROM (SELECT a.node_id AS i, b.node_id AS j, count(*) AS c FROM members a JOIN members b ON a.map_id = b.map_id AND a.center_id = b.center_id AND a.node_id < b.node_id GROUP BY 1, 2) JOIN deg x ON x.node_id = i JOIN deg y ON y.node_id = j),
+  bins AS (SELECT i, j, least(floor(w * 256), 255)::INT AS bin FROM edges),
+  sym AS MATERIALIZED (SELECT i, j, bin FROM bins UNION ALL SELECT j, i, bin FROM bins),
+  reach(lvl, node_id, other) AS (SELECT b, node_id, node_id FROM pts, range(256) t(b) UNION SELECT r.lvl, r.node_id, s.j FROM reach r JOIN sym s ON s.i = r.other AND s.bin >= r.lvl),
+  curve AS MATERIALIZED (SELECT lvl::INT AS bin, lvl / 256.0::DOUBLE AS threshold, count(DISTINCT root) AS components FROM (SELECT lvl, node_id, min(other) AS root FROM reach GROUP BY 1, 2) GROUP BY 1, 2)"""
+PLATEAUS = SUPPLIERS + """, flags AS (SELECT *, CASE WHEN lag(components) OVER (ORDER BY bin DESC) = components THEN 0 ELSE 1 END AS f FROM curve), runs AS (SELECT *, sum(f) OVER (ORDER BY bin DESC) AS run FROM flags),
+  plateaus AS (SELECT max(threshold) AS start, min(threshold) AS "end", components, max(threshold) - min(threshold) AS length, (max(threshold) + min(threshold)) / 2 AS midpoint FROM runs GROUP BY run, components)"""
+
+
+def supplier_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int]:
+    rows = tables.with_node_id(read(spark, d, "supplier").select("s_suppkey", "s_acctbal"), "s_suppkey")
+    pts = preprocess.as_points(project.Scaler.fit(rows, ["s_acctbal"]).transform(rows, ["s_acctbal"]), ["s_acctbal"])
+    maps = materialize(cover.map_grid(pts.select(F.lit(0).alias("emb_id"), "node_id", "v"), [0.2, 0.5, 0.9]), "maps")
+    edges = graph.exact_graph(graph.global_balls(cover.membership(maps, cover.centres(maps))))
+    return rows.select("node_id"), materialize(edges, "edges"), rows.count()
+
+
+@query(SUPPLIERS + " SELECT bin, threshold, components FROM curve")
+def h0_curve(spark, d):
+    _, edges, n = supplier_graph(spark, d)
+    return stability.component_curve(stability.spanning_forest(edges), n)
+
+
+@query(PLATEAUS + " SELECT * FROM plateaus")
+def plateaus(spark, d):
+    _, edges, n = supplier_graph(spark, d)
+    return stability.plateaus(stability.component_curve(stability.spanning_forest(edges), n))
+
+
+@query(PLATEAUS + " SELECT midpoint AS threshold FROM plateaus ORDER BY (components > 1 AND components < (SELECT count(*) FROM pts)) DESC, length DESC, start DESC LIMIT 1")
+def optimal_threshold(spark, d):
+    _, edges, n = supplier_graph(spark, d)
+    tau = stability.optimal_threshold(stability.plateaus(stability.component_curve(stability.spanning_forest(edges), n)), n)
+    return spark.createDataFrame([(tau,)], "threshold double")
+
+
+@query()
+def threshold_candidates(spark, d):
+    nodes, edges, n = supplier_graph(spark, d)
+    return spark.createDataFrame([{k: float(v) if isinstance(v, float) else v for k, v in x.items()} for x in stability.threshold_candidates(nodes, edges, n)], "threshold double, components long, tier string, rank double, nontrivial_count long, nontrivial_mass double, nontrivial_coverage double, entropy double, top_two_balance double")
+
+
+@query()
+def structural_breakpoints(spark, d):
+    nodes, edges, n = supplier_graph(spark, d)
+    return stability.breakpoints(nodes, edges, n, [0.8, 0.5, 0.3, 0.1])
+
+
+@query()
+def threshold_clusters(spark, d):
+    nodes, edges, n = supplier_graph(spark, d)
+    return clustering.resolve_clusters(nodes, edges, n)
+
+
+@query()
+def spectral_clusters(spark, d):
+    nodes, edges, n = supplier_graph(spark, d)
+    return clustering.spectral_clusters(nodes, edges, 6)
+
+
+@query()
+def average_linkage_clusters(spark, d):
+    nodes, edges, _ = supplier_graph(spark, d)
+    return clustering.agglomerative_clusters(nodes, edges, 5)
+
+
+@query()
+def pagerank(spark, d):
+    nodes, edges, _ = supplier_graph(spark, d)
+    labels = checkpoint(stability.component_labels(nodes, edges, 0.5))
+    return rounded(clustering.pagerank(nodes, edges, labels))
+
+
+# Statistics: the first four dimensions of the embeddings, by label ---------------------------------------------------
+
+DIMS = 4
+VALUES = f"own AS MATERIALIZED (SELECT vec_id AS node_id, label::BIGINT AS label, 'e' || k AS col, embedding[k + 1]::DOUBLE AS x FROM embeddings, range({DIMS}) t(k))"
+
+
+def numbers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = embeddings(spark, d)
+    wide = e.select("node_id", *[F.get("v", F.lit(k)).alias(f"e{k}") for k in range(DIMS)])
+    return stats.long_values(wide, [f"e{k}" for k in range(DIMS)]), e.select("node_id", "label")
+
+
+def ties(spark: SparkSession, d: str) -> DataFrame:
+    """Line quantities and discounts of every order line: many equal values."""
+    rows = read(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("node_id"), "l_quantity", "l_discount")
+    return stats.long_values(rows, ["l_quantity", "l_discount"])
+
+
+TIED = "own AS (SELECT l_orderkey * 8 + l_linenumber AS node_id, 'l_quantity' AS col, l_quantity AS x FROM lineitem UNION ALL SELECT l_orderkey * 8 + l_linenumber, 'l_discount', l_discount FROM lineitem)"
+
+
+@query(f"WITH {VALUES}, m AS (SELECT label, col, count(*) AS n, avg(x) AS mean, stddev_samp(x) AS std, var_samp(x) AS var, median(x) AS median FROM own GROUP BY 1, 2) SELECT label, col, n, round(mean, 6) AS mean, round(std, 6) AS std, round(var, 6) AS var, round(median, 6) AS median, round((SELECT median(abs(o.x - m.median)) FROM own o WHERE o.label = m.label AND o.col = m.col), 6) AS mad FROM m")
+def stat_moments(spark, d):
+    values, labels = numbers(spark, d)
+    return rounded(stats.moments(values.join(labels, "node_id"), ["label", "col"]))
+
+
+@query(f"WITH {TIED} SELECT node_id, col, x, rank() OVER (PARTITION BY col ORDER BY x) + (count(*) OVER (PARTITION BY col, x) - 1) / 2.0::DOUBLE AS rank FROM own")
+def stat_average_ranks(spark, d):
+    return stats.average_ranks(ties(spark, d))
+
+
+@query(f"WITH {TIED}, k AS (SELECT col, x, count(*)::DOUBLE AS t FROM own GROUP BY 1, 2) SELECT col, sum(t)::BIGINT AS n, sum(t * t * t - t) AS ties, round(1 - sum(t * t * t - t) / (sum(t) * sum(t) * sum(t) - sum(t)), 6) AS correction FROM k GROUP BY 1")
+def stat_ties(spark, d):
+    return stats.tie_terms(stats.value_counts(ties(spark, d))).withColumn("correction", F.round("correction", 6))
+
+
+ECDF = f"""WITH {VALUES}, labs AS (SELECT DISTINCT label FROM own), grid AS (SELECT l.label, v.col, v.x, sum((o.label = l.label)::INT) AS k, count(*) AS a FROM (SELECT DISTINCT col, x FROM own) v JOIN own o ON o.col = v.col AND o.x = v.x, labs l GROUP BY 1, 2, 3),
+  cum AS (SELECT label, col, x, sum(k) OVER w AS c, sum(a) OVER w AS t, sum(k) OVER (PARTITION BY label, col) AS n, sum(a) OVER (PARTITION BY label, col) AS nn, lead(x) OVER w - x AS dx FROM grid WINDOW w AS (PARTITION BY label, col ORDER BY x))"""
+
+
+@query(ECDF + " SELECT label, col, round(max(abs(c::DOUBLE / n - (t - c)::DOUBLE / (nn - n))), 6) AS ks FROM cum GROUP BY 1, 2")
+def stat_ks(spark, d):
+    return rounded(stats.ks_statistics(*numbers(spark, d)))
+
+
+@query(ECDF + " SELECT label, col, round(coalesce(sum(abs(c::DOUBLE / n - (t - c)::DOUBLE / (nn - n)) * dx), 0), 6) AS w1 FROM cum GROUP BY 1, 2")
+def stat_wasserstein(spark, d):
+    return rounded(stats.wasserstein(*numbers(spark, d)))
+
+
+RANKS = f"WITH {VALUES}, r AS (SELECT *, rank() OVER (PARTITION BY col ORDER BY x) + (count(*) OVER (PARTITION BY col, x) - 1) / 2.0::DOUBLE AS rank FROM own)"
+
+
+@query(RANKS + " SELECT label, col, count(*) AS n, sum(rank) AS rank_sum, sum(rank) - count(*) * (count(*) + 1) / 2.0::DOUBLE AS u FROM r GROUP BY 1, 2")
+def stat_mann_whitney_u(spark, d):
+    return stats.rank_sums(*numbers(spark, d))
+
+
+@query(RANKS + ", s AS (SELECT col, label, count(*) AS n, sum(rank) AS rs FROM r GROUP BY 1, 2), h AS (SELECT col, count(*) AS groups, sum(rs * rs / n) AS s, sum(n)::DOUBLE AS n FROM s GROUP BY 1), t AS (SELECT col, sum(k * k * k - k) AS ties FROM (SELECT col, x, count(*)::DOUBLE AS k FROM own GROUP BY 1, 2) GROUP BY 1) SELECT col, groups, round((12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - ties / (n * n * n - n)), 6) AS h FROM h JOIN t USING (col)")
+def stat_kruskal(spark, d):
+    return rounded(stats.kruskal(*numbers(spark, d)))
+
+
+@query(f"WITH {VALUES} SELECT col, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std0, round(stddev_samp(x), 6) AS std1, round(var_samp(x), 6) AS var, round(median(x), 6) AS median, round(quantile_cont(x, 0.75) - quantile_cont(x, 0.25), 6) AS iqr FROM own GROUP BY 1")
+def stat_column_profile(spark, d):
+    return rounded(stats.column_profile(numbers(spark, d)[0]).drop("mad"))
+
+
+@query()
+def numeric_evidence(spark, d):
+    found = stats.numeric_evidence(*numbers(spark, d))
+    return rounded(stats.signal_tiers(found.withColumn("neighbour", F.col("neighbour").cast("long"))))
+
+
+@query()
+def compare_two_clusters(spark, d):
+    return rounded(stats.compare_clusters(*numbers(spark, d), 0, 1))
+
+
+CATS = """cats AS (SELECT c_custkey AS node_id, c_nationkey::BIGINT AS label, 'segment' AS col, c_mktsegment AS value FROM customer), both_ AS (SELECT label, col, value, count(*) AS bth FROM cats GROUP BY ALL),
+  counts AS (SELECT b.label, b.col, b.value, b.bth, (SELECT count(*) FROM cats c WHERE c.label = b.label) AS in_cluster, (SELECT count(*) FROM cats c WHERE c.value = b.value) AS with_value, (SELECT count(*) FROM cats) AS n FROM both_ b)"""
+
+
+def segments(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("node_id"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").cast("long").alias("label"))
+    return stats.long_categories(c, ["segment"]), c.select("node_id", "label")
+
+
+@query(f"WITH {CATS} SELECT label, col, value, bth AS \"both\", in_cluster, with_value, n, round(100.0::DOUBLE * bth / in_cluster, 6) AS prevalence_cluster, round(100.0::DOUBLE * with_value / n, 6) AS prevalence_global, round((bth::DOUBLE / in_cluster) / (with_value::DOUBLE / n), 6) AS lift, round(ln((bth::DOUBLE / in_cluster) / (with_value::DOUBLE / n)), 6) AS log_lift, round(100 * (bth::DOUBLE / in_cluster - (with_value - bth)::DOUBLE / (n - in_cluster)), 6) AS specificity, round(100.0::DOUBLE * bth / with_value, 6) AS global_recall, round(bth::DOUBLE / n * ln((bth::DOUBLE / n) / (in_cluster::DOUBLE / n * with_value / n)), 6) AS mi_contrib FROM counts")
+def cat_prevalence(spark, d):
+    return rounded(stats.prevalence(stats.category_counts(*segments(spark, d))))
+
+
+@query(f"WITH {CATS}, r AS (SELECT DISTINCT label, in_cluster FROM counts), v AS (SELECT DISTINCT value, with_value, n FROM counts), cells AS (SELECT coalesce(c.bth, 0) AS bth, r.in_cluster::DOUBLE * v.with_value / v.n AS e, v.n FROM r CROSS JOIN v LEFT JOIN counts c ON c.label = r.label AND c.value = v.value) SELECT 'segment' AS col, round(sum((bth - e) * (bth - e) / e), 6) AS chi2, ((SELECT count(*) FROM r) - 1) * ((SELECT count(*) FROM v) - 1) AS dof, round(sum((bth - e) * (bth - e) / e) / max(n), 6) AS association FROM cells")
+def cat_chi_square(spark, d):
+    return rounded(stats.chi_square(*segments(spark, d)))
+
+
+@query()
+def categorical_evidence(spark, d):
+    return rounded(stats.categorical_evidence(*segments(spark, d)))
+
+
+FDR = f"WITH {VALUES}, p AS (SELECT label, col, abs(avg(x)) / (1 + abs(avg(x))) AS p FROM own GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM p)"
+
+
+@query(FDR + " SELECT label, col, round(p, 6) AS p, round(least(min(p * m / k) OVER (ORDER BY k DESC), 1), 6) AS q FROM r")
+def bh_fdr(spark, d):
+    values, labels = numbers(spark, d)
+    m = values.join(labels, "node_id").groupBy("label", "col").agg(F.abs(F.avg("x")).alias("a"))
+    return rounded(stats.fdr(m.select("label", "col", (F.col("a") / (1 + F.col("a"))).alias("p")), "p", "q"))
+
+
+@query(FDR + " SELECT label, col, round((row_number() OVER (ORDER BY p, label, col) - 1) / (m - 1)::DOUBLE, 6) AS pct FROM r")
+def empirical_percentile(spark, d):
+    values, labels = numbers(spark, d)
+    m = values.join(labels, "node_id").groupBy("label", "col").agg(F.abs(F.avg("x")).alias("a"))
+    return rounded(stats.empirical_percentile(m.select("label", "col", (F.col("a") / (1 + F.col("a"))).alias("p")), "p", "pct", ["label", "col"]).select("label", "col", "pct"))
+
+
+@query(GRAPH + """, lab AS (SELECT node_id, nation::BIGINT AS label FROM base), pairs AS (SELECT least(a.label, b.label) AS a, greatest(a.label, b.label) AS b, sum(w) AS w FROM edges JOIN lab a ON a.node_id = i JOIN lab b ON b.node_id = j GROUP BY 1, 2),
+  sz AS (SELECT label, count(*) AS size, coalesce(max(p.w), 0) AS internal FROM lab LEFT JOIN pairs p ON p.a = label AND p.b = label GROUP BY 1),
+  bridges AS (SELECT p.a, p.b, p.w, p.w / greatest(sqrt(x.size * y.size), 1) AS nw, p.w / greatest(p.w + x.internal + y.internal, 1e-9) AS bs FROM pairs p JOIN sz x ON x.label = p.a JOIN sz y ON y.label = p.b WHERE p.a < p.b)
+  SELECT a AS label, b AS neighbour, round(w, 6) AS bridge_weight, round(nw, 6) AS normalized_weight, round(bs, 6) AS bridge_strength FROM bridges UNION ALL SELECT b, a, round(w, 6), round(nw, 6), round(bs, 6) FROM bridges""")
+def cluster_adjacency(spark, d):
+    _, edges, _ = customer_graph(spark, d)
+    labels = customers(spark, d).select("node_id", F.col("nation").cast("long").alias("label"))
+    return rounded(stats.cluster_adjacency(edges, labels).drop("rank"))
+
+
+# Profiles ------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT 'p_brand' AS \"column\", count(DISTINCT p_brand) AS n_unique, count(*) - count(p_brand) AS n_missing FROM part UNION ALL SELECT 'p_size', count(DISTINCT p_size), count(*) - count(p_size) FROM part UNION ALL SELECT 'p_type', count(DISTINCT p_type), count(*) - count(p_type) FROM part UNION ALL SELECT 'p_retailprice', count(DISTINCT p_retailprice), count(*) - count(p_retailprice) FROM part")
+def column_profiles(spark, d):
+    rows = profile.column_profiles(read(spark, d, "part").select("p_brand", "p_size", "p_type", "p_retailprice"))
+    return spark.createDataFrame([(x["column"], x["n_unique"], x["n_missing"]) for x in rows], "column string, n_unique long, n_missing long")
+
+
+@query("WITH d AS (SELECT a.s_suppkey AS node_id, abs(a.s_acctbal - b.s_acctbal) AS d, row_number() OVER (PARTITION BY a.s_suppkey ORDER BY abs(a.s_acctbal - b.s_acctbal), b.s_suppkey) AS rank FROM supplier a JOIN supplier b ON a.s_suppkey <> b.s_suppkey) SELECT node_id, rank, round(d, 6) AS d FROM d WHERE rank <= 5")
+def knn(spark, d):
+    pts = preprocess.as_points(read(spark, d, "supplier").select(F.col("s_suppkey").alias("node_id"), "s_acctbal"), ["s_acctbal"])
+    return rounded(profile.nearest(pts, 5))
+
+
+@query()
+def geometry_profile(spark, d):
+    g = profile.geometry(embeddings(spark, d).select("node_id", "v"))
+    return spark.createDataFrame([(k, float(v)) for k, v in [*g["knn_mean"].items(), *g["knn"].items(), *((f"variance_{k}", v) for k, v in g["variance"].items())]], "figure string, value double")
+
+
+# Panels: users by week of the events ---------------------------------------------------------------------------------
+
+WEEKS = "weeks AS (SELECT user_id AS entity, date_trunc('week', ts)::DATE AS wk, count(*)::DOUBLE AS n, avg(value) AS v FROM events GROUP BY 1, 2), times AS (SELECT wk, row_number() OVER (ORDER BY wk) - 1 AS t_idx FROM (SELECT DISTINCT wk FROM weeks))"
+
+
+def weeks(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events")
+    return e.groupBy("user_id", F.to_date(F.date_trunc("week", "ts")).alias("wk")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("value").alias("v"))
+
+
+def _panel(spark, d, policy: str) -> DataFrame:
+    return rounded(panel.pivot_panel(weeks(spark, d), "user_id", "wk", ["n", "v"], policy).select("entity", F.col("t_idx").cast("long").alias("t_idx"), "n", "v"))
+
+
+@query(f"WITH {WEEKS} SELECT entity, t_idx, n, round(v, 6) AS v FROM weeks JOIN times USING (wk) WHERE entity IN (SELECT entity FROM weeks GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM times))")
+def panel_drop_entity(spark, d):
+    return _panel(spark, d, "drop_entity")
+
+
+@query(f"WITH {WEEKS} SELECT entity, t_idx, n, round(v, 6) AS v FROM weeks JOIN times USING (wk)")
+def panel_ragged(spark, d):
+    return _panel(spark, d, "allow_ragged")
+
+
+@query(f"WITH {WEEKS}, grid AS (SELECT e.entity, t.t_idx, w.n, w.v FROM (SELECT DISTINCT entity FROM weeks) e CROSS JOIN times t LEFT JOIN weeks w ON w.entity = e.entity AND w.wk = t.wk), f AS (SELECT entity, t_idx, last_value(n IGNORE NULLS) OVER w AS n, last_value(v IGNORE NULLS) OVER w AS v FROM grid WINDOW w AS (PARTITION BY entity ORDER BY t_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT entity, t_idx, n, round(v, 6) AS v FROM f WHERE entity NOT IN (SELECT entity FROM f WHERE n IS NULL)")
+def panel_forward_fill(spark, d):
+    return _panel(spark, d, "forward_fill")
+
+
+TEDGES = """acts AS (SELECT DISTINCT date_diff('day', (SELECT min(date_trunc('week', ts)::DATE) FROM events), date_trunc('week', ts)::DATE) // 7 AS t, event_type, user_id FROM events), dg AS (SELECT t, user_id, count(*) AS d FROM acts GROUP BY 1, 2),
+  tedges AS MATERIALIZED (SELECT c.t, i, j, c::DOUBLE / (x.d + y.d - c) AS w FROM (SELECT a.t, a.user_id AS i, b.user_id AS j, count(*) AS c FROM acts a JOIN acts b ON a.t = b.t AND a.event_type = b.event_type AND a.user_id < b.user_id GROUP BY 1, 2, 3) c JOIN dg x ON x.t = c.t AND x.user_id = i JOIN dg y ON y.t = c.t AND y.user_id = j),
+  steps AS (SELECT max(t) + 1 AS s FROM acts)"""
+
+
+def tedges(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """Users alike by the kinds of events they have in a week: every kind is a ball of that week."""
+    e = read(spark, d, "events").select("event_type", "user_id", F.to_date(F.date_trunc("week", "ts")).alias("wk")).distinct()
+    first = e.agg(F.min("wk")).first()[0]
+    acts = e.select(F.floor(F.datediff("wk", F.lit(first)) / 7).cast("long").alias("t"), "event_type", "user_id")
+    acts = materialize(acts, "acts")
+    a, b = acts.withColumnRenamed("user_id", "i"), acts.withColumnRenamed("user_id", "j")
+    c = a.join(b, ["t", "event_type"]).where("i < j").groupBy("t", "i", "j").agg(F.count(F.lit(1)).alias("c"))
+    deg = acts.groupBy("t", "user_id").agg(F.count(F.lit(1)).alias("d"))
+    of = lambda k: deg.select("t", F.col("user_id").alias(k), F.col("d").alias(f"d_{k}"))
+    w = c.join(of("i"), ["t", "i"]).join(of("j"), ["t", "j"]).select("t", "i", "j", (F.col("c") / (F.col("d_i") + F.col("d_j") - F.col("c"))).alias("w"))
+    return materialize(w, "tedges"), acts.agg(F.max("t")).first()[0] + 1
+
+
+def _temporal(name: str) -> Query:
+    def f(spark, d):
+        return rounded(panel.AGGREGATIONS[name](*tedges(spark, d)))
+
+    return f
+
+
+_TEMPORAL = {
+    "persistence": "count(*) FILTER (w > 0) / max(s)::DOUBLE",
+    "mean": "sum(w) / max(s)",
+    "recency": "sum(pow(0.9::DOUBLE, s - 1 - t) * w) / max((1 - pow(0.9::DOUBLE, s)) / (1 - 0.9::DOUBLE))",
+    "volatility": "greatest(sum(w * w) / max(s) - pow(sum(w) / max(s), 2), 0)",
+    "trend": "sum((t - (s - 1) / 2.0::DOUBLE) * w) / max((s::DOUBLE * s * s - s) / 12)",
+}
+for _k, _e in _TEMPORAL.items():
+    QUERIES[f"temporal_{_k}"] = _temporal(_k)
+    SQL[f"temporal_{_k}"] = f"WITH {TEDGES} SELECT i, j, round({_e}, 6) AS w FROM tedges, steps GROUP BY 1, 2"
+QUERIES["temporal_change_point"] = _temporal("change_point")
+SQL["temporal_change_point"] = f"WITH {TEDGES}, pairs AS (SELECT DISTINCT i, j FROM tedges), dense AS (SELECT p.i, p.j, r.t, coalesce(e.w, 0) AS w FROM pairs p CROSS JOIN (SELECT unnest(range(s)) AS t FROM steps) r LEFT JOIN tedges e ON e.i = p.i AND e.j = p.j AND e.t = r.t), jumps AS (SELECT i, j, abs(w - lag(w) OVER (PARTITION BY i, j ORDER BY t)) AS g FROM dense) SELECT i, j, round(max(g), 6) AS w FROM jumps GROUP BY 1, 2"
+
+
+def states(spark: SparkSession, d: str) -> DataFrame:
+    """A user's commonest kind of event by day, the first by name on ties."""
+    e = read(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day"), "event_type").count()
+    best = e.groupBy("user_id", "day").agg(F.max_by("event_type", F.struct("count", F.translate("event_type", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba"))).alias("state"))
+    return best.select(F.col("user_id").alias("entity"), F.col("day").alias("t"), "state")
+
+
+STATES = "k AS (SELECT user_id AS entity, ts::DATE AS t, event_type, count(*) AS c FROM events GROUP BY 1, 2, 3), states AS (SELECT entity, t, event_type AS state FROM k QUALIFY row_number() OVER (PARTITION BY entity, t ORDER BY c DESC, event_type) = 1), seqs AS (SELECT entity, list(state ORDER BY t) AS seq FROM states GROUP BY 1)"
+
+
+@query(f"WITH {STATES} SELECT array_to_string(seq, '>') AS sequence, count(*) AS members FROM seqs GROUP BY 1")
+def trajectory_archetypes(spark, d):
+    return panel.archetypes(states(spark, d))
+
+
+@query(f"WITH {STATES}, s AS (SELECT state, lead(state) OVER (PARTITION BY entity ORDER BY t) AS next_state FROM states) SELECT state, next_state, count(*) AS n FROM s WHERE next_state IS NOT NULL GROUP BY 1, 2")
+def trajectory_transitions(spark, d):
+    return panel.transitions(states(spark, d))
+
+
+_CLASS = {
+    "complexity": "CASE WHEN n <= 1 THEN 'Singleton (1 visit)' WHEN kinds = 1 THEN 'Stable (0 entropy)' WHEN changes < 2 THEN 'Gradual Transition' ELSE 'Volatile / Refractory' END",
+    "transition": "CASE WHEN n <= 1 THEN 'Insufficient Visits (<2)' WHEN 1 - changes / (n - 1)::DOUBLE >= 0.8 THEN 'High Self-Retention' WHEN 1 - changes / (n - 1)::DOUBLE >= 0.4 THEN 'Moderate Self-Retention' ELSE 'Low Self-Retention' END",
+    "sequence": "CASE WHEN n <= 1 THEN 'Singleton Path' WHEN kinds = 1 THEN 'Monostate Path' ELSE 'Multistate Transitioning Path (' || kinds || ' states)' END",
+}
+
+
+def _classified(name: str) -> Query:
+    return lambda spark, d: panel.classify(states(spark, d), name)
+
+
+for _k, _e in _CLASS.items():
+    QUERIES[f"classify_{_k}"] = _classified(_k)
+    SQL[f"classify_{_k}"] = f"WITH {STATES}, s AS (SELECT entity, len(seq) AS n, len(list_distinct(seq)) AS kinds, len(list_filter(range(2, len(seq) + 1), lambda k: seq[k] <> seq[k - 1])) AS changes FROM seqs) SELECT entity, {_e} AS label FROM s"
+
+
+def observations(spark: SparkSession, d: str) -> DataFrame:
+    w = panel.pivot_panel(weeks(spark, d), "user_id", "wk", ["n", "v"], "allow_ragged")
+    return tables.with_node_id(w.select("entity", F.col("t_idx").alias("t")), "t", "entity", name="obs_id")
+
+
+OBS = f"WITH {WEEKS}, obs AS (SELECT row_number() OVER (ORDER BY t_idx, entity) - 1 AS obs_id, entity, t_idx AS t FROM weeks JOIN times USING (wk))"
+
+
+@query(OBS + " SELECT a.obs_id AS i, b.obs_id AS j FROM obs a JOIN obs b ON a.entity = b.entity AND b.t = a.t + 1")
+def trajectory_edges(spark, d):
+    return panel.trajectory_edges(observations(spark, d))
+
+
+@query()
+def trajectory_graph(spark, d):
+    snapshots = panel.pivot_panel(weeks(spark, d), "user_id", "wk", ["n", "v"], "allow_ragged")
+    obs, edges, _ = sweep.trajectory(snapshots, ["n", "v"], SweepConfig(dimensions=[2], seeds=[42], epsilons=[0.3], construction="exact"))
+    return rounded(panel.cross_time(edges, obs, 0.5))
+
+
+@query()
+def temporal_graph(spark, d):
+    rows = panel.pivot_panel(weeks(spark, d), "user_id", "wk", ["n", "v"], "drop_entity")
+    w, steps = sweep.temporal(rows, ["n", "v"], SweepConfig(dimensions=[2], seeds=[42], epsilons=[0.4]))
+    return rounded(panel.persistence(w, steps, 0.1))
+
+
+@query("WITH s AS (SELECT DISTINCT p_brand AS s FROM part) SELECT a.s AS a, b.s AS b, levenshtein(a.s, b.s) AS distance FROM s a JOIN s b ON a.s < b.s")
+def sequence_levenshtein(spark, d):
+    brands = read(spark, d, "part").select(F.transform(F.split("p_brand", ""), lambda c: F.ascii(c) - 33).alias("seq")).distinct()
+    return panel.sequence_distances(brands)
+
+
+@query()
+def sequence_dtw(spark, d):
+    brands = read(spark, d, "part").select(F.transform(F.split("p_brand", ""), lambda c: F.ascii(c) - 33).alias("seq")).distinct()
+    return panel.sequence_distances(brands, "dtw")
+
+
+# Exports and sweeps --------------------------------------------------------------------------------------------------
+
+
+@query(GRAPH + f" SELECT i AS source_id, j AS target_id, round(w::FLOAT::DOUBLE, 5) AS weight FROM edges WHERE w > {TAU}")
+def export_edges(spark, d):
+    _, edges, _ = customer_graph(spark, d)
+    out = tables.edge_table(edges, TAU)
+    return out.withColumn("weight", F.round(F.col("weight").cast("double"), 5))
+
+
+@query(REACH + ", lab AS (SELECT node_id, dense_rank() OVER (ORDER BY root) - 1 AS label FROM roots) SELECT label AS group_id, 'Group ' || label AS name, count(*) || ' members' AS \"desc\", array_to_string(list(node_id ORDER BY node_id), ',') AS members FROM lab GROUP BY 1")
+def export_groups(spark, d):
+    nodes, edges, _ = customer_graph(spark, d)
+    g = tables.group_table(stability.component_labels(nodes, edges, TAU))
+    return g.select("group_id", "name", "desc", F.array_join(F.col("member_ids").cast("array<string>"), ",").alias("members"))
+
+
+@query()
+def export_nodes(spark, d):
+    nodes, edges, _ = customer_graph(spark, d)
+    return tables.node_table(nodes, edges, stability.component_labels(nodes, edges, TAU), passthrough=["c_custkey"])
+
+
+@query(REACH + " SELECT i, j, round(w, 6) AS w, r.root AS component FROM edges JOIN roots r ON r.node_id = i")
+def sweep_exact(spark, d):
+    """The flagship: impute, scale, cover, weigh, and label every edge with its component at a threshold."""
+    nodes, edges, _ = customer_graph(spark, d)
+    from coverlace.operators.components import connected_components
+
+    comps = connected_components(edges.where(F.col("w") > TAU), "i", "j")
+    placed = nodes.select("node_id").join(comps, F.col("node_id") == F.col("node"), "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
+    return rounded(edges.join(placed, edges.i == placed.node_id).select("i", "j", "w", "component"))
+
+
+@query()
+def sweep_minhash(spark, d):
+    """Several projections and radii, MinHash weights, automatic threshold, clusters by size."""
+    config = {"preprocessing": {"impute": {"a": "fill_mean", "b": "fill_median"}}, "sweep": {"projection": {"dimensions": [1, 2], "seed": [42, 7]}, "ball_mapper": {"epsilon": {"range": {"min": 0.2, "max": 0.4, "steps": 2}}}}, "cosmic_graph": {"minhash_d": 128}}
+    fitted = sweep.Sweep(config).fit(customers(spark, d).select("node_id", "a", "b"))
+    return fitted.components(by_size=True)
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/customer.parquet")
+flagship = sweep_exact
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
