@@ -89,7 +89,8 @@ def fingerprint(image: np.ndarray) -> np.ndarray:
 
 def samples_of(media: bytes | None) -> np.ndarray:
     """Samples of a media cell: little-endian 16-bit mono at RATE."""
-    return np.frombuffer(media or b"", "<i2")[: len(media or b"") // 2]
+    media = media or b""
+    return np.frombuffer(media, "<i2", count=len(media) // 2)
 
 
 def rendered(vectors: DataFrame, key: str = "vec_id", values: str = "embedding") -> DataFrame:
