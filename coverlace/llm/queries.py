@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from coverlace.llm import audio, bpe, dedup, extract, lm, minhash, packing, simhash, toxicity, urls
+from coverlace.llm import audio, bpe, dedup, extract, lm, minhash, oracles, packing, simhash, toxicity, urls
 from coverlace.llm.common import documents, pages
 
 
@@ -30,7 +31,8 @@ def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.verdicts(pages(spark, sf_dir), URL_RULES)
+    out = urls.verdicts(pages(spark, sf_dir), URL_RULES)
+    return out.withColumns({c: F.round(c, 9) for c in ("trust", "distrust")})
 
 
 def op7_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +69,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others have tokenizers, models, fingerprints or parsers that SQL lacks; tests/llm hold them against plain
+    versions."""
+    return {"op4_url_filters": oracles.url_filters(URL_RULES)}
