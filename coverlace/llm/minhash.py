@@ -120,12 +120,17 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     entries = materialize(entries, "entries")
     follows = materialize(neighbours(entries), "follows")
     before = entries.join(follows, "key").select(F.col("next_key").alias("key"), F.col("key").alias("prev_key"), F.floor(F.col("n") / 2).cast("int").alias("need"))
-    plan = before.join(follows, "key").select(F.col("key.doc_id").alias("e_id"), F.col("key.th").alias("e_th"), "prev_key", "need", "next_key")
-    key = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    placed = rows.join(plan.hint("shuffle_merge"), key("doc_id", "e_id") & (F.col("th") == F.col("e_th")))
-    once = placed.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "th").orderBy("need"))).where("nth = 1")
-    heads = once.select(F.col("prev_key.doc_id").alias("p_id"), F.col("prev_key.th").alias("p_th"), F.expr("substring(text, 1, need)").alias("head"))
-    both = placed.join(heads.hint("shuffle_merge"), key("doc_id", "p_id") & (F.col("th") == F.col("p_th")))
+    plan = before.join(follows, "key")
+    # One set of plain columns carries the null-safe key through both joins and the window, so texts are shuffled once
+    # and only the heads that the previous documents need are shuffled again.
+    parts = lambda c, p: [F.coalesce(c["doc_id"], F.lit(0)).alias(f"{p}id"), c["doc_id"].isNull().alias(f"{p}null"), c["th"].alias(f"{p}th")]
+    plan = plan.select(*parts(F.col("key"), "e"), "prev_key", "need", "next_key")
+    keyed = rows.select(F.coalesce("doc_id", F.lit(0)).alias("kid"), F.col("doc_id").isNull().alias("knull"), F.col("th").alias("kth"), "text")
+    same = lambda p: (F.col("kid") == F.col(f"{p}id")) & (F.col("knull") == F.col(f"{p}null")) & (F.col("kth") == F.col(f"{p}th"))
+    placed = keyed.join(plan.hint("shuffle_merge"), same("e"))
+    once = placed.withColumn("nth", F.row_number().over(Window.partitionBy("kid", "knull", "kth").orderBy("need"))).where("nth = 1")
+    heads = once.select(*parts(F.col("prev_key"), "p"), F.expr("substring(text, 1, need)").alias("head"))
+    both = placed.join(heads.hint("shuffle_merge"), same("p")).withColumns({"doc_id": F.when(~F.col("knull"), F.col("kid")), "th": F.col("kth")})
     n = F.char_length("text")
     both = both.select("doc_id", "th", "next_key", "text", n.cast("long").alias("n_chars"), F.concat(F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 2) as int))"), F.col("head")).alias("edited"))
     printed = both.select("doc_id", "th", "next_key", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), packed(fingerprint_bytes(F.col("text"))).alias("fingerprint"), packed(fingerprint_bytes(F.col("edited"))).alias("edited_fingerprint"))
