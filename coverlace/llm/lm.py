@@ -25,8 +25,9 @@ ORDER = 3
 BACKOFF = 0.4
 SHARD_BYTES = 6 << 20
 BLOCK = 1 << 20
-#: Bits of an n-gram's hash that are kept; two n-grams of 10**12 meet by chance with odds of one in 10**5.
-BITS = 56
+#: Bits of an n-gram's hash beyond those that number the corpus' bytes: an n-gram meets another by chance about once in
+#: 2**(SPARE_BITS + 1), at every size, and sorted hashes stay a few bytes apart.
+SPARE_BITS = 18
 #: The value under which shards send their number of words.
 TOTAL = np.uint64(0)
 
@@ -95,7 +96,7 @@ def hash_long(word: bytes) -> int:
 class Grams:
     """N-grams of a shard's documents: per order k the value of the k-gram that ends at each word, and which exist."""
 
-    def __init__(self, table: pa.Table, order: int):
+    def __init__(self, table: pa.Table, order: int, bits: int):
         ids = table["doc_id"].to_pylist()
         datas = [b"" if x is None else x for x in table["text"].cast(pa.large_binary()).to_pylist()]
         rank = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, datas[i]))
@@ -103,7 +104,7 @@ class Grams:
         words, self.n = document_words([datas[i] for i in rank])
         self.doc = np.repeat(np.arange(len(self.n)), self.n)
         place = np.arange(len(words)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
-        shift = np.uint64(64 - BITS)
+        shift = np.uint64(64 - bits)
         values, self.exists, h = [], [], np.zeros(len(words), np.uint64)
         for k in range(order):
             before = np.concatenate((np.zeros(min(k, len(words)), np.uint64), words[: max(0, len(words) - k)]))
@@ -177,21 +178,25 @@ def document_scores(g: Grams, total: np.ndarray, n_words: int, order: int) -> tu
 
 def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, n_words, full_context, log10_sum, log10_mean for every row of ``docs``."""
-    shards = n_shards_for(text_bytes(docs), SHARD_BYTES)
+    total_bytes = text_bytes(docs)
+    shards = n_shards_for(total_bytes, SHARD_BYTES)
     buckets = max(1, -(-shards // 2))
+    bits = min(64, SPARE_BITS + max(16, total_bytes.bit_length()))
     texts = sharded(docs, shards)
+    # Within a bucket the remainder of all values is the same, so what is sent is the quotient.
+    packed = lambda v: pack_sorted(v // np.uint64(buckets))
 
     def send(t: pa.Table) -> pa.Table:
         if not t.num_rows:
             return _rows([])
-        g, shard = Grams(t, order), t["shard"][0].as_py()
-        rows = [(b, shard, pack_sorted(g.distinct[k]), _squeeze(g.count[k])) for b, k in g.by_bucket(buckets) if len(k) and b]
+        g, shard = Grams(t, order, bits), t["shard"][0].as_py()
+        rows = [(b, shard, packed(g.distinct[k]), _squeeze(g.count[k])) for b, k in g.by_bucket(buckets) if len(k) and b]
         first = next(k for b, k in g.by_bucket(buckets) if b == 0)
-        rows.append((0, shard, pack_sorted(np.concatenate(([TOTAL], g.distinct[first]))), _squeeze(np.concatenate(([len(g.doc)], g.count[first])))))
+        rows.append((0, shard, packed(np.concatenate(([TOTAL], g.distinct[first]))), _squeeze(np.concatenate(([len(g.doc)], g.count[first])))))
         return _rows(rows)
 
     def score(t: pa.Table, told: pa.Table) -> pa.Table:
-        g = Grams(t, order)
+        g = Grams(t, order, bits)
         blobs = dict(zip(told["bucket"].to_pylist(), told["b"].to_pylist()))
         total, n_words = np.zeros(len(g.distinct), np.int64), 0
         for b, k in g.by_bucket(buckets):
