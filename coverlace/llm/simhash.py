@@ -85,7 +85,7 @@ class Forest:
     """Union-find over 0..n-1 for arrays of links."""
 
     def __init__(self, n: int):
-        self.label = np.arange(n)
+        self.label, self.version = np.arange(n), 0
 
     def link(self, a: np.ndarray, b: np.ndarray) -> None:
         label = self.label
@@ -94,6 +94,7 @@ class Forest:
             apart = x != y
             if not apart.any():
                 return
+            self.version += 1
             a, b, x, y = a[apart], b[apart], x[apart], y[apart]
             np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
             while True:
@@ -103,19 +104,31 @@ class Forest:
                 label[:] = jumped
 
 
-def walk(keys: np.ndarray, roots: np.ndarray, top: int, errors: int, forest: Forest, chunk: int = 1 << 18) -> None:
+def walk(keys: np.ndarray, roots: np.ndarray, top: int, errors: int, forest: Forest, chunk: int = 1 << 13) -> None:
     """Link in ``forest`` all keys within ``errors`` bits of each other below the same root.
 
     ``keys`` are sorted 64-bit; ``roots`` holds rows (a0, a1, b0, b1, bits used up); ``top`` is the number of leading
-    bits that the walk has passed.
+    bits that the walk has passed. A few pairs at a time are followed to the leaves, and pairs of nodes whose keys are
+    all in one component already are not followed, so a family of close keys costs little more than its members.
     """
     stack = [(roots.astype(np.int64), top)]
     one = np.uint64(1)
+    near = np.flatnonzero(popcount(keys[1:] ^ keys[:-1]) <= errors)
+    forest.link(near, near + 1)
+    version, changes = -1, np.zeros(0, np.int64)
     while stack:
         pairs, level = stack.pop()
         if len(pairs) > chunk:
             stack += [(pairs[i : i + chunk], level) for i in range(0, len(pairs), chunk)]
             continue
+        if version != forest.version:
+            changes = np.concatenate(([0], np.cumsum(forest.label[1:] != forest.label[:-1])))
+            version = forest.version
+        a0, a1, b0, b1, _ = pairs.T
+        joined = (changes[a0] == changes[a1 - 1]) & (changes[b0] == changes[b1 - 1]) & (forest.label[a0] == forest.label[b0])
+        pairs = pairs[~joined]
+        if not len(pairs):
+            continue
         a0, a1, b0, b1, used = pairs.T
         same = a0 == b0
         single = (a1 - a0 == 1) & (b1 - b0 == 1)
