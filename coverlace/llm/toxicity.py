@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 #: Labelled rows that the models are fitted on at most, those with the least hash of their id.
 MAX_LABELLED = 20_000
 #: Words in the models at most, those in most documents; the others have the rare word's ratio.
-MAX_WORDS = 200_000
+MAX_WORDS = 100_000
 #: The rows of each of so many parts are scored by counts of the others; those scores fit the logistic curve.
 PARTS = 5
 #: Characters of a word's beginning, and the mark before beginnings in tables of counts.
