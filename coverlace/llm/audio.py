@@ -39,6 +39,8 @@ COMMON = 64
 #: they hold, as the queries are a stated set.
 DEPTHS = (1, 4, 16)
 MIN_VOTES, MAX_ERROR = 4, 0.25
+#: Recordings that are rendered at a time.
+RENDERED = 64
 
 
 def chroma(samples: np.ndarray) -> np.ndarray:
@@ -102,14 +104,15 @@ def rendered(vectors: DataFrame, key: str = "vec_id", values: str = "embedding")
     time = np.arange(note) / RATE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            media = []
-            for v in batch.column(values).to_pylist():
-                x = np.array([0.0 if y is None else y for y in v or []])
-                pitch = 220.0 * 2 ** (np.clip(np.round(x * 48), -12, 24) / 12)
-                sound = np.sin(2 * np.pi * pitch[:, None] * time) + 0.4 * np.sin(4 * np.pi * pitch[:, None] * time)
-                media.append((sound.ravel() * 8000).astype("<i2").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(key).cast(pa.int64()), pa.array(media, pa.binary())], names=["id", "media"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, RENDERED):
+                batch, media = whole.slice(at, RENDERED), []
+                for v in batch.column(values).to_pylist():
+                    x = np.array([0.0 if y is None else y for y in v or []])
+                    pitch = 220.0 * 2 ** (np.clip(np.round(x * 48), -12, 24) / 12)
+                    sound = np.sin(2 * np.pi * pitch[:, None] * time) + 0.4 * np.sin(4 * np.pi * pitch[:, None] * time)
+                    media.append((sound.ravel() * 8000).astype("<i2").tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(key).cast(pa.int64()), pa.array(media, pa.binary())], names=["id", "media"])
 
     return vectors.select(key, values).mapInArrow(run, "id long, media binary")
 
@@ -133,14 +136,14 @@ def alignments(prints: DataFrame, every: int = 20) -> DataFrame:
     prints = materialize(prints, "codes")
     classes = prints.groupBy("digest").agg(F.min("id").alias("rec"), F.max((F.col("id") % every == 0).cast("int")).alias("asks"), F.count(F.lit(1)).alias("copies"), F.first("codes").alias("codes"))
     classes = materialize(classes.select("rec", "asks", "copies", "codes"), "recordings")
-    frames = classes.where(F.size("codes") > 0).select("rec", "asks", F.posexplode("codes").alias("pos", "code"), F.col("codes"))
-    # A code that is the same as the one before says nothing new: the first of a run stands for it.
-    frames = frames.where((F.col("pos") == 0) | (F.get("codes", F.col("pos") - 1) != F.col("code")))
-    level = frames.select("rec", "asks", "pos", F.col("code").alias("key"), "codes")
+    # Keys of all lengths are made where the codes are; what is shuffled is a few numbers a frame. A code that is the same
+    # as the one before says nothing new: the first of a run stands for it.
+    keys = [F.xxhash64(F.slice("codes", F.col("pos") + 1, d)).alias(f"k{d}") for d in DEPTHS]
+    frames = classes.where(F.size("codes") > 0).select("rec", "asks", "codes", F.posexplode("codes").alias("pos", "code"))
+    level = frames.where((F.col("pos") == 0) | (F.get("codes", F.col("pos") - 1) != F.col("code"))).select("rec", "asks", "pos", *keys)
     votes = []
     for depth in DEPTHS:
-        if depth > 1:
-            level = level.withColumn("key", F.xxhash64(F.slice("codes", F.col("pos") + 1, depth)))
+        level = level.withColumn("key", F.col(f"k{depth}"))
         count = level.groupBy("key").agg(F.approx_count_distinct("rec").alias("n"), F.max("asks").alias("asked"))
         last = depth == DEPTHS[-1]
         rare = count.where("asked = 1 and n > 1" + ("" if last else f" and n <= {COMMON}")).select("key")
