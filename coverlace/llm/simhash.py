@@ -104,6 +104,27 @@ class Forest:
                 label[:] = jumped
 
 
+def _children(keys: np.ndarray, pairs: np.ndarray, same: np.ndarray, level: int, errors: int) -> np.ndarray:
+    """The pairs of nodes a bit below ``pairs`` that are within the budget."""
+    a0, a1, b0, b1, used = pairs.T
+    bit, one = np.uint64(63 - level), np.uint64(1)
+
+    def middle(lo, hi):
+        first = ((keys[lo] >> bit >> one << one) | one) << bit
+        return np.clip(np.searchsorted(keys, first), lo, hi)
+
+    am, bm = middle(a0, a1), middle(b0, b1)
+    kids = [
+        np.stack([a0, am, b0, bm, used], 1),
+        np.stack([am, a1, bm, b1, used], 1),
+        np.stack([a0, am, bm, b1, used + 1], 1),
+        np.stack([am, a1, b0, bm, used + 1], 1)[~same],
+    ]
+    kids = np.concatenate(kids)
+    kids = kids[(kids[:, 0] < kids[:, 1]) & (kids[:, 2] < kids[:, 3]) & (kids[:, 4] <= errors)]
+    return kids[~((kids[:, 0] == kids[:, 2]) & (kids[:, 1] - kids[:, 0] == 1))]
+
+
 def walk(keys: np.ndarray, roots: np.ndarray, top: int, errors: int, forest: Forest, chunk: int = 1 << 13) -> None:
     """Link in ``forest`` all keys within ``errors`` bits of each other below the same root.
 
@@ -112,7 +133,6 @@ def walk(keys: np.ndarray, roots: np.ndarray, top: int, errors: int, forest: For
     all in one component already are not followed, so a family of close keys costs little more than its members.
     """
     stack = [(roots.astype(np.int64), top)]
-    one = np.uint64(1)
     near = np.flatnonzero(popcount(keys[1:] ^ keys[:-1]) <= errors)
     forest.link(near, near + 1)
     version, changes = -1, np.zeros(0, np.int64)
@@ -143,25 +163,37 @@ def walk(keys: np.ndarray, roots: np.ndarray, top: int, errors: int, forest: For
         pairs, same = pairs[go], same[go]
         if not len(pairs):
             continue
-        a0, a1, b0, b1, used = pairs.T
-        bit = np.uint64(63 - level)
-
-        def middle(lo, hi):
-            first = ((keys[lo] >> bit >> one << one) | one) << bit
-            return np.clip(np.searchsorted(keys, first), lo, hi)
-
-        am, bm = middle(a0, a1), middle(b0, b1)
-        kids = [
-            np.stack([a0, am, b0, bm, used], 1),
-            np.stack([am, a1, bm, b1, used], 1),
-            np.stack([a0, am, bm, b1, used + 1], 1),
-            np.stack([am, a1, b0, bm, used + 1], 1)[~same],
-        ]
-        kids = np.concatenate(kids)
-        kids = kids[(kids[:, 0] < kids[:, 1]) & (kids[:, 2] < kids[:, 3]) & (kids[:, 4] <= errors)]
-        kids = kids[~((kids[:, 0] == kids[:, 2]) & (kids[:, 1] - kids[:, 0] == 1))]
+        kids = _children(keys, pairs, same, level, errors)
+        if len(kids):
+            stack.append((kids, level + 1))
+
+
+def apart(keys: np.ndarray, groups: np.ndarray, roots: np.ndarray, top: int, errors: int, chunk: int = 1 << 13) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of places in sorted ``keys`` within ``errors`` bits below the same root whose ``groups`` differ; a negative
+    group differs from every other. Nothing is joined on the way: a pair is passed over only inside one group."""
+    stack, out = [(roots.astype(np.int64), top)], []
+    changes = np.concatenate(([0], np.cumsum((groups[1:] != groups[:-1]) | (groups[1:] < 0))))
+    while stack:
+        pairs, level = stack.pop()
+        if len(pairs) > chunk:
+            stack += [(pairs[i : i + chunk], level) for i in range(0, len(pairs), chunk)]
+            continue
+        a0, a1, b0, b1, _ = pairs.T
+        joined = (changes[a0] == changes[a1 - 1]) & (changes[b0] == changes[b1 - 1]) & (groups[a0] == groups[b0]) & (groups[a0] >= 0)
+        single, same = (a1 - a0 == 1) & (b1 - b0 == 1), a0 == b0
+        ends = single & ~same & ~joined
+        i, j = a0[ends], b0[ends]
+        near = popcount(keys[i] ^ keys[j]) <= errors
+        out.append((i[near], j[near]))
+        go = ~single & ~joined
+        pairs, same = pairs[go], same[go]
+        if level >= 64 or not len(pairs):
+            continue
+        kids = _children(keys, pairs, same, level, errors)
         if len(kids):
             stack.append((kids, level + 1))
+    i, j = (np.concatenate([np.zeros(0, np.int64), *(o[c] for o in out)]) for c in (0, 1))
+    return i, j
 
 
 def _rotated(fp: np.ndarray, shift: np.ndarray) -> np.ndarray:
@@ -169,48 +201,64 @@ def _rotated(fp: np.ndarray, shift: np.ndarray) -> np.ndarray:
     return np.where(s == 0, fp, (fp << s) | (fp >> (np.uint64(64) - np.where(s == 0, np.uint64(1), s))))
 
 
-def trie_links(keys: np.ndarray, roots: np.ndarray, level: int, errors: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between sorted ``keys`` below ``roots``, as two arrays of keys."""
+def trie_links(keys: np.ndarray, roots: np.ndarray, level: int, errors: int, groups: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between sorted ``keys`` below ``roots``, as two arrays of keys; with ``groups``, all
+    links between different ones."""
+    if groups is not None:
+        i, j = apart(keys, groups, roots, level, errors)
+        return keys[i], keys[j]
     forest = Forest(len(keys))
     walk(keys, roots, level, errors, forest)
     found = np.flatnonzero(forest.label != np.arange(len(keys)))
     return keys[found], keys[forest.label[found]]
 
 
-def whole_tries(keys: np.ndarray, width: int, errors: int) -> tuple[np.ndarray, np.ndarray]:
+def _unique(keys: np.ndarray, groups: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
+    keys, first = np.unique(keys, return_index=True)
+    return keys, None if groups is None else groups[first]
+
+
+def whole_tries(keys: np.ndarray, width: int, errors: int, groups: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links within each trie of ``keys`` that agree on their first ``width`` bits."""
-    keys = np.unique(keys)
+    keys, groups = _unique(keys, groups)
     head = keys >> np.uint64(64 - width)
     starts = np.flatnonzero(np.concatenate(([True], head[1:] != head[:-1])))
     stops = np.append(starts[1:], len(keys))
     roots = np.stack([starts, stops, starts, stops, np.zeros_like(starts)], 1)[stops - starts > 1]
-    return trie_links(keys, roots, width, errors)
+    return trie_links(keys, roots, width, errors, groups)
 
 
-def dealt_tries(keys: np.ndarray, p: np.ndarray, q: np.ndarray, width: int, errors: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def dealt_tries(keys: np.ndarray, p: np.ndarray, q: np.ndarray, width: int, errors: int, groups: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links between pairs of nodes (p, q) that stand SPLIT_BITS below the roots of hot tries."""
     out, split, mask = [], np.uint64(SPLIT_BITS), np.uint64((1 << SPLIT_BITS) - 1)
     tag = (keys >> np.uint64(64 - width)) << (split + split) | p.astype(np.uint64) << split | q.astype(np.uint64)
     for t in np.unique(tag):
-        own = np.unique(keys[tag == t])
+        own, of = _unique(keys[tag == t], None if groups is None else groups[tag == t])
         node = own >> np.uint64(64 - width - SPLIT_BITS) & mask
         a, b, n = int(t >> split & mask), int(t & mask), len(own)
         cut = 0 if a == b else int(np.searchsorted(node, np.uint64(b)))
         root = [0, n, 0, n, 0] if a == b else [0, cut, cut, n, (a ^ b).bit_count()]
         if root[0] < root[1] and root[2] < root[3]:
-            out.append(trie_links(own, np.array([root]), width + SPLIT_BITS, errors))
+            out.append(trie_links(own, np.array([root]), width + SPLIT_BITS, errors, of))
     return out
 
 
 def links(prints: DataFrame, errors: int = 3) -> DataFrame:
     """(tab, a, b): links whose components are those of all pairs of ``prints`` (tab, fp; distinct rows) of one table
-    within ``errors`` bits."""
+    within ``errors`` bits.
+
+    Where ``prints`` has a column grp, all pairs within ``errors`` bits whose grp differ, each once; a null grp differs from
+    every other.
+    """
     spark = prints.sparkSession
     blocks, width = errors + 1, 64 // (errors + 1)
     n = prints.count()
     turned = lambda b: F.shiftleft("fp", b * width).bitwiseOR(F.shiftrightunsigned("fp", 64 - b * width)) if b else F.col("fp")
-    each = prints.select("tab", F.explode(F.array(*[F.struct(F.lit(b).alias("block"), turned(b).alias("key")) for b in range(blocks)])).alias("x"))
-    each = each.select("tab", F.col("x.block").alias("block"), F.col("x.key").alias("key"), F.shiftrightunsigned("x.key", 64 - width).alias("head"))
+    grouped = "grp" in prints.columns
+    extra = [F.coalesce("grp", F.lit(-1)).cast("long").alias("grp")] if grouped else []
+    each = prints.select("tab", *extra, F.explode(F.array(*[F.struct(F.lit(b).alias("block"), turned(b).alias("key")) for b in range(blocks)])).alias("x"))
+    extra = ["grp"] if grouped else []
+    each = each.select("tab", *extra, F.col("x.block").alias("block"), F.col("x.key").alias("key"), F.shiftrightunsigned("x.key", 64 - width).alias("head"))
     node = F.shiftrightunsigned("key", 64 - width - SPLIT_BITS).bitwiseAND((1 << SPLIT_BITS) - 1).cast("int")
     # At most tables * blocks * 2**width heads exist, so the broadcast table is bounded whatever the input.
     hot = each.groupBy("tab", "block", "head").count().where(F.col("count") > HOT_TRIE).select("tab", "block", "head", F.lit(True).alias("hot"))
@@ -220,19 +268,27 @@ def links(prints: DataFrame, errors: int = 3) -> DataFrame:
     lo = F.when(F.col("other") < 0, -1).otherwise(F.least("node", "other"))
     hi = F.when(F.col("other") < 0, -1).otherwise(F.greatest("node", "other"))
     tasks = max(1, -(-n * blocks // TASK_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = dealt.select("tab", "block", "key", lo.alias("lo"), hi.alias("hi"), F.pmod(F.xxhash64("tab", "block", "head", lo, hi), F.lit(tasks)).cast("int").alias("task"))
+    dealt = dealt.select("tab", "block", "key", *extra, lo.alias("lo"), hi.alias("hi"), F.pmod(F.xxhash64("tab", "block", "head", lo, hi), F.lit(tasks)).cast("int").alias("task"))
 
     def run(t: pa.Table) -> pa.Table:
         kind, keys = t["tab"].to_numpy().astype(np.int64) * blocks + t["block"].to_numpy(), t["key"].to_numpy().view(np.uint64)
         p, q = t["lo"].to_numpy(), t["hi"].to_numpy()
+        groups = t["grp"].to_numpy() if grouped else None
         found = []
         for k in np.unique(kind):
             back = np.full(1, (64 - (k % blocks) * width) % 64)
             for is_dealt in (False, True):
                 pick = (kind == k) & ((p >= 0) == is_dealt)
                 if pick.any():
-                    pairs = dealt_tries(keys[pick], p[pick], q[pick], width, errors) if is_dealt else [whole_tries(keys[pick], width, errors)]
-                    found += [(k // blocks, _rotated(x, back), _rotated(y, back)) for x, y in pairs]
+                    own = groups[pick] if grouped else None
+                    pairs = dealt_tries(keys[pick], p[pick], q[pick], width, errors, own) if is_dealt else [whole_tries(keys[pick], width, errors, own)]
+                    for x, y in pairs:
+                        x, y = _rotated(x, back), _rotated(y, back)
+                        if grouped:  # keys that agree on an earlier block meet there
+                            tops = [(x ^ y) >> np.uint64(64 - (j + 1) * width) & np.uint64((1 << width) - 1) for j in range(k % blocks)]
+                            once = np.all([top != 0 for top in tops], axis=0) if tops else np.ones(len(x), bool)
+                            x, y = x[once], y[once]
+                        found.append((k // blocks, x, y))
         none = [np.zeros(0, np.uint64)]
         tab = np.concatenate([np.full(len(x), k) for k, x, _ in found] or [np.zeros(0)]).astype(np.int32)
         a, b = (np.concatenate([f[c] for f in found] or none).view(np.int64) for c in (1, 2))
@@ -259,6 +315,8 @@ def classes(docs: DataFrame, words: int = 3, errors: int = 3) -> DataFrame:
 TABLES = 8
 #: Least shingle hashes that a sketch keeps; texts of fewer shingles are compared exactly.
 SKETCH = 256
+#: Parts of the counts by which unlike texts are told apart without loss.
+PROFILE = 32
 _ODD, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -276,13 +334,28 @@ def word_set_fingerprints(data: bytes, tables: int = TABLES) -> list[int]:
     return out.view(np.int64).tolist()
 
 
-def sketch(data: bytes, k: int, size: int = SKETCH) -> bytes:
-    """The least hashes (the upper 32 bits of them) of the set of k-word shingles, ascending."""
+def shingle_hashes(data: bytes, k: int) -> np.ndarray:
+    """The upper 32 bits of the hashes of the set of k-word shingles, one for each."""
     from xxhash import xxh64_intdigest
 
     s = set(shingles(data, k))
-    h = np.unique(np.fromiter((xxh64_intdigest(x, 7) >> 32 for x in s), np.uint32, len(s)))
-    return h[:size].astype("<u4").tobytes()
+    return np.fromiter((xxh64_intdigest(x, 7) >> 32 for x in s), np.uint32, len(s))
+
+
+def sketch(data: bytes, k: int, size: int = SKETCH) -> bytes:
+    """The least hashes (the upper 32 bits of them) of the set of k-word shingles, ascending."""
+    return np.unique(shingle_hashes(data, k))[:size].astype("<u4").tobytes()
+
+
+def profile(hashes: np.ndarray) -> bytes:
+    """How many shingles fall in each of PROFILE parts: two sets differ in at least the sum of the counts' differences."""
+    return np.bincount(hashes % PROFILE, minlength=PROFILE).astype("<u4").tobytes()
+
+
+def similarity_of(a: bytes, b: bytes, k: int) -> float:
+    """Jaccard similarity of two texts' sets of k-word shingles."""
+    x, y = set(shingles(a, k)), set(shingles(b, k))
+    return len(x & y) / len(x | y) if x or y else 1.0
 
 
 def sketch_similarity(a: bytes, b: bytes, size: int = SKETCH) -> float:
@@ -296,41 +369,74 @@ def sketch_similarity(a: bytes, b: bytes, size: int = SKETCH) -> float:
     return float(np.isin(union, np.intersect1d(x, y)).mean())
 
 
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``pairs`` (a, b; digests) whose texts are ``similarity`` alike."""
+    own = lambda c: texts.select(F.col("digest").alias(c), F.col("sketch").alias(f"sketch_{c}"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = [sketch_similarity(x, y) >= similarity for x, y in zip(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist())]
+            yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    return materialize(pairs.join(own("a"), "a").join(own("b"), "b").mapInArrow(verify, "a string, b string"), "verified")
+
+
+def _components(texts: DataFrame, edges: DataFrame) -> DataFrame:
+    comps = connected_components(edges, "a", "b")
+    return texts.join(comps, F.col("digest") == F.col("node"), "left").drop("node").withColumn("component", F.coalesce("component", "digest"))
+
+
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, errors: int = 3) -> DataFrame:
     """(digest, kept_id, component): one row per different text, with its group's least digest and least doc_id.
 
-    Candidates come from the tries of all tables; a candidate counts if the shingles of both texts are ``similarity``
-    alike. Equal texts are one from the start.
+    Candidates are all pairs within ``errors`` bits in the tries of a table; a candidate counts if the shingles of both
+    texts are ``similarity`` alike. A first pass compares a spanning forest of the candidates; the second one compares
+    every candidate whose texts the first pass did not join. Equal texts are one from the start.
     """
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_list(batch.column("text"))
-            cols = [pa.array([hashlib.sha256(t).hexdigest()[:32] for t in texts]), pa.array([word_set_fingerprints(t) for t in texts], pa.list_(pa.int64())), pa.array([sketch(t, words) for t in texts], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *cols], names=["doc_id", "digest", "fps", "sketch"])
+            hashes = [shingle_hashes(t, words) for t in texts]
+            cols = [pa.array([hashlib.sha256(t).hexdigest()[:32] for t in texts]), pa.array([word_set_fingerprints(t) for t in texts], pa.list_(pa.int64()))]
+            cols += [pa.array([np.unique(h)[:SKETCH].astype("<u4").tobytes() for h in hashes], pa.binary()), pa.array([profile(h) for h in hashes], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *cols], names=["doc_id", "digest", "fps", "sketch", "profile"])
 
-    rows = materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest string, fps array<long>, sketch binary"), "words")
-    texts = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("fps").alias("fps"), F.min("sketch").alias("sketch"))
+    rows = materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest string, fps array<long>, sketch binary, profile binary"), "words")
+    texts = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("fps").alias("fps"), F.min("sketch").alias("sketch"), F.min("profile").alias("profile"))
     texts = materialize(texts, "texts")
     entries = texts.select("digest", F.posexplode("fps").alias("tab", "fp"))
     least = materialize(entries.groupBy("tab", "fp").agg(F.min("digest").alias("rep")), "classes")
     same = entries.join(least, ["tab", "fp"]).where("digest != rep").select(F.col("digest").alias("a"), F.col("rep").alias("b"))
     of = lambda c: least.select("tab", F.col("fp").alias(c), F.col("rep").alias(f"rep_{c}"))
     across = links(least.select("tab", "fp"), errors).join(of("a"), ["tab", "a"]).join(of("b"), ["tab", "b"]).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-    pairs = same.unionByName(across).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    own = lambda c: texts.select(F.col("digest").alias(c), F.col("sketch").alias(f"sketch_{c}"))
+    ordered = lambda p: p.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    first = _verified(ordered(same.unionByName(across)), texts, similarity)
+    edges = first.unionByName(_verified(ordered(_unjoined(_components(texts, first), similarity, errors)), texts, similarity))
+    placed = _components(texts, edges).select("digest", "doc_id", "component")
+    kept = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("k"))
+    return placed.join(kept, "component").select("digest", "component", F.col("k.doc_id").alias("kept_id"), (F.col("digest") == F.col("k.digest")).alias("kept"))
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _unjoined(texts: DataFrame, similarity: float, errors: int) -> DataFrame:
+    """(a, b): all candidates of different components in ``texts``, but those whose counts of shingles tell them apart."""
+    texts = materialize(texts.select("digest", "fps", "profile", F.xxhash64("component").bitwiseAND((1 << 62) - 1).alias("grp")), "joined")
+    entries = texts.select("digest", "grp", "profile", F.posexplode("fps").alias("tab", "fp"))
+    grouped = entries.groupBy("tab", "fp").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"))
+    grouped = materialize(grouped.select("tab", "fp", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("grp")), "groups")
+    found = links(grouped, errors).unionByName(grouped.where("grp is null").select("tab", F.col("fp").alias("a"), F.col("fp").alias("b")))
+    of = lambda c: entries.select("tab", F.col("fp").alias(c), F.col("digest").alias(f"digest_{c}"), F.col("grp").alias(f"grp_{c}"), F.col("profile").alias(f"profile_{c}"))
+    pairs = found.join(of("a"), ["tab", "a"]).join(of("b"), ["tab", "b"]).where("grp_a != grp_b and (a != b or digest_a < digest_b)")
+    most = (1 - similarity) / (1 + similarity) + 1e-9
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            alike = [sketch_similarity(x, y) >= similarity for x, y in zip(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, PROFILE).astype(np.int64) for c in ("profile_a", "profile_b"))
+            fit = np.abs(x - y).sum(axis=1) <= most * (x.sum(axis=1) + y.sum(axis=1))
+            yield pa.RecordBatch.from_arrays([batch.column("digest_a"), batch.column("digest_b")], names=["a", "b"]).filter(pa.array(fit))
 
-    edges = pairs.join(own("a"), "a").join(own("b"), "b").mapInArrow(verify, "a string, b string")
-    comps = connected_components(edges, "a", "b")
-    placed = texts.join(comps, F.col("digest") == F.col("node"), "left").select("digest", "doc_id", F.coalesce("component", "digest").alias("component"))
-    kept = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("k"))
-    return placed.join(kept, "component").select("digest", "component", F.col("k.doc_id").alias("kept_id"), (F.col("digest") == F.col("k.digest")).alias("kept"))
+    return pairs.select("digest_a", "digest_b", "profile_a", "profile_b").mapInArrow(near, "a string, b string")
 
 
 def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

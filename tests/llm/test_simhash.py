@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -77,3 +78,27 @@ def test_sketch_similarity():
     sa, sb = set(simhash.shingles(a, 5)), set(simhash.shingles(b, 5))
     assert simhash.sketch_similarity(simhash.sketch(a, 5), simhash.sketch(b, 5)) == pytest.approx(len(sa & sb) / len(sa | sb))
     assert simhash.sketch_similarity(simhash.sketch(b"", 5), simhash.sketch(b" ", 5)) == 1.0
+
+
+def test_near_copies_of_one_word_set_are_compared_with_each_other(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(120)]
+    b = " ".join(words)
+    c = " ".join(words[:60] + [words[61], words[60]] + words[62:])
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    least = min(digest(b), digest(c))
+    while digest(a := " ".join(rng.sample(words, len(words)))) > least:
+        pass
+    other = " ".join(rng.sample(words, len(words)))
+    docs = spark.createDataFrame([(1, a), (2, b), (3, c), (4, other)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.without_near_copies(docs).collect()) == [1, 2, 4]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_all_pairs_of_different_groups(seed):
+    rng = random.Random(seed)
+    keys = np.unique(np.array(family(rng, rng.getrandbits(64), 300, 6), np.uint64))
+    groups = np.array([rng.choice((-1, 1, 1, 1, 2)) for _ in keys])
+    i, j = simhash.apart(keys, groups, np.array([[0, len(keys), 0, len(keys), 0]]), 0, 3)
+    expected = {(x, y) for x in range(len(keys)) for y in range(x + 1, len(keys)) if int(keys[x] ^ keys[y]).bit_count() <= 3 and (groups[x] != groups[y] or groups[x] < 0)}
+    assert sorted(zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist())) == sorted(expected)
