@@ -313,8 +313,10 @@ def classes(docs: DataFrame, words: int = 3, errors: int = 3) -> DataFrame:
 
 #: Independent fingerprints of a document's set of words. Few changed words leave most tables within three bits.
 TABLES = 8
-#: Least shingle hashes that a sketch keeps; texts of fewer shingles are compared exactly.
+#: Least shingle hashes that a sketch keeps; texts of fewer shingles are compared by it, others by their full sets.
 SKETCH = 256
+#: Standard errors under the similarity at which a sketch rejects a pair.
+UNLIKE = 6
 #: Parts of the counts by which unlike texts are told apart without loss.
 PROFILE = 32
 _ODD, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
@@ -369,16 +371,35 @@ def sketch_similarity(a: bytes, b: bytes, size: int = SKETCH) -> float:
     return float(np.isin(union, np.intersect1d(x, y)).mean())
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The rows of ``pairs`` (a, b; digests) whose texts are ``similarity`` alike."""
+def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame:
+    """The rows of ``pairs`` (a, b; digests) whose texts are ``similarity`` alike.
+
+    Sketches of whole sets decide. Sketches of larger sets only reject pairs that are clearly unlike; the others are
+    compared by the full sets of shingles.
+    """
     own = lambda c: texts.select(F.col("digest").alias(c), F.col("sketch").alias(f"sketch_{c}"))
+    clear = similarity - UNLIKE * (similarity * (1 - similarity) / SKETCH) ** 0.5
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist()
+            part = np.array([max(len(i), len(j)) >= 4 * SKETCH for i, j in zip(x, y)], bool)
+            alike = np.array([sketch_similarity(i, j) for i, j in zip(x, y)]) >= np.where(part, clear, similarity)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(part)], names=["a", "b", "part"]).filter(pa.array(alike))
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            alike = [sketch_similarity(x, y) >= similarity for x, y in zip(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist())]
+            alike = [similarity_of(x.as_py().encode(), y.as_py().encode(), words) >= similarity for x, y in zip(batch.column("text_a"), batch.column("text_b"))]
             yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    return materialize(pairs.join(own("a"), "a").join(own("b"), "b").mapInArrow(verify, "a string, b string"), "verified")
+    measured = materialize(pairs.join(own("a"), "a").join(own("b"), "b").mapInArrow(measure, "a string, b string, part boolean"), "measured")
+    open_ = measured.where("part").select("a", "b")
+    needed = open_.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+    full = docs.select(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32).alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
+    full = materialize(full.join(needed, "digest", "left_semi").dropDuplicates(["digest"]), "full")
+    of = lambda c: full.select(F.col("digest").alias(c), F.col("text").alias(f"text_{c}"))
+    compared = open_.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a string, b string")
+    return materialize(measured.where("not part").select("a", "b").unionByName(compared), "verified")
 
 
 def _components(texts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -412,8 +433,8 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, errors
     of = lambda c: least.select("tab", F.col("fp").alias(c), F.col("rep").alias(f"rep_{c}"))
     across = links(least.select("tab", "fp"), errors).join(of("a"), ["tab", "a"]).join(of("b"), ["tab", "b"]).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     ordered = lambda p: p.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = _verified(ordered(same.unionByName(across)), texts, similarity)
-    edges = first.unionByName(_verified(ordered(_unjoined(_components(texts, first), similarity, errors)), texts, similarity))
+    first = _verified(ordered(same.unionByName(across)), texts, docs, similarity, words)
+    edges = first.unionByName(_verified(ordered(_unjoined(_components(texts, first), similarity, errors)), texts, docs, similarity, words))
     placed = _components(texts, edges).select("digest", "doc_id", "component")
     kept = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("k"))
     return placed.join(kept, "component").select("digest", "component", F.col("k.doc_id").alias("kept_id"), (F.col("digest") == F.col("k.digest")).alias("kept"))

@@ -102,3 +102,24 @@ def test_all_pairs_of_different_groups(seed):
     i, j = simhash.apart(keys, groups, np.array([[0, len(keys), 0, len(keys), 0]]), 0, 3)
     expected = {(x, y) for x in range(len(keys)) for y in range(x + 1, len(keys)) if int(keys[x] ^ keys[y]).bit_count() <= 3 and (groups[x] != groups[y] or groups[x] < 0)}
     assert sorted(zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist())) == sorted(expected)
+
+
+def test_long_texts_are_decided_on_full_sets(spark):
+    words = 5
+    texts = []
+    for seed in range(6):
+        rng = random.Random(seed)
+        base = [f"{seed}x{rng.getrandbits(30)}" for _ in range(2000)]
+        for changed in (40, 41, 42, 43, 44, 45, 46, 47):  # each change of a word takes five shingles of 1,996
+            places = range(20, 20 + changed * 40, 40)
+            texts.append((" ".join(base), " ".join("new" + w if i in places else w for i, w in enumerate(base))))
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()[:32]
+    rows = list({t for pair in texts for t in pair})
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    sketches = spark.createDataFrame([(digest(t), simhash.sketch(t.encode(), words)) for t in rows], "digest string, sketch binary")
+    pairs = spark.createDataFrame([(digest(a), digest(b)) for a, b in texts], "a string, b string")
+    true = {(digest(a), digest(b)) for a, b in texts if simhash.similarity_of(a.encode(), b.encode(), words) >= 0.8}
+    assert 0 < len(true) < len(texts)
+    assert {tuple(r) for r in simhash._verified(pairs, sketches, docs, 0.8, words).collect()} == true
+    by_sketch = {(digest(a), digest(b)) for a, b in texts if simhash.sketch_similarity(simhash.sketch(a.encode(), words), simhash.sketch(b.encode(), words)) >= 0.8}
+    assert by_sketch != true  # what decided before
