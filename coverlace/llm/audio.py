@@ -144,7 +144,7 @@ def alignments(prints: DataFrame, every: int = 20) -> DataFrame:
     votes = []
     for depth in DEPTHS:
         level = level.withColumn("key", F.col(f"k{depth}"))
-        count = level.groupBy("key").agg(F.approx_count_distinct("rec").alias("n"), F.max("asks").alias("asked"))
+        count = level.groupBy("key").agg(F.count_distinct("rec").alias("n"), F.max("asks").alias("asked"))
         last = depth == DEPTHS[-1]
         rare = count.where("asked = 1 and n > 1" + ("" if last else f" and n <= {COMMON}")).select("key")
         use = level.join(rare, "key", "left_semi").select("rec", "asks", "pos", "key")

@@ -287,6 +287,18 @@ def test_chroma(spark):
     assert got[1].aligned is None
 
 
+def test_chroma_links_two_recordings_whatever_their_ids(spark):
+    ids = spark.range(1, 20_000).select(F.col("id").alias("x"), F.explode(F.array(F.lit(0).cast("long"), "id")).alias("id"))
+    clash = ids.groupBy("x").agg(F.approx_count_distinct("id").alias("n")).where("n = 1 and x % 20 != 0").agg(F.min("x")).first()[0]
+    rng = np.random.default_rng(4)
+    t = np.arange(audio.RATE // 8) / audio.RATE
+    tune = np.concatenate([np.sin(2 * np.pi * 220 * 2 ** (n / 12) * t) for n in rng.integers(0, 24, 60)])
+    as_bytes = lambda x: (x * 8000).astype("<i2").tobytes()
+    media = [(0, as_bytes(tune)), (clash, as_bytes(tune + 0.02 * rng.standard_normal(len(tune))))]
+    got = {r.id: r for r in audio.searches(spark.createDataFrame(media, "id long, media binary")).collect()}
+    assert [m.match for m in got[0].aligned] == [clash]
+
+
 def test_integral_image_gives_sums():
     image = np.random.default_rng(0).random((20, 12))
     total = audio.integral(image)
