@@ -6,9 +6,8 @@ coded), and the filters' bits are packed into one integer per frame. Recordings
 equal integers at one offset: equal integers vote for (query, recording, offset), and the best offset of each pair is
 then compared bit by bit over the whole overlap.
 
-Only different recordings are indexed: rows with equal media are one class. An integer that stands in very many
-recordings (silence, a jingle) is not joined with itself as it is: its frames are keyed together with the integers after
-it, once and again, until the keys are rare or the recordings end, so its votes come from longer equal runs.
+Only different recordings are indexed: rows with equal media are one class. The queries go to all tasks, some at a time, and
+each task counts the votes of its own recordings, so no integer is too common to vote; equal integers in a row vote as runs.
 
 Cases: null or empty media have no frames and no matches; shorter recordings than a filter have none either; repeated
 rows share a class; an empty table gives an empty result; other columns are ignored.
@@ -17,6 +16,7 @@ rows share a class; an empty table gives an empty result; other columns are igno
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +33,9 @@ FILTERS = [("time", 0, 3, 8), ("class", 4, 4, 4), ("middle", 2, 6, 9), ("time",
 #: Bounds between the four values of a filter's log ratio.
 BOUNDS = np.array([-0.15, 0.0, 0.15])
 SPAN = max(f[3] for f in FILTERS)
-#: Recordings beyond which an integer is keyed with its followers.
-COMMON = 64
-#: Frames that a key covers, first and where the shorter one is common; keys of the last length are joined whatever
-#: they hold, as the queries are a stated set.
-DEPTHS = (1, 4, 16)
+#: Frames of queries that are sent to the tasks at a time, about, and pairs of runs or frames that a task holds.
+QUERY_FRAMES, HITS = 1 << 21, 1 << 20
+ALIGNED = "query long, match long, offset int, votes long, overlap int, bit_error double, match_copies long"
 MIN_VOTES, MAX_ERROR = 4, 0.25
 #: Recordings that are rendered at a time.
 RENDERED = 64
@@ -130,41 +128,109 @@ def fingerprints(recordings: DataFrame) -> DataFrame:
     return recordings.mapInArrow(run, "id long, digest string, codes array<long>")
 
 
+def _flat(codes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of all rows in a row, and where each row's begin (and the last one's end)."""
+    if isinstance(codes, pa.ChunkedArray):
+        codes = pa.concat_arrays(codes.chunks) if codes.num_chunks else pa.array([], codes.type)
+    return codes.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(codes.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+
+
+def _runs(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of equal codes: code, row, first frame in the row, and length."""
+    row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    at = np.flatnonzero(np.concatenate((np.ones(min(len(codes), 1), bool), (codes[1:] != codes[:-1]) | (row[1:] != row[:-1]))))
+    return codes[at], row[at], at - starts[row[at]], np.diff(np.append(at, len(codes)))
+
+
+def _spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which range, and which number of it, for ``count`` numbers from each of ``first``."""
+    of = np.repeat(np.arange(len(count)), count)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + first[of]
+
+
+class Queries:
+    """Recordings asked for, with their runs of equal codes in order of the codes."""
+
+    def __init__(self, rec: np.ndarray, codes: np.ndarray, starts: np.ndarray):
+        self.rec, self.codes, self.starts = rec, codes, starts
+        code, row, first, size = _runs(codes, starts)
+        order = np.argsort(code, kind="stable")
+        self.code, self.row, self.first, self.size = code[order], row[order], first[order], size[order]
+
+    def best(self, row: np.ndarray, first: np.ndarray, size: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Query, row, votes and offset of the best offset of every pair with MIN_VOTES votes there, from pairs of runs.
+
+        The votes of two runs rise, stay and fall over the offsets by one a step, so four changes of slope say all of them;
+        the most votes stand just before a change of slope.
+        """
+        q, q_first, q_size = self.row[run], self.first[run], self.size[run]
+        pair = row * len(self.rec) + q
+        ids, of = np.unique(pair, return_inverse=True)
+        use = (np.bincount(of, weights=size * q_size) >= MIN_VOTES)[of]  # no offset has more votes than all together
+        pair, lo, q_size, size = pair[use], (first - q_first - q_size + 1)[use], q_size[use], size[use]
+        ids = np.unique(pair)
+        bend = np.concatenate([lo, lo + size, lo + q_size, lo + size + q_size, np.ones(len(ids), np.int64)])  # offset 0 wins ties
+        turn = np.concatenate([np.repeat([1, -1, -1, 1], len(lo)), np.zeros(len(ids), np.int64)])
+        pair = np.concatenate([pair, pair, pair, pair, ids])
+        order = np.lexsort((bend, pair))
+        bend, turn, pair = bend[order], turn[order], pair[order]
+        votes, offset = bend * np.cumsum(turn) - np.cumsum(turn * bend), bend - 1
+        votes, offset, pair = (x[votes >= MIN_VOTES] for x in (votes, offset, pair))
+        order = np.lexsort((offset, np.abs(offset), -votes, pair))
+        votes, offset, pair = votes[order], offset[order], pair[order]
+        top = np.flatnonzero(np.concatenate((np.ones(min(len(pair), 1), bool), pair[1:] != pair[:-1])))
+        return pair[top] % len(self.rec), pair[top] // len(self.rec), votes[top], offset[top]
+
+    def aligned(self, rec: np.ndarray, codes: np.ndarray, starts: np.ndarray, copies: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows of ALIGNED for recordings, about HITS pairs of runs or frames at a time."""
+        code, row, first, size = _runs(codes, starts)
+        lo = np.searchsorted(self.code, code)
+        hits = np.searchsorted(self.code, code, "right") - lo
+        for a, b in _portions(np.bincount(row, weights=hits, minlength=len(rec))):
+            x, y = np.searchsorted(row, (a, b))
+            of, run = _spread(lo[x:y], hits[x:y])
+            of += x
+            other = rec[row[of]] != self.rec[self.row[run]]
+            q, m, votes, offset = self.best(row[of[other]], first[of[other]], size[of[other]], run[other])
+            begin = np.maximum(0, -offset)
+            overlap = np.minimum(np.diff(self.starts)[q], np.diff(starts)[m] - offset) - begin
+            for c, d in _portions(overlap):
+                pair, at = _spread(begin[c:d], overlap[c:d])
+                pair += c
+                bits = np.bitwise_count(self.codes[self.starts[q[pair]] + at] ^ codes[starts[m[pair]] + at + offset[pair]])
+                error = np.bincount(pair - c, weights=bits, minlength=d - c) / (32.0 * overlap[c:d])
+                k = c + np.flatnonzero(error <= MAX_ERROR)
+                cols = [self.rec[q[k]], rec[m[k]], offset[k].astype(np.int32), votes[k], overlap[k].astype(np.int32), error[k - c], copies[m[k]]]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in cols], names=["query", "match", "offset", "votes", "overlap", "bit_error", "match_copies"])
+
+
+def _portions(weights: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about HITS together, one row at least."""
+    part = (np.cumsum(weights) - weights) // HITS
+    cuts = np.flatnonzero(np.concatenate((np.ones(min(len(part), 1), bool), part[1:] != part[:-1])))
+    return zip(cuts.tolist(), np.append(cuts[1:], len(part)).tolist())
+
+
 def alignments(prints: DataFrame, every: int = 20) -> DataFrame:
     """query, match, offset (frames), votes, overlap, bit_error: pairs of classes of equal media, where the query's class
     holds an id divisible by ``every``; with class sizes and the queries' class ids as the least id of each class."""
     prints = materialize(prints, "codes")
     classes = prints.groupBy("digest").agg(F.min("id").alias("rec"), F.max((F.col("id") % every == 0).cast("int")).alias("asks"), F.count(F.lit(1)).alias("copies"), F.first("codes").alias("codes"))
     classes = materialize(classes.select("rec", "asks", "copies", "codes"), "recordings")
-    # Keys of all lengths are made where the codes are; what is shuffled is a few numbers a frame. A code that is the same
-    # as the one before says nothing new: the first of a run stands for it.
-    keys = [F.xxhash64(F.slice("codes", F.col("pos") + 1, d)).alias(f"k{d}") for d in DEPTHS]
-    frames = classes.where(F.size("codes") > 0).select("rec", "asks", "codes", F.posexplode("codes").alias("pos", "code"))
-    level = frames.where((F.col("pos") == 0) | (F.get("codes", F.col("pos") - 1) != F.col("code"))).select("rec", "asks", "pos", *keys)
-    votes = []
-    for depth in DEPTHS:
-        level = level.withColumn("key", F.col(f"k{depth}"))
-        count = level.groupBy("key").agg(F.count_distinct("rec").alias("n"), F.max("asks").alias("asked"))
-        last = depth == DEPTHS[-1]
-        rare = count.where("asked = 1 and n > 1" + ("" if last else f" and n <= {COMMON}")).select("key")
-        use = level.join(rare, "key", "left_semi").select("rec", "asks", "pos", "key")
-        a, b = use.where("asks = 1"), use
-        a = a.select(F.col("rec").alias("query"), F.col("pos").alias("qpos"), "key")
-        b = b.select(F.col("rec").alias("match"), F.col("pos").alias("mpos"), "key")
-        votes.append(a.join(b, "key").where("query != match").select("query", "match", (F.col("mpos") - F.col("qpos")).alias("offset")))
-        if not last:
-            level = level.join(count.where(f"asked = 1 and n > {COMMON}").select("key"), "key", "left_semi")
-    votes = votes[0].unionByName(votes[1]).unionByName(votes[2])
-    histogram = votes.groupBy("query", "match", "offset").agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= MIN_VOTES)
-    best = histogram.groupBy("query", "match").agg(F.max(F.struct("votes", -F.abs("offset"), -F.col("offset"), "offset")).alias("b"))
-    best = best.select("query", "match", F.col("b.votes").alias("votes"), F.col("b.offset").alias("offset"))
-    codes = classes.select("rec", "codes", "copies")
-    both = best.join(codes.select(F.col("rec").alias("query"), F.col("codes").alias("q")), "query").join(codes.select(F.col("rec").alias("match"), F.col("codes").alias("m"), "copies"), "match")
-    lo, hi = F.greatest(F.lit(0), -F.col("offset")), F.least(F.size("q"), F.size("m") - F.col("offset"))
-    both = both.withColumn("overlap", hi - lo).where("overlap > 0")
-    pairs = F.zip_with(F.slice("q", lo + 1, F.col("overlap")), F.slice("m", lo + F.col("offset") + 1, F.col("overlap")), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    error = F.aggregate(pairs, F.lit(0), lambda s, x: s + x) / (32.0 * F.col("overlap"))
-    return both.withColumn("bit_error", error).where(F.col("bit_error") <= MAX_ERROR).select("query", "match", "offset", "votes", "overlap", "bit_error", F.col("copies").alias("match_copies"))
+    frames = classes.where("asks = 1").agg(F.sum(F.size("codes"))).first()[0] or 0
+    blocks, found = -(-frames // QUERY_FRAMES), []
+    for k in range(blocks):
+        # About QUERY_FRAMES frames, so they may be sent to all tasks.
+        own = classes.where((F.col("asks") == 1) & (F.size("codes") > 0) & (F.pmod(F.xxhash64("rec"), F.lit(blocks)) == k)).select("rec", "codes").toArrow()
+        told = prints.sparkSession.sparkContext.broadcast(Queries(own["rec"].to_numpy(), *_flat(own["codes"].combine_chunks())))
+
+        def run(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from told.value.aligned(batch.column("rec").to_numpy(), *_flat(batch.column("codes")), batch.column("copies").to_numpy())
+
+        found.append(materialize(classes.select("rec", "codes", "copies").mapInArrow(run, ALIGNED), "aligned"))
+        told.unpersist()
+    return reduce(DataFrame.unionByName, found) if found else prints.sparkSession.createDataFrame([], ALIGNED)
 
 
 def searches(recordings: DataFrame, every: int = 20) -> DataFrame:

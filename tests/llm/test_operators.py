@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -299,6 +300,32 @@ def test_chroma_links_two_recordings_whatever_their_ids(spark):
     assert [m.match for m in got[0].aligned] == [clash]
 
 
+def test_chroma_votes_of_common_codes(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    common = rng.integers(0, 1 << 32, 25)
+    rows = [(k, f"d{k}", np.where(np.arange(100) % 4 == 0, np.repeat(common, 4), rng.integers(0, 1 << 32, 100)).tolist()) for k in range(90)]
+    noisy = [c if i % 4 == 0 else c ^ 0b1001001 for i, c in enumerate(rows[0][2])]
+    rows += [(101, "noisy", noisy), (102, "tone", [7] * 60), (103, "held", [5] * 3 + [7] * 50), (120, "asks", [7] * 40 + [9])]
+    monkeypatch.setattr(audio, "QUERY_FRAMES", 200)
+    monkeypatch.setattr(audio, "HITS", 500)
+    got = {(r["query"], r["match"]): r for r in audio.alignments(spark.createDataFrame(rows, "id long, digest string, codes array<long>")).collect()}
+    codes = {i: c for i, _, c in rows}
+    for q in (i for i in codes if i % 20 == 0):
+        for m in codes:
+            votes = Counter(j - i for i, x in enumerate(codes[q]) for j, y in enumerate(codes[m]) if x == y)
+            if q == m or not votes:
+                continue
+            offset = max(votes, key=lambda o: (votes[o], -abs(o), -o))
+            both = [(x, codes[m][i + offset]) for i, x in enumerate(codes[q]) if 0 <= i + offset < len(codes[m])]
+            error = sum((x ^ y).bit_count() for x, y in both) / (32 * len(both))
+            r = got.pop((q, m), None)
+            assert (r is not None) == (votes[offset] >= audio.MIN_VOTES and error <= audio.MAX_ERROR)
+            assert r is None or (r.offset, r.votes, r.overlap, r.bit_error) == (offset, votes[offset], len(both), pytest.approx(error))
+            if (q, m) in ((0, 101), (120, 102)):
+                assert r is not None
+    assert not got
+
+
 def test_integral_image_gives_sums():
     image = np.random.default_rng(0).random((20, 12))
     total = audio.integral(image)
