@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coverlace.session import materialize
+
 #: Weights at or under this are not kept by the MinHash graph.
 FLOOR = 0.05
-#: Bucket size up to which all pairs of a band's bucket are candidates.
-BUCKET_CAP = 256
+#: Nodes of a bucket, or of a signature, that are paired with others in one block, about.
+BLOCK = 256
 
 
 def global_balls(members: DataFrame, dataset: int = 0) -> DataFrame:
@@ -81,33 +83,55 @@ def choose_bands(d: int, target: float = FLOOR) -> tuple[int, int]:
     return min(pairs, key=lambda x: (abs((1 / x[1]) ** (1 / x[0]) - target), -x[1]))
 
 
-def candidates(sigs: DataFrame, d: int, bands: tuple[int, int] | None = None) -> DataFrame:
-    """(i, j): nodes that agree on all rows of a band.
+def _collapsed(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rep, hs, blocks): every different signature under its least node, and in how many blocks its nodes are;
+    (rep, block, node_id): the nodes of each signature."""
+    whole = sigs.groupBy("node_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "h"))), lambda x: x["h"]).alias("hs"))
+    whole = materialize(whole, "signatures")
+    reps = whole.groupBy("hs").agg(F.min("node_id").alias("rep"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    reps = materialize(reps.select("rep", "hs", "blocks"), "reps")
+    members = whole.join(reps, "hs").select("rep", F.pmod(F.xxhash64("node_id"), F.col("blocks")).cast("int").alias("block"), "node_id")
+    return reps, materialize(members, "members")
+
+
+def _rep_candidates(reps: DataFrame, r: int) -> DataFrame:
+    """(i, j): signatures that agree on all ``r`` rows of a band. Large buckets are paired block by block, none in part."""
+    bands = F.transform(F.sequence(F.lit(0), F.floor((F.size("hs") - 1) / r).cast("int")), lambda k: F.xxhash64(F.slice("hs", k * r + 1, r)))
+    keyed = reps.select("rep", F.posexplode(bands).alias("band", "key"))
+    sizes = keyed.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    placed = keyed.join(sizes, ["band", "key"])
+    a = placed.select("band", "key", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.col("rep").alias("i"))
+    b = placed.select("band", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("rep").alias("j"))
+    return a.join(b, ["band", "key", "block"]).where("i < j").select("i", "j").distinct()
+
 
-    Buckets above the cap (the larger of BUCKET_CAP and the 99th percentile) are thinned at even strides, as in the
-    sketch this follows; it bounds the pairs of a bucket, and the weights of what remains are still estimated in full.
-    """
+def _expanded(pairs: DataFrame, reps: DataFrame, members: DataFrame) -> DataFrame:
+    """``pairs`` (i, j, other columns) of signatures as pairs of their nodes, i < j."""
+    rest = [c for c in pairs.columns if c not in ("i", "j")]
+    for k in ("i", "j"):
+        blocks = reps.select(F.col("rep").alias(k), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(f"block_{k}"))
+        pairs = pairs.join(blocks, k)
+    for k in ("i", "j"):
+        pairs = pairs.join(members.select(F.col("rep").alias(k), F.col("block").alias(f"block_{k}"), F.col("node_id").alias(f"node_{k}")), [k, f"block_{k}"])
+    pairs = pairs.where("i != j or node_i < node_j")
+    return pairs.select(F.least("node_i", "node_j").alias("i"), F.greatest("node_i", "node_j").alias("j"), *rest)
+
+
+def candidates(sigs: DataFrame, d: int, bands: tuple[int, int] | None = None) -> DataFrame:
+    """(i, j): all nodes that agree on all rows of a band. Nodes of equal signature are one until the end."""
     r, _ = bands or choose_bands(d)
-    keyed = sigs.groupBy("node_id", F.floor(F.col("r") / r).cast("int").alias("band")).agg(F.sort_array(F.collect_list(F.struct("r", "h"))).alias("hs"))
-    keyed = keyed.select("node_id", "band", F.xxhash64(F.col("hs.h")).alias("key"))
-    sizes = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    cap = F.greatest(F.lit(BUCKET_CAP), F.expr("percentile_approx(n, 0.99)"))
-    sizes = sizes.crossJoin(F.broadcast(sizes.agg(cap.alias("cap"))))  # one row
-    placed = keyed.join(sizes, ["band", "key"])
-    nth = F.row_number().over(Window.partitionBy("band", "key").orderBy("node_id")) - 1
-    stride = F.ceil(F.col("n") / F.col("cap"))
-    placed = placed.withColumn("nth", nth).where(F.col("nth") % stride == 0).select("band", "key", "node_id")
-    a, b = placed.withColumnRenamed("node_id", "i"), placed.withColumnRenamed("node_id", "j")
-    return a.join(b, ["band", "key"]).where("i < j").select("i", "j").distinct()
+    reps, members = _collapsed(sigs)
+    return _expanded(_rep_candidates(reps, r).unionByName(reps.select(F.col("rep").alias("i"), F.col("rep").alias("j"))), reps, members)
 
 
 def estimated_graph(sigs: DataFrame, d: int, floor: float = FLOOR) -> DataFrame:
     """(i, j, w): candidates with the share of equal rows, where it is above ``floor``."""
-    whole = sigs.groupBy("node_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "h"))), lambda x: x["h"]).alias("hs"))
-    of = lambda k: whole.select(F.col("node_id").alias(k), F.col("hs").alias(f"hs_{k}"))
-    pairs = candidates(sigs, d).join(of("i"), "i").join(of("j"), "j")
+    reps, members = _collapsed(sigs)
+    of = lambda k: reps.select(F.col("rep").alias(k), F.col("hs").alias(f"hs_{k}"))
+    pairs = _rep_candidates(reps, choose_bands(d)[0]).join(of("i"), "i").join(of("j"), "j")
     w = F.size(F.filter(F.zip_with("hs_i", "hs_j", lambda x, y: x == y), lambda t: t)) / F.lit(float(d))
-    return pairs.select("i", "j", w.alias("w")).where(F.col("w") > floor)
+    pairs = pairs.select("i", "j", w.alias("w")).unionByName(reps.select(F.col("rep").alias("i"), F.col("rep").alias("j"), F.lit(1.0).alias("w")))
+    return _expanded(pairs.where(F.col("w") > floor), reps, members)
 
 
 def minhash_graph(balls: DataFrame, d: int = 256, seed: int = 42) -> DataFrame:

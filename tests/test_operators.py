@@ -82,6 +82,26 @@ def test_minhash_estimates_the_overlap(spark):
         graph.signatures(df, 0)
 
 
+def test_minhash_keeps_all_pairs_of_large_buckets(spark):
+    # 300 nodes of one set of balls, 300 of different sets that share a ball whose hash is the least in some rows, and pairs.
+    balls = [(f"same{b}", n) for n in range(300) for b in range(3)] + [(b, n) for n in range(300, 600) for b in ("shared", f"own{n}")]
+    balls += [(f"pair{n // 2}", n) for n in range(600, 1200)]
+    sigs = graph.signatures(spark.createDataFrame(balls, "ball string, node_id long"), 16)
+    rows = {}
+    for x in sigs.collect():
+        rows.setdefault(x.node_id, {})[x.r] = x.h
+    r, _ = graph.choose_bands(16)
+    buckets = {}
+    for n, h in rows.items():
+        for band in range(16 // r):
+            buckets.setdefault((band, *(h[k] for k in range(band * r, band * r + r))), []).append(n)
+    expected = {(i, j) for b in buckets.values() for i in b for j in b if i < j}
+    got = [tuple(x) for x in graph.candidates(sigs, 16).collect()]
+    assert len(got) == len(expected) and set(got) == expected
+    edges = {(x.i, x.j): x.w for x in graph.estimated_graph(sigs, 16).collect()}
+    assert edges == {(i, j): w for i, j in expected if (w := sum(rows[i][k] == rows[j][k] for k in range(16)) / 16) > graph.FLOOR}
+
+
 def test_preprocessing_messages(spark):
     df = spark.createDataFrame([(0, 1.0, "a", None, "1"), (1, float("nan"), None, None, "x"), (2, 3.0, "b", None, "y")], "node_id long, n double, s string, e double, t string")
     run = lambda **k: preprocess.preprocess(df, Preprocessing(**k))
