@@ -4,9 +4,10 @@ A page is read as a sequence of text nodes, each with the path of open tags from
 its punctuation and its number of nodes are added up. The ratio of a path is its text by its nodes, weighted by its
 punctuation; it is smoothed over the paths around it in page order, fused with the share of text that is not in links,
 and paths above a share of the spread are content. Boundaries that a page declares itself (navigation, headers, footers,
-asides, forms, adverts, comments) are left out before. The chosen paths then point to the smallest element that holds nine
-tenths of their text; what else stands in it (a short list, a quotation, a heading) belongs to the text as well, and what
-stands outside does not. Where that element is the whole body, the chosen paths alone are the text.
+asides, forms, adverts, comments) are left out before. The chosen paths then point to the smallest element that holds
+all of their text but links, and the header of its article; what else stands in it (a short list, a quotation, a heading)
+belongs to the text as well, and what stands outside does not. Where that element is the whole body, the text is the chosen
+paths, what stands between them, and headings before them, without blocks that are mostly links.
 
 Cases: a null page counts as empty; empty pages, and pages without text, give an empty text; tags that are not closed end
 with their parents; repeated rows give repeated results; an empty table gives an empty result; other columns are ignored.
@@ -184,21 +185,33 @@ def content_paths(nodes: list[Node], spread: float = 0.5) -> set[str]:
     return chosen or {paths[max(range(len(fused)), key=fused.__getitem__)]}
 
 
-def _holder(nodes: list[Node], chosen: set[str], share: float = 0.9) -> int | None:
-    """The innermost element with ``share`` of the chosen paths' text and more than one block of text; None for the body."""
-    mass: dict[int, int] = {}
-    within: dict[int, set[int]] = {}
-    depth: dict[int, int] = {}
-    total = 0
+def _holder(nodes: list[Node], chosen: set[str]) -> int | None:
+    """The innermost element with all chosen text that is no link, its article's header, and more than one block of text;
+    None for the body."""
+    need = [x.chain for x in nodes if x.path in chosen and not x.linked and not x.text.isspace()]
+    held = {e for chain in need for e in chain}
+    # Only articles keep their headers, which say what the chosen text beside them is about.
+    need += [x.chain for x in nodes if "/header" in x.path and x.chain and x.chain[-1] in held]
+    if not need:
+        return None
+    common = 0
+    while all(len(chain) > common and chain[common] == need[0][common] for chain in need):
+        common += 1
+    for e in reversed(need[0][:common]):
+        if len({x.block for x in nodes if e in x.chain}) > 1:
+            return e
+    return None
+
+
+def _between(nodes: list[Node], chosen: set[str]) -> list[Node]:
+    """Chosen nodes, and what stands between them, or as a heading before them, in a block that is not mostly links."""
+    at = [k for k, x in enumerate(nodes) if x.path in chosen and not x.linked and not x.text.isspace()]
+    first, last = (at[0], at[-1]) if at else (len(nodes), -1)
+    size: dict[int, list[int]] = {}
     for x in nodes:
-        size = len(x.text.strip()) if x.path in chosen else 0
-        total += size
-        for k, e in enumerate(x.chain):
-            mass[e] = mass.get(e, 0) + size
-            within.setdefault(e, set()).add(x.block)
-            depth[e] = k
-    fit = [e for e, m in mass.items() if m >= share * total and len(within[e]) > 1]
-    return max(fit, key=depth.__getitem__) if fit else None
+        size.setdefault(x.block, [0, 0])[x.linked] += len(x.text.strip())
+    heading = lambda x: re.search(r"/h[1-6](?:/|$)", x.path)
+    return [x for k, x in enumerate(nodes) if x.path in chosen or size[x.block][0] >= size[x.block][1] and (first < k < last or k < first and heading(x))]
 
 
 def main_text(page: str | None) -> str:
@@ -208,12 +221,11 @@ def main_text(page: str | None) -> str:
     holder = _holder(nodes, chosen)
     blocks: list[list[str]] = []
     last = None
-    for x in nodes:
-        if holder in x.chain if holder is not None else x.path in chosen:
-            if x.block != last:
-                blocks.append([])
-                last = x.block
-            blocks[-1].append(x.text)
+    for x in [x for x in nodes if holder in x.chain] if holder is not None else _between(nodes, chosen):
+        if x.block != last:
+            blocks.append([])
+            last = x.block
+        blocks[-1].append(x.text)
     lines = (SPACES.sub(" ", "".join(b)).strip() for b in blocks)
     return "\n\n".join(line for line in lines if line)
 

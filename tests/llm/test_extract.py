@@ -38,3 +38,14 @@ def test_entities_spaces_and_unclosed_tags():
 
 def test_very_long_page():
     assert main_text(page("<article>" + f"<p>{LONG}</p>" * 20_000 + "</article>")).count("\n\n") == 19_999
+
+
+def test_opening_of_a_long_article_stays():
+    body = "".join(f"<p>{LONG}</p>" for _ in range(30))
+    assert main_text(page(f"<article><div><p>The lead, with a comma, is here. {LONG}</p></div><div>{body}</div></article>")).split("\n\n")[0].startswith("The lead")
+    assert main_text(page(f"<article><header><h1>Title</h1></header><div class=content>{body}</div></article>")).split("\n\n")[0] == "Title"
+
+
+def test_short_blocks_stay_where_the_body_holds_the_text():
+    html = page(f"<h1>Title</h1><p>{LONG}</p><h2>Second</h2><p>{LONG}</p><ul><li>One</li></ul><ul><li><a href=a>Link</a></li></ul><p>{LONG}</p><div>tail</div>")
+    assert main_text(html).split("\n\n") == ["Title", LONG, "Second", LONG, "One", LONG]
