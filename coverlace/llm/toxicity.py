@@ -29,8 +29,6 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that the models are fitted on at most, those with the least hash of their id.
 MAX_LABELLED = 20_000
-#: Words in the models at most, those in most documents; the others have the rare word's ratio.
-MAX_WORDS = 100_000
 #: The rows of each of so many parts are scored by counts of the others; those scores fit the logistic curve.
 PARTS = 5
 #: Characters of a word's beginning, and the mark before beginnings in tables of counts.
@@ -86,7 +84,7 @@ def class_model(words: list[str], c: np.ndarray, n: np.ndarray, documents: float
     d = discount(documents)
     taken, shared = np.maximum(c - d, 0), c.sum(axis=1, keepdims=True)
     is_stem = np.fromiter((w[0] == STEM for w in words), bool, len(words))
-    # What is not in ``words`` is in too few documents to be more than the discount.
+    # What is not in ``words`` is in too few documents of either class to be more than the discount.
     free = np.stack([1 - taken[~is_stem].sum(axis=0) / n[0], 1 - taken[is_stem].sum(axis=0) / n[1]])
     lift = taken[is_stem] / n[1] / np.maximum(shared[is_stem] / n[1].sum(), 1e-12) + free[1]
     taken_stems = taken[is_stem]
@@ -129,8 +127,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         kind = F.startswith("word", F.lit(STEM))
         sums = {r[0]: np.array(r[1:], float).reshape(PARTS, 2) for r in counts.groupBy(kind).agg(*[F.sum(c) for c in columns]).collect()}
         sums = np.stack([sums.get(k, np.zeros((PARTS, 2))) for k in (False, True)])
-        everywhere = sum(F.col(c) for c in columns)
-        table = counts.where(everywhere > 1).orderBy(F.desc(everywhere), "word").limit(MAX_WORDS).toPandas()
+        # All that the discount leaves in any of the models; bounded by the labelled sample.
+        least = discount((documents[:, 1].sum() - documents[:, 1]).min())
+        of = lambda toxic: sum(F.col(f"c{toxic}_{part}") for part in range(PARTS))
+        table = counts.where((of(0) > least) | (of(1) > least)).orderBy("word").toPandas()
         counts.unpersist()
         words, c = table["word"].tolist(), table[columns].to_numpy(float).reshape(-1, PARTS, 2)
         model = class_model(words, c.sum(axis=1), np.maximum(sums.sum(axis=1), 1), documents[:, 1].sum())

@@ -226,6 +226,16 @@ def pagerank(edges, seeds, rounds=urls.ROUNDS, damping=urls.DAMPING):
     return rank
 
 
+def test_toxicity_keeps_rare_expressions_beside_many_words(spark):
+    ordinary = [" ".join(f"w{(i % 20) * 6000 + j}" for j in range(6000)) + f" own{i}" for i in range(60)]
+    toxic = [f"rareslur t{i}" for i in range(2)] + [f"u{i} v{i}" for i in range(8)]
+    docs = table(spark, list(enumerate(ordinary + toxic)))
+    labels = spark.createDataFrame([(i, int(i >= 60)) for i in range(72)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    words = {w for w in model.ratios if not w.startswith(toxicity.STEM)}
+    assert "rareslur" in words and len(words) > 100_000
+
+
 def test_url_filters(spark):
     rng = random.Random(8)
     pages = []
