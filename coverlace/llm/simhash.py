@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coverlace.llm.common import text_list
@@ -82,10 +82,10 @@ def popcount(x: np.ndarray) -> np.ndarray:
 
 
 class Forest:
-    """Union-find over 0..n-1 for arrays of links."""
+    """Union-find over 0..n-1 for arrays of links; keeps the links that joined two components, which span them."""
 
     def __init__(self, n: int):
-        self.label, self.version = np.arange(n), 0
+        self.label, self.version, self.used = np.arange(n), 0, []
 
     def link(self, a: np.ndarray, b: np.ndarray) -> None:
         label = self.label
@@ -96,13 +96,21 @@ class Forest:
                 return
             self.version += 1
             a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+            hi, lo = np.maximum(x, y), np.minimum(x, y)
+            order = np.lexsort((lo, hi))
+            top = order[np.concatenate(([True], hi[order][1:] != hi[order][:-1]))]
+            label[hi[top]] = lo[top]
+            self.used.append(np.stack([a[top], b[top]], 1))
             while True:
                 jumped = label[label]
                 if (jumped == label).all():
                     break
                 label[:] = jumped
 
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        used = np.concatenate([np.zeros((0, 2), np.int64), *self.used])
+        return used[:, 0], used[:, 1]
+
 
 def _children(keys: np.ndarray, pairs: np.ndarray, same: np.ndarray, level: int, errors: int) -> np.ndarray:
     """The pairs of nodes a bit below ``pairs`` that are within the budget."""
@@ -168,32 +176,44 @@ def walk(keys: np.ndarray, roots: np.ndarray, top: int, errors: int, forest: For
             stack.append((kids, level + 1))
 
 
-def apart(keys: np.ndarray, groups: np.ndarray, roots: np.ndarray, top: int, errors: int, chunk: int = 1 << 13) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of places in sorted ``keys`` within ``errors`` bits below the same root whose ``groups`` differ; a negative
-    group differs from every other. Nothing is joined on the way: a pair is passed over only inside one group."""
-    stack, out = [(roots.astype(np.int64), top)], []
+def bordering(keys: np.ndarray, groups: np.ndarray, roots: np.ndarray, top: int, errors: int, chunk: int = 1 << 13) -> np.ndarray:
+    """Marks of the sorted ``keys`` that have another within ``errors`` bits below the same root in a different one of
+    ``groups``; a negative group differs from every other and is marked as it is. Pairs of nodes inside one group, or
+    whose keys are all marked, are passed over, so close families cost little more than their members."""
+    stack = [(roots.astype(np.int64), top)]
     changes = np.concatenate(([0], np.cumsum((groups[1:] != groups[:-1]) | (groups[1:] < 0))))
+    marks, stale, open_ = groups < 0, True, np.zeros(0, np.int64)
+
+    def mark(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal stale
+        near = (popcount(keys[i] ^ keys[j]) <= errors) & ((groups[i] != groups[j]) | (groups[i] < 0))
+        both = np.concatenate((i[near], j[near]))
+        stale |= not marks[both].all()
+        marks[both] = True
+
+    beside = np.arange(max(0, len(keys) - 1))
+    mark(beside, beside + 1)
     while stack:
         pairs, level = stack.pop()
         if len(pairs) > chunk:
             stack += [(pairs[i : i + chunk], level) for i in range(0, len(pairs), chunk)]
             continue
+        if stale:
+            open_, stale = np.concatenate(([0], np.cumsum(~marks))), False
         a0, a1, b0, b1, _ = pairs.T
-        joined = (changes[a0] == changes[a1 - 1]) & (changes[b0] == changes[b1 - 1]) & (groups[a0] == groups[b0]) & (groups[a0] >= 0)
+        done = (changes[a0] == changes[a1 - 1]) & (changes[b0] == changes[b1 - 1]) & (groups[a0] == groups[b0]) & (groups[a0] >= 0)
+        done |= (open_[a1] == open_[a0]) & (open_[b1] == open_[b0])
         single, same = (a1 - a0 == 1) & (b1 - b0 == 1), a0 == b0
-        ends = single & ~same & ~joined
-        i, j = a0[ends], b0[ends]
-        near = popcount(keys[i] ^ keys[j]) <= errors
-        out.append((i[near], j[near]))
-        go = ~single & ~joined
+        ends = single & ~same & ~done
+        mark(a0[ends], b0[ends])
+        go = ~single & ~done
         pairs, same = pairs[go], same[go]
         if level >= 64 or not len(pairs):
             continue
         kids = _children(keys, pairs, same, level, errors)
         if len(kids):
             stack.append((kids, level + 1))
-    i, j = (np.concatenate([np.zeros(0, np.int64), *(o[c] for o in out)]) for c in (0, 1))
-    return i, j
+    return marks
 
 
 def _rotated(fp: np.ndarray, shift: np.ndarray) -> np.ndarray:
@@ -202,15 +222,15 @@ def _rotated(fp: np.ndarray, shift: np.ndarray) -> np.ndarray:
 
 
 def trie_links(keys: np.ndarray, roots: np.ndarray, level: int, errors: int, groups: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between sorted ``keys`` below ``roots``, as two arrays of keys; with ``groups``, all
-    links between different ones."""
+    """Links between sorted ``keys`` below ``roots`` that span their components, as two arrays of keys; with ``groups``,
+    the keys that have a link to a different group, twice."""
     if groups is not None:
-        i, j = apart(keys, groups, roots, level, errors)
-        return keys[i], keys[j]
+        marked = keys[bordering(keys, groups, roots, level, errors)]
+        return marked, marked
     forest = Forest(len(keys))
     walk(keys, roots, level, errors, forest)
-    found = np.flatnonzero(forest.label != np.arange(len(keys)))
-    return keys[found], keys[forest.label[found]]
+    i, j = forest.links()
+    return keys[i], keys[j]
 
 
 def _unique(keys: np.ndarray, groups: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -247,8 +267,8 @@ def links(prints: DataFrame, errors: int = 3) -> DataFrame:
     """(tab, a, b): links whose components are those of all pairs of ``prints`` (tab, fp; distinct rows) of one table
     within ``errors`` bits.
 
-    Where ``prints`` has a column grp, all pairs within ``errors`` bits whose grp differ, each once; a null grp differs from
-    every other.
+    Where ``prints`` has a column grp, the prints that have another of a different grp within ``errors`` bits instead, as
+    a and as b; a null grp differs from every other.
     """
     spark = prints.sparkSession
     blocks, width = errors + 1, 64 // (errors + 1)
@@ -284,10 +304,6 @@ def links(prints: DataFrame, errors: int = 3) -> DataFrame:
                     pairs = dealt_tries(keys[pick], p[pick], q[pick], width, errors, own) if is_dealt else [whole_tries(keys[pick], width, errors, own)]
                     for x, y in pairs:
                         x, y = _rotated(x, back), _rotated(y, back)
-                        if grouped:  # keys that agree on an earlier block meet there
-                            tops = [(x ^ y) >> np.uint64(64 - (j + 1) * width) & np.uint64((1 << width) - 1) for j in range(k % blocks)]
-                            once = np.all([top != 0 for top in tops], axis=0) if tops else np.ones(len(x), bool)
-                            x, y = x[once], y[once]
                         found.append((k // blocks, x, y))
         none = [np.zeros(0, np.uint64)]
         tab = np.concatenate([np.full(len(x), k) for k, x, _ in found] or [np.zeros(0)]).astype(np.int32)
@@ -313,12 +329,13 @@ def classes(docs: DataFrame, words: int = 3, errors: int = 3) -> DataFrame:
 
 #: Independent fingerprints of a document's set of words. Few changed words leave most tables within three bits.
 TABLES = 8
-#: Least shingle hashes that a sketch keeps; texts of fewer shingles are compared by it, others by their full sets.
-SKETCH = 256
-#: Standard errors under the similarity at which a sketch rejects a pair.
-UNLIKE = 6
 #: Parts of the counts by which unlike texts are told apart without loss.
 PROFILE = 32
+#: Cells in which shingles are counted to put the rare ones first. The order decides costs, not results, so the size is
+#: fixed; the counts (8 MB) are sent to all tasks.
+CELLS = 1 << 20
+#: Texts under one shingle that are paired in one block, about.
+BLOCK = 256
 _ODD, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -337,16 +354,12 @@ def word_set_fingerprints(data: bytes, tables: int = TABLES) -> list[int]:
 
 
 def shingle_hashes(data: bytes, k: int) -> np.ndarray:
-    """The upper 32 bits of the hashes of the set of k-word shingles, one for each."""
+    """Ascending 32-bit hashes of the set of k-word shingles. A shingle of one text meets another one of a text of n by
+    chance in n of 4 billion cases, which stands for the same shingle."""
     from xxhash import xxh64_intdigest
 
     s = set(shingles(data, k))
-    return np.fromiter((xxh64_intdigest(x, 7) >> 32 for x in s), np.uint32, len(s))
-
-
-def sketch(data: bytes, k: int, size: int = SKETCH) -> bytes:
-    """The least hashes (the upper 32 bits of them) of the set of k-word shingles, ascending."""
-    return np.unique(shingle_hashes(data, k))[:size].astype("<u4").tobytes()
+    return np.unique(np.fromiter((xxh64_intdigest(x, 7) >> 32 for x in s), np.uint32, len(s)))
 
 
 def profile(hashes: np.ndarray) -> bytes:
@@ -354,117 +367,184 @@ def profile(hashes: np.ndarray) -> bytes:
     return np.bincount(hashes % PROFILE, minlength=PROFILE).astype("<u4").tobytes()
 
 
-def similarity_of(a: bytes, b: bytes, k: int) -> float:
-    """Jaccard similarity of two texts' sets of k-word shingles."""
-    x, y = set(shingles(a, k)), set(shingles(b, k))
-    return len(x & y) / len(x | y) if x or y else 1.0
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Similarity of two sets, each ascending without repeats; 1 for two empty ones."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
-def sketch_similarity(a: bytes, b: bytes, size: int = SKETCH) -> float:
-    """Jaccard similarity from the least hashes of the union; exact where both sets are smaller than a sketch."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    union = np.union1d(x, y)
-    if not len(union):
-        return 1.0
-    if len(x) >= size or len(y) >= size:
-        union = union[:size]
-    return float(np.isin(union, np.intersect1d(x, y)).mean())
+def prefixes(hashes: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
+    """The rarest shingles of a set, rarest first, of which any set as ``similarity`` and of as many shingles or more has
+    one among its own; and how many of them are enough on the smaller set's side."""
+    n = len(hashes)
+    order = np.lexsort((hashes, counts[hashes % CELLS]))
+    all_of = n - int(np.ceil(similarity * n - 1e-9)) + 1
+    return hashes[order[:all_of]], min(n, n - int(np.ceil(2 * similarity / (1 + similarity) * n - 1e-9)) + 1)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame:
-    """The rows of ``pairs`` (a, b; digests) whose texts are ``similarity`` alike.
+def _plausible(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``pairs`` (a, b; nodes) that the counts of shingles by parts do not tell apart; none that are
+    ``similarity`` alike is lost."""
+    most = (1 - similarity) / (1 + similarity) + 1e-9
+    of = lambda c: texts.select(F.col("node").alias(c), F.col("profile").alias(f"profile_{c}"))
 
-    Sketches of whole sets decide. Sketches of larger sets only reject pairs that are clearly unlike; the others are
-    compared by the full sets of shingles.
-    """
-    own = lambda c: texts.select(F.col("digest").alias(c), F.col("sketch").alias(f"sketch_{c}"))
-    clear = similarity - UNLIKE * (similarity * (1 - similarity) / SKETCH) ** 0.5
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, PROFILE).astype(np.int64) for c in ("profile_a", "profile_b"))
+            fit = np.abs(x - y).sum(axis=1) <= most * (x.sum(axis=1) + y.sum(axis=1))
+            yield batch.select(["a", "b"]).filter(pa.array(fit, pa.bool_()))
+
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "profile_a", "profile_b").mapInArrow(near, "a long, b long")
+
+
+def _raw() -> Column:
+    return F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16)
+
+
+def _sets(nodes: DataFrame, texts: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(node, hashes): the shingles of ``nodes`` (node; distinct), read again from one row of each text."""
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist()
-            part = np.array([max(len(i), len(j)) >= 4 * SKETCH for i, j in zip(x, y)], bool)
-            alike = np.array([sketch_similarity(i, j) for i, j in zip(x, y)]) >= np.where(part, clear, similarity)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(part)], names=["a", "b", "part"]).filter(pa.array(alike))
+            sets = [shingle_hashes(t, words).astype("<u4").tobytes() for t in text_list(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "hashes"])
+
+    wanted = texts.join(nodes, "node", "left_semi").select("node", F.col("raw").alias("of"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"))
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), _raw().alias("of"), "text")
+    found = own.join(wanted, ["of", "id", "no_id"]).select("node", "text").mapInArrow(run, "node long, hashes binary")
+    return materialize(found.dropDuplicates(["node"]), "sets")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``pairs`` (a, b; nodes) whose sets of shingles are ``similarity`` alike."""
+    of = lambda c: sets.select(F.col("node").alias(c), F.col("hashes").alias(f"set_{c}"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            alike = [similarity_of(x.as_py().encode(), y.as_py().encode(), words) >= similarity for x, y in zip(batch.column("text_a"), batch.column("text_b"))]
+            alike = [jaccard(np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")) >= similarity for x, y in zip(batch.column("set_a"), batch.column("set_b"))]
             yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    measured = materialize(pairs.join(own("a"), "a").join(own("b"), "b").mapInArrow(measure, "a string, b string, part boolean"), "measured")
-    open_ = measured.where("part").select("a", "b")
-    needed = open_.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    full = docs.select(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32).alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
-    full = materialize(full.join(needed, "digest", "left_semi").dropDuplicates(["digest"]), "full")
-    of = lambda c: full.select(F.col("digest").alias(c), F.col("text").alias(f"text_{c}"))
-    compared = open_.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a string, b string")
-    return materialize(measured.where("not part").select("a", "b").unionByName(compared), "verified")
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
 
 
 def _components(texts: DataFrame, edges: DataFrame) -> DataFrame:
-    comps = connected_components(edges, "a", "b")
-    return texts.join(comps, F.col("digest") == F.col("node"), "left").drop("node").withColumn("component", F.coalesce("component", "digest"))
+    """``texts`` with the least node of each one's component."""
+    comps = connected_components(edges, "a", "b").withColumnRenamed("node", "of")
+    return texts.join(comps, F.col("node") == F.col("of"), "left").drop("of").withColumn("component", F.coalesce("component", "node"))
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, errors: int = 3) -> DataFrame:
-    """(digest, kept_id, component): one row per different text, with its group's least digest and least doc_id.
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    Candidates are all pairs within ``errors`` bits in the tries of a table; a candidate counts if the shingles of both
-    texts are ``similarity`` alike. A first pass compares a spanning forest of the candidates; the second one compares
-    every candidate whose texts the first pass did not join. Equal texts are one from the start.
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, errors: int = 3) -> DataFrame:
+    """(raw, kept_id, component, kept): one row per different sequence of words, with the digest and the id of its row
+    with the least id, the number of its component, and whether it is the one that its component keeps.
+
+    Texts of equal words (in the sense of ``shingles``) are one from the start. Candidates are all pairs within ``errors``
+    bits in the tries of a table, and a candidate counts if the shingles of both texts are ``similarity`` alike. First a
+    spanning forest of each table's candidates is compared. Texts that are still within ``errors`` bits of one in another
+    component are then compared with each other where they share one of the rarest shingles that alike sets must share,
+    so no candidate goes unanswered and a family of close but unlike texts does not make all its pairs.
+
+    Cases: a null text counts as empty, and all texts without words are alike; texts of fewer words than a shingle are one
+    shingle; of ties the least digest stands first; a null doc_id is kept only where a component has no other; repeated
+    rows are one text; an empty table gives an empty result; other columns are ignored.
     """
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_list(batch.column("text"))
-            hashes = [shingle_hashes(t, words) for t in texts]
-            cols = [pa.array([hashlib.sha256(t).hexdigest()[:32] for t in texts]), pa.array([word_set_fingerprints(t) for t in texts], pa.list_(pa.int64()))]
-            cols += [pa.array([np.unique(h)[:SKETCH].astype("<u4").tobytes() for h in hashes], pa.binary()), pa.array([profile(h) for h in hashes], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *cols], names=["doc_id", "digest", "fps", "sketch", "profile"])
-
-    rows = materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest string, fps array<long>, sketch binary, profile binary"), "words")
-    texts = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("fps").alias("fps"), F.min("sketch").alias("sketch"), F.min("profile").alias("profile"))
-    texts = materialize(texts, "texts")
-    entries = texts.select("digest", F.posexplode("fps").alias("tab", "fp"))
-    least = materialize(entries.groupBy("tab", "fp").agg(F.min("digest").alias("rep")), "classes")
-    same = entries.join(least, ["tab", "fp"]).where("digest != rep").select(F.col("digest").alias("a"), F.col("rep").alias("b"))
+            cols = [[hashlib.sha256(t).digest()[:16] for t in texts], [hashlib.sha256(b" ".join(t.lower().split())).digest()[:16] for t in texts]]
+            cols = [pa.array(c, pa.binary()) for c in cols] + [pa.array([word_set_fingerprints(t) for t in texts], pa.list_(pa.int64())), pa.array([profile(shingle_hashes(t, words)) for t in texts], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *cols], names=["doc_id", "raw", "digest", "fps", "profile"])
+
+    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, raw binary, digest binary, fps array<long>, profile binary")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "raw")).alias("k")
+    texts = rows.groupBy("digest").agg(first, F.first("fps").alias("fps"), F.first("profile").alias("profile"))
+    # The numbers are fixed once the table is written.
+    texts = materialize(texts.select(F.monotonically_increasing_id().alias("node"), "k.doc_id", "k.raw", "fps", "profile"), "texts")
+    entries = texts.select("node", F.posexplode("fps").alias("tab", "fp"))
+    least = materialize(entries.groupBy("tab", "fp").agg(F.min("node").alias("rep")), "classes")
+    same = entries.join(least, ["tab", "fp"]).select(F.col("node").alias("a"), F.col("rep").alias("b"))
     of = lambda c: least.select("tab", F.col("fp").alias(c), F.col("rep").alias(f"rep_{c}"))
     across = links(least.select("tab", "fp"), errors).join(of("a"), ["tab", "a"]).join(of("b"), ["tab", "b"]).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-    ordered = lambda p: p.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = _verified(ordered(same.unionByName(across)), texts, docs, similarity, words)
-    edges = first.unionByName(_verified(ordered(_unjoined(_components(texts, first), similarity, errors)), texts, docs, similarity, words))
-    placed = _components(texts, edges).select("digest", "doc_id", "component")
-    kept = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("k"))
-    return placed.join(kept, "component").select("digest", "component", F.col("k.doc_id").alias("kept_id"), (F.col("digest") == F.col("k.digest")).alias("kept"))
-
-
-def _unjoined(texts: DataFrame, similarity: float, errors: int) -> DataFrame:
-    """(a, b): all candidates of different components in ``texts``, but those whose counts of shingles tell them apart."""
-    texts = materialize(texts.select("digest", "fps", "profile", F.xxhash64("component").bitwiseAND((1 << 62) - 1).alias("grp")), "joined")
-    entries = texts.select("digest", "grp", "profile", F.posexplode("fps").alias("tab", "fp"))
+    pairs = materialize(_plausible(_ordered(same.unionByName(across)), texts, similarity), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    first_edges = materialize(_alike(pairs, _sets(ends, texts, docs, words), similarity), "alike")
+    placed = materialize(_components(texts, first_edges), "placed")
+    left = _borders(placed, errors)
+    edges = first_edges.unionByName(_rare_partners(left, _sets(left.select("node"), texts, docs, words), similarity))
+    placed = _components(texts, edges).select("node", "doc_id", "raw", "component")
+    kept = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "raw", "node")).alias("k"))
+    return placed.join(kept, "component").select("raw", "component", F.col("doc_id").alias("kept_id"), (F.col("node") == F.col("k.node")).alias("kept"))
+
+
+def _borders(placed: DataFrame, errors: int) -> DataFrame:
+    """(node, grp): the texts of ``placed`` (node, fps, component) that are within ``errors`` bits of one of another
+    component in some table."""
+    entries = placed.select("node", F.col("component").alias("grp"), F.posexplode("fps").alias("tab", "fp"))
     grouped = entries.groupBy("tab", "fp").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"))
     grouped = materialize(grouped.select("tab", "fp", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("grp")), "groups")
-    found = links(grouped, errors).unionByName(grouped.where("grp is null").select("tab", F.col("fp").alias("a"), F.col("fp").alias("b")))
-    of = lambda c: entries.select("tab", F.col("fp").alias(c), F.col("digest").alias(f"digest_{c}"), F.col("grp").alias(f"grp_{c}"), F.col("profile").alias(f"profile_{c}"))
-    pairs = found.join(of("a"), ["tab", "a"]).join(of("b"), ["tab", "b"]).where("grp_a != grp_b and (a != b or digest_a < digest_b)")
-    most = (1 - similarity) / (1 + similarity) + 1e-9
+    marked = links(grouped, errors).select("tab", F.col("a").alias("fp")).unionByName(grouped.where("grp is null").select("tab", "fp")).distinct()
+    return materialize(entries.join(marked, ["tab", "fp"], "left_semi").select("node", "grp").distinct(), "borders")
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, PROFILE).astype(np.int64) for c in ("profile_a", "profile_b"))
-            fit = np.abs(x - y).sum(axis=1) <= most * (x.sum(axis=1) + y.sum(axis=1))
-            yield pa.RecordBatch.from_arrays([batch.column("digest_a"), batch.column("digest_b")], names=["a", "b"]).filter(pa.array(fit))
 
-    return pairs.select("digest_a", "digest_b", "profile_a", "profile_b").mapInArrow(near, "a string, b string")
+def _rare_partners(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of ``nodes`` (node, grp) of different groups whose ``sets`` are ``similarity`` alike."""
+    spark = sets.sparkSession
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            hashes = np.frombuffer(b"".join(batch.column("hashes").to_pylist()), "<u4")
+            total += np.bincount(hashes % CELLS, minlength=CELLS)
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "n"])
+
+    # At most CELLS rows, whatever the input.
+    counted = sets.select("hashes").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(CELLS, np.int64)
+    counts[counted["cell"].to_numpy()] = counted["n"].to_numpy()
+    told = spark.sparkContext.broadcast(counts)
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for node, grp, blob in zip(*(batch.column(c).to_pylist() for c in ("node", "grp", "hashes"))):
+                hashes = np.frombuffer(blob, "<u4")
+                own, few = prefixes(hashes, told.value, similarity)
+                k = len(own)
+                out.append((own.astype(np.int64), np.full(k, node), np.full(k, grp), np.full(k, len(hashes)), np.arange(k), np.arange(k) < few))
+            cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 5 + [np.zeros(0, bool)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "node", "grp", "n", "pos", "few"])
+
+    own = materialize(sets.join(nodes, "node").mapInArrow(rare, "h long, node long, grp long, n long, pos long, few boolean"), "rare")
+    sizes = own.groupBy("h").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("lo < hi").select("h", "blocks")
+    placed = own.join(sizes, "h")
+    a = placed.where("few").select("h", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), *[F.col(c).alias(f"{c}_a") for c in ("node", "grp", "n", "pos")])
+    b = placed.select("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"{c}_b") for c in ("node", "grp", "n", "pos")])
+    # The smaller set's few rarest shingles meet the larger one's; what stands behind them bounds what both can share.
+    needed = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-9)
+    within = (F.struct("n_a", "node_a") < F.struct("n_b", "node_b")) & (F.col("grp_a") != F.col("grp_b")) & (F.col("n_a") >= similarity * F.col("n_b") - 1e-9)
+    within &= F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= needed
+    on = (a["h"] == b["h"]) & (a["block"] == b["block"])
+    pairs = a.join(b, on & within).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    return materialize(_alike(materialize(_ordered(pairs), "partners"), sets, similarity), "alike")
 
 
 def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one row of each group of near copies: the one with the least doc_id, repeated rows once."""
-    digest = F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32)
-    kept = near_copies(docs.select("doc_id", "text"), words, similarity).where("kept").select(F.col("kept_id").alias("__id"), F.col("digest").alias("__digest"))
-    named = docs.withColumn("__digest", digest)
-    found = named.join(kept.withColumnRenamed("__digest", "__kept"), (F.col("__digest") == F.col("__kept")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    once = found.withColumn("__nth", F.row_number().over(Window.partitionBy("__digest").orderBy("doc_id"))).where("__nth = 1")
-    return once.select(*docs.columns)
+    """``docs`` with one row of each group of near copies: the one with the least doc_id, of equal ones any.
+
+    Cases as in ``near_copies``; repeated rows stay once, other columns stay whatever their names are.
+    """
+    kept = near_copies(docs.select("doc_id", "text"), words, similarity).where("kept")
+    # Under names that no column of the table has.
+    taken = {c.lower() for c in docs.columns}
+    raw, id_, null, nth = (next(f"{c}{k}" for k in range(len(taken) + 1) if f"{c}{k}" not in taken) for c in ("raw", "id", "null", "nth"))
+    kept = kept.select(F.col("raw").alias(raw), F.coalesce("kept_id", F.lit(0)).alias(id_), F.col("kept_id").isNull().alias(null))
+    named = docs.select("*", _raw().alias(raw), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(id_), F.col("doc_id").isNull().alias(null))
+    found = named.join(kept, [raw, id_, null], "left_semi")
+    once = found.withColumn(nth, F.row_number().over(Window.partitionBy(raw, id_, null).orderBy(F.lit(0)))).where(F.col(nth) == 1)
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
