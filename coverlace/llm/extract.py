@@ -1,16 +1,21 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read as a sequence of text nodes, each with the path of open tags from the root. Per path the text's length,
-its punctuation and its number of nodes are added up. The ratio of a path is its text by its nodes, weighted by its
-punctuation; it is smoothed over the paths around it in page order, fused with the share of text that is not in links,
-and paths above a share of the spread are content. Boundaries that a page declares itself (navigation, headers, footers,
-asides, forms, adverts, comments) are left out before. The chosen paths then point to the smallest element that holds
-all of their text but links, and the header of its article; what else stands in it (a short list, a quotation, a heading)
-belongs to the text as well, and what stands outside does not. Where that element is the whole body, the text is the chosen
-paths, what stands between them, and headings before them, without blocks that are mostly links.
+A page is read as a sequence of text nodes, each with the path of open elements from the root to its leaf; elements are
+named by tag and classes, and a block whose text is mostly links has a path of its own. Per path the text's length and
+its punctuation are added up. The ratio of a path is its text by its blocks, weighted by the punctuation by its blocks. It
+is smoothed over the paths beside it in page order that stand in the same container, and fused with the ratio of the
+whole container (its paths' ratios, weighted by their text), with the share of text that is not in links, and with what the
+page says of itself: an ``article`` weighs more, elements that are named as adverts, notices, comments and the like, and
+forms, weigh less. Paths that reach a share of the best one are content, and their nodes are the text. A name alone decides
+nothing: the text of a page whose every part is marked still comes out.
+
+Beside that stand only rules of HTML: scripts, styles, controls of forms, navigation, headers (but an article's own),
+footers, asides, dialogs and hidden elements have no main text, and what stands in an article counts as a container half
+as good as the article at least.
 
 Cases: a null page counts as empty; empty pages, and pages without text, give an empty text; tags that are not closed end
-with their parents; repeated rows give repeated results; an empty table gives an empty result; other columns are ignored.
+with their parents; paths that tie at the threshold are all content; very long pages are read whole; repeated rows give
+repeated results; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,10 +40,15 @@ ENDS_OWN = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"
 #: Elements that hold a piece of a text rather than a whole one.
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 hgroup header li ul ol dl dt dd blockquote pre figure figcaption table caption thead tbody tfoot tr th details summary address".split())
 #: Elements that are never main text.
-BOILERPLATE = frozenset("nav header footer aside form button select input dialog menu head figure-nav".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar note".split())
-#: Words of class names and ids that mark what is no main text.
-MARKED = re.compile(r"(?:^|[\s_-])(?:ad|adbox|adslot|ads|adv|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|copyright|disclaimer|disqus|footer|footnav|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|pager|popup|promo|promoted|related|recommended|replies|responses|share|sharing|sidebar|skip|social|sponsor\w*|subscribe|subscription|toolbar|widget)(?=$|[\s_-])", re.I)
+BOILERPLATE = frozenset("nav header footer aside button select option optgroup label legend input datalist output dialog menu head".split())
+ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Class names and ids (whole ones) that pages give to what is mostly no main text, and what such a name weighs.
+MARKED = re.compile(r"(?:ad|adbox|adslot|ads|adv|advert\w*|banner|breadcrumbs?|comments?|comment-?(?:list|section|thread|body)|cookies?|cookie-?(?:bar|banner|notice|consent)|consent|copyright|disclaimer|disqus\w*|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|pager|popup|promo|promoted|related|related-?(?:posts|articles|links|stories)|recommended|replies|responses|share|sharing|share-?(?:bar|buttons)|sidebar|skip|social|social-?(?:links|share)|sponsor\w*|subscribe|subscription|toolbar|widget)", re.I)
+MARK, ARTICLE, MAIN = 0.1, 4.0, 2.0
+#: Share of the best path's ratio from which on a path is content; weight of a path's own ratio beside its container's;
+#: and what a container in an article has of the article's ratio, and a path in it of its container's, at least.
+SHARE, OWN, FLOOR = 0.3, 0.25, 0.5
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
@@ -49,58 +59,80 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
 class Node:
-    __slots__ = ("path", "block", "text", "linked", "chain")
-
-    def __init__(self, path: str, block: int, text: str, linked: bool, chain: tuple[int, ...]):
-        self.path, self.block, self.text, self.linked, self.chain = path, block, text, linked, chain
-
-
-def _dropped(tag: str, rest: str, inside_article: bool) -> bool:
-    if tag in BOILERPLATE:
-        # A header within the article holds its title.
-        return not (tag == "header" and inside_article)
-    if not rest or "=" not in rest and "hidden" not in rest:
-        return False
-    for name, a, b, c, bare in ATTRIBUTE.findall(rest):
-        name = (name or bare).lower()
-        value = a or b or c
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDDEN.search(value):
-            return True
-        if name == "role" and value.lower() in ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "main", "article") and MARKED.search(value):
-            return True
-    return False
+    """A piece of text: its path, the path of its container, its block and that block's tag, whether it stands in a link,
+    the weight of what the page says of it, and the path of the article around it."""
+
+    __slots__ = ("path", "box", "block", "tag", "text", "linked", "weight", "article")
+
+    def __init__(self, path: str, box: str, block: int, tag: str, text: str, linked: bool, weight: float, article: str):
+        self.path, self.box, self.block, self.tag, self.text, self.linked, self.weight, self.article = path, box, block, tag, text, linked, weight, article
+
+
+def _attributes(rest: str) -> dict[str, str]:
+    if not rest or rest.isspace():
+        return {}
+    return {(name or bare).lower(): a or b or c for name, a, b, c, bare in reversed(ATTRIBUTE.findall(rest))}
+
+
+def _dropped(tag: str, of: dict[str, str], inside_article: bool) -> bool:
+    """Whether HTML itself says that an element is no main text. A header within the article holds its title."""
+    if tag in BOILERPLATE and not (tag == "header" and inside_article):
+        return True
+    return "hidden" in of or of.get("aria-hidden", "").lower() == "true" or of.get("role", "").lower() in ROLES or HIDDEN.search(of.get("style", "")) is not None
+
+
+def _marked(tag: str, of: dict[str, str]) -> bool:
+    if tag == "form" or of.get("role", "").lower() == "form":
+        return True
+    names = f"{of.get('class', '')} {of.get('id', '')}".split()
+    return tag not in ("html", "body", "main", "article") and any(MARKED.fullmatch(n) for n in names)
+
+
+class Open:
+    """An open element, and what holds within it."""
+
+    __slots__ = ("tag", "gone", "linked", "marked", "article", "path", "box", "leaf")
+
+    def __init__(self, tag: str, of: dict[str, str], up: Open | None):
+        self.tag = tag
+        self.article = up.article if up else ""
+        self.gone = bool(up and up.gone) or _dropped(tag, of, self.article != "")
+        self.linked = bool(up and up.linked) or tag == "a"
+        self.marked = bool(up and up.marked) or _marked(tag, of)
+        self.path, self.box, self.leaf = (up.path, up.box, up.leaf) if up else ("", "", "")
+        if tag not in INLINE:
+            classes = sorted(n for n in of.get("class", "").split() if not any(c.isdigit() for c in n))
+            self.path += "/" + ".".join([tag, *classes])
+            self.leaf = tag
+            if tag not in TEXTUAL:
+                self.box = self.path
+        if tag == "article" or of.get("itemprop", "") == "articleBody":
+            self.article = self.article or self.path
+
+    def weight(self) -> float:
+        return (MARK if self.marked else 1.0) * (ARTICLE if self.article else MAIN if "/main" in self.path else 1.0)
 
 
 def text_nodes(page: str) -> list[Node]:
-    """Text nodes outside of what the page declares as no main text, in page order."""
+    """Text nodes outside of what HTML declares as no main text, in page order."""
     out: list[Node] = []
-    # An open element: tag, and whether it, or one around it, is left out, an article or a link, and the numbers of the
-    # elements from the body inwards.
-    stack: list[tuple[str, bool, bool, bool, tuple[int, ...]]] = []
-    path, gone, article, linked, chain, block, elements = "", False, False, False, (), 0, 0
-    at, n = 0, len(page)
-    paths = [""]
-
-    def restate() -> None:
-        nonlocal path, gone, article, linked, chain
-        path = paths[-1]
-        _, gone, article, linked, chain = stack[-1] if stack else ("", False, False, False, ())
+    stack: list[Open] = []
+    block, at, n = 0, 0, len(page)
+    root = Open("", {}, None)
 
     def pop_to(k: int) -> None:
         nonlocal block
-        if any(e[0] not in INLINE for e in stack[k:]):
+        if any(e.tag not in INLINE for e in stack[k:]):
             block += 1
         del stack[k:]
-        del paths[k + 1 :]
-        restate()
 
     def put(text: str) -> None:
-        if text and not gone:
+        e = stack[-1] if stack else root
+        if text and not e.gone:
             text = entities.unescape(text) if "&" in text else text
             if text and not (text.isspace() and (not out or out[-1].block != block)):
-                out.append(Node(path, block, text, linked, chain))
+                # Text of a container itself does not share what its paragraphs have.
+                out.append(Node(e.path, e.box if e.box != e.path else e.box + "#", block, e.leaf, text, e.linked, e.weight(), e.article))
 
     for m in TOKEN.finditer(page):
         if m.start() < at:
@@ -112,14 +144,14 @@ def text_nodes(page: str) -> list[Node]:
             continue
         tag = tag.lower()
         if m[1]:
-            if tag == "p" and not any(e[0] == "p" for e in stack):
+            if tag == "p" and not any(e.tag == "p" for e in stack):
                 block += 1
                 continue
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
+                if stack[k].tag == tag:
                     pop_to(k)
                     break
-                if tag in INLINE and stack[k][0] not in INLINE:
+                if tag in INLINE and stack[k].tag not in INLINE:
                     break
             continue
         if tag in VOID:
@@ -132,96 +164,92 @@ def text_nodes(page: str) -> list[Node]:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        if tag == "body" and any(e[0] == "head" for e in stack):
-            pop_to(next(k for k, e in enumerate(stack) if e[0] == "head"))
+        if tag == "body" and any(e.tag == "head" for e in stack):
+            pop_to(next(k for k, e in enumerate(stack) if e.tag == "head"))
         if tag in ENDS_P:
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
+                if stack[k].tag == "p":
                     pop_to(k)
                     break
-                if stack[k][0] not in INLINE:
+                if stack[k].tag not in INLINE:
                     break
         if tag in ENDS_OWN:
             own, scope = ENDS_OWN[tag]
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in scope:
+                if stack[k].tag in scope:
                     break
-                if stack[k][0] in own:
+                if stack[k].tag in own:
                     pop_to(k)
         rest = m[3]
         if rest.endswith("/") and tag not in INLINE and tag not in ENDS_P and tag not in ("article", "body", "html"):
             continue
         if tag not in INLINE:
             block += 1
-        elements += 1
-        outer = tag in INLINE or tag in TEXTUAL or tag in ("html", "body")
-        stack.append((tag, gone or _dropped(tag, rest, article), article or tag == "article" or "articleBody" in rest, linked or tag == "a", chain if outer else (*chain, elements)))
-        paths.append(f"{paths[-1]}/{tag}" if tag not in INLINE else paths[-1])
-        restate()
+        stack.append(Open(tag, _attributes(rest), stack[-1] if stack else None))
     put(page[at:])
     return out
 
 
-def content_paths(nodes: list[Node], spread: float = 0.5) -> set[str]:
-    """Paths whose smoothed, fused ratio reaches ``spread`` standard deviations, or the best path where none does."""
-    order: dict[str, list[float]] = {}
-    for x in nodes:
-        own = order.setdefault(x.path, [0.0, 0.0, 0.0, 0.0])
-        size = len(x.text.strip())
-        own[0] += size
-        own[1] += len(PUNCTUATION.findall(x.text))
-        own[2] += 1
-        own[3] += size if x.linked else 0
-    if not order:
-        return set()
-    paths = list(order)
-    ratio = [(s / c) * math.log(2 + p) for s, p, c, _ in order.values()]
-    kernel = (0.25, 0.5, 0.25)
-    smooth = [sum(w * ratio[min(max(i + d, 0), len(ratio) - 1)] for d, w in zip((-1, 0, 1), kernel)) for i in range(len(ratio))]
-    fused = [math.sqrt(max(r, 1e-9) * max(q, 1e-9)) * (1 - linked / max(s, 1.0)) for r, q, (s, _, _, linked) in zip(ratio, smooth, order.values())]
-    mean = sum(fused) / len(fused)
-    deviation = math.sqrt(sum((f - mean) ** 2 for f in fused) / len(fused))
-    chosen = {p for p, f in zip(paths, fused) if f >= spread * deviation and f > 0}
-    return chosen or {paths[max(range(len(fused)), key=fused.__getitem__)]}
-
-
-def _holder(nodes: list[Node], chosen: set[str]) -> int | None:
-    """The innermost element with all chosen text that is no link, its article's header, and more than one block of text;
-    None for the body."""
-    need = [x.chain for x in nodes if x.path in chosen and not x.linked and not x.text.isspace()]
-    held = {e for chain in need for e in chain}
-    # Only articles keep their headers, which say what the chosen text beside them is about.
-    need += [x.chain for x in nodes if "/header" in x.path and x.chain and x.chain[-1] in held]
-    if not need:
-        return None
-    common = 0
-    while all(len(chain) > common and chain[common] == need[0][common] for chain in need):
-        common += 1
-    for e in reversed(need[0][:common]):
-        if len({x.block for x in nodes if e in x.chain}) > 1:
-            return e
-    return None
-
-
-def _between(nodes: list[Node], chosen: set[str]) -> list[Node]:
-    """Chosen nodes, and what stands between them, or as a heading before them, in a block that is not mostly links."""
-    at = [k for k, x in enumerate(nodes) if x.path in chosen and not x.linked and not x.text.isspace()]
-    first, last = (at[0], at[-1]) if at else (len(nodes), -1)
+def leaf_paths(nodes: list[Node]) -> list[str]:
+    """The path of each node; that of a block which is mostly links, but a heading, ends in its link."""
     size: dict[int, list[int]] = {}
     for x in nodes:
         size.setdefault(x.block, [0, 0])[x.linked] += len(x.text.strip())
-    heading = lambda x: re.search(r"/h[1-6](?:/|$)", x.path)
-    return [x for k, x in enumerate(nodes) if x.path in chosen or size[x.block][0] >= size[x.block][1] and (first < k < last or k < first and heading(x))]
+    return [x.path + "/a" if size[x.block][1] > size[x.block][0] and x.tag not in HEADINGS else x.path for x in nodes]
+
+
+def path_ratios(nodes: list[Node], paths: list[str]) -> dict[str, float]:
+    """The smoothed and fused ratio of every path, in page order."""
+    text, marks, linked, blocks, first = {}, {}, {}, {}, {}
+    for x, p in zip(nodes, paths):
+        size = len(x.text.strip())
+        text[p] = text.get(p, 0) + size
+        marks[p] = marks.get(p, 0) + len(PUNCTUATION.findall(x.text))
+        linked[p] = linked.get(p, 0) + (size if x.linked and x.tag not in HEADINGS else 0)
+        blocks.setdefault(p, set()).add(x.block)
+        first.setdefault(p, x)
+    ratio = {p: text[p] / len(blocks[p]) * math.log2(2 + marks[p] / len(blocks[p])) for p in text}
+
+    def mean(of: list[str]) -> float:
+        """The ratio that a character of these paths has on average."""
+        return sum(text[p] * ratio[p] for p in of) / max(1, sum(text[p] for p in of))
+
+    own: dict[str, list[str]] = {}
+    article: dict[str, list[str]] = {}
+    for p, x in first.items():
+        own.setdefault(x.box, []).append(p)
+        if x.article and linked[p] < text[p] and not x.weight < 1:
+            article.setdefault(x.article, []).append(p)
+    fused = {}
+    for box, of in own.items():
+        whole = mean(of)
+        for k, p in enumerate(of):
+            beside = [of[max(k - 1, 0)], of[min(k + 1, len(of) - 1)]]
+            smooth = 0.5 * ratio[p] + 0.25 * sum(ratio[q] for q in beside)
+            within = article.get(first[p].article, [])
+            held = max(whole, FLOOR * mean(within))
+            smooth = max(smooth, FLOOR * held if within else 0)
+            fused[p] = smooth**OWN * held ** (1 - OWN) * (1 - linked[p] / max(1, text[p])) * first[p].weight
+    return {p: fused[p] for p in text}
+
+
+def content_paths(nodes: list[Node], paths: list[str], share: float = SHARE) -> set[str]:
+    """Paths whose ratio reaches ``share`` of the best one's."""
+    fused = path_ratios(nodes, paths)
+    best = max(fused.values(), default=0.0)
+    return {p for p, f in fused.items() if f > 0 and f >= share * best}
 
 
 def main_text(page: str | None) -> str:
     """Blocks of main text in page order, joined by empty lines."""
     nodes = text_nodes(page or "")
-    chosen = content_paths(nodes)
-    holder = _holder(nodes, chosen)
+    paths = leaf_paths(nodes)
+    chosen = content_paths(nodes, paths)
     blocks: list[list[str]] = []
     last = None
-    for x in [x for x in nodes if holder in x.chain] if holder is not None else _between(nodes, chosen):
+    for x, p in zip(nodes, paths):
+        if p not in chosen:
+            continue
         if x.block != last:
             blocks.append([])
             last = x.block
