@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
+import sys
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +71,38 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     out = np.zeros((len(raw), 8), np.uint8)
     out[:, : blob[0]] = raw
     return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
+
+
+def release() -> None:
+    """Give freed memory back to the system, as a worker serves many groups and stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
+def releasing_batches(of: Callable) -> Callable:
+    """``of`` for batches, after which freed memory is given back."""
+
+    def run(batches):
+        try:
+            yield from of(batches)
+        finally:
+            release()
+
+    return run
+
+
+def releasing(of: Callable) -> Callable:
+    """``of`` for one group, after which freed memory is given back."""
+
+    def run(*tables):
+        try:
+            return of(*tables)
+        finally:
+            release()
+
+    # Spark counts the parameters.
+    return (lambda t: run(t)) if of.__code__.co_argcount == 1 else (lambda t, told: run(t, told))

@@ -14,8 +14,8 @@ over shards of documents and buckets of values, all in one plan (the shuffled te
    common prefixes which starts share ``length`` bytes; it answers for each start whether a smaller id has it;
 5. each shard marks what the starts cover and digests or cuts its documents.
 
-Cases: a null text counts as empty; texts under ``length`` bytes stay whole; rows with one id never remove from each
-other; a null doc_id counts as greater than all others (and stays null); an empty table gives an empty result; other
+Cases: a null text counts as empty; texts under ``length`` bytes stay whole; very long texts are read block by block and
+their runs go to buckets like all others; rows with one id never remove from each other; a null doc_id counts as greater than all others (and stays null); an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -27,16 +27,17 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from coverlace.llm.common import n_shards_for, pack6, sharded, text_bytes, unpack6
+from coverlace.llm.common import n_shards_for, pack6, releasing, sharded, text_bytes, unpack6
 from coverlace.llm.suffix import plcp_at_least, suffix_array
 
 LENGTH = 50
 #: Bytes of the grams whose least hash is a string's value.
 GRAM = 20
 #: Text bytes of one shard, about.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Bytes hashed at a time.
 BLOCK = 1 << 18
 #: Starts of one run at most (longer runs, as in periodic text, are several).
@@ -44,7 +45,7 @@ RUN = 128
 #: A value that stands in more documents of one shard, or in more shards, is sent start by start.
 MANY_DOCUMENTS, MANY_SHARDS = 256, 1024
 #: Bytes that are sorted in one suffix array, about.
-SORT_BYTES = 4 << 20
+SORT_BYTES = 2 << 20
 LAST = np.iinfo(np.int64).max
 
 _TABLE = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, dtype=np.uint64)
@@ -358,16 +359,16 @@ def _finish(docs: DataFrame, schema, of: Callable[[pa.Table, Shard, np.ndarray],
     buckets = max(1, -(-shards // 2))
     texts = sharded(docs, shards, carry)
     plain = texts.select("shard", "doc_id", "text") if carry else texts
-    values = plain.groupBy("shard").applyInArrow(_send_values(buckets), SENT)
-    shared = values.groupBy("bucket").applyInArrow(_answer_values, SENT)
-    strings = plain.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(_send_strings(buckets), SENT)
-    answers = strings.groupBy("bucket").applyInArrow(_answer_strings, SENT)
+    values = plain.groupBy("shard").applyInArrow(releasing(_send_values(buckets)), SENT)
+    shared = values.groupBy("bucket").applyInArrow(releasing(_answer_values), SENT)
+    strings = plain.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(releasing(_send_strings(buckets)), SENT)
+    answers = strings.groupBy("bucket").applyInArrow(releasing(_answer_strings), SENT)
 
     def last(t: pa.Table, told: pa.Table) -> pa.Table:
         s = Shard(t, buckets)
         return of(t, s, _marked(s, told, buckets))
 
-    return texts.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(last, schema)
+    return texts.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(releasing(last), schema)
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -390,7 +391,8 @@ def digests(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with what is left of the texts (the bytes of a cut character left out) and n_chars to match.
 
-    All rows stay, also those of which nothing is left.
+    Cases as above; all rows stay, also those of which nothing is left; other columns stay whatever their names are, and
+    all columns keep their types.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
 
@@ -411,4 +413,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     docs_columns = docs.columns
     schema = StructType([StructField(f.name, LongType() if f.name in ("doc_id", "n_chars") else f.dataType) for f in docs.schema.fields])
-    return _finish(docs, schema, of, others)
+    out = _finish(docs, schema, of, others)
+    return out.select(*[F.col(f"`{f.name}`").cast(f.dataType) if f.name in ("doc_id", "n_chars") else F.col(f"`{f.name}`") for f in docs.schema.fields])

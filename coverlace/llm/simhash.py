@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coverlace.llm.common import text_list
+from coverlace.llm.common import releasing, releasing_batches, text_list
 from coverlace.operators.components import connected_components
 from coverlace.session import materialize
 
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             fp = np.fromiter((fingerprint(t, words) for t in text_list(batch.column("text"))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(releasing_batches(run), "doc_id long, fp long")
 
 
 # The trie join -------------------------------------------------------------------------------------------------------
@@ -310,7 +310,7 @@ def links(prints: DataFrame, errors: int = 3) -> DataFrame:
         a, b = (np.concatenate([f[c] for f in found] or none).view(np.int64) for c in (1, 2))
         return pa.table({"tab": tab, "a": a, "b": b})
 
-    return dealt.groupBy("task").applyInArrow(run, "tab int, a long, b long")
+    return dealt.groupBy("task").applyInArrow(releasing(run), "tab int, a long, b long")
 
 
 def classes(docs: DataFrame, words: int = 3, errors: int = 3) -> DataFrame:
@@ -330,7 +330,7 @@ def classes(docs: DataFrame, words: int = 3, errors: int = 3) -> DataFrame:
 #: Independent fingerprints of a document's set of words. Few changed words leave most tables within three bits.
 TABLES = 8
 #: Parts of the counts by which unlike texts are told apart without loss.
-PROFILE = 32
+PROFILE = 64
 #: Cells in which shingles are counted to put the rare ones first. The order decides costs, not results, so the size is
 #: fixed; the counts (8 MB) are sent to all tasks.
 CELLS = 1 << 20
@@ -394,7 +394,7 @@ def _plausible(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFra
             fit = np.abs(x - y).sum(axis=1) <= most * (x.sum(axis=1) + y.sum(axis=1))
             yield batch.select(["a", "b"]).filter(pa.array(fit, pa.bool_()))
 
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "profile_a", "profile_b").mapInArrow(near, "a long, b long")
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "profile_a", "profile_b").mapInArrow(releasing_batches(near), "a long, b long")
 
 
 def _raw() -> Column:
@@ -411,7 +411,7 @@ def _sets(nodes: DataFrame, texts: DataFrame, docs: DataFrame, words: int) -> Da
 
     wanted = texts.join(nodes, "node", "left_semi").select("node", F.col("raw").alias("of"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"))
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), _raw().alias("of"), "text")
-    found = own.join(wanted, ["of", "id", "no_id"]).select("node", "text").mapInArrow(run, "node long, hashes binary")
+    found = own.join(wanted, ["of", "id", "no_id"]).select("node", "text").mapInArrow(releasing_batches(run), "node long, hashes binary")
     return materialize(found.dropDuplicates(["node"]), "sets")
 
 
@@ -424,7 +424,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             alike = [jaccard(np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")) >= similarity for x, y in zip(batch.column("set_a"), batch.column("set_b"))]
             yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(releasing_batches(compare), "a long, b long")
 
 
 def _components(texts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -444,8 +444,9 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, errors
     Texts of equal words (in the sense of ``shingles``) are one from the start. Candidates are all pairs within ``errors``
     bits in the tries of a table, and a candidate counts if the shingles of both texts are ``similarity`` alike. First a
     spanning forest of each table's candidates is compared. Texts that are still within ``errors`` bits of one in another
-    component are then compared with each other where they share one of the rarest shingles that alike sets must share,
-    so no candidate goes unanswered and a family of close but unlike texts does not make all its pairs.
+    component are then compared with each other where they share one of the rarest shingles that alike sets must share
+    and their counts of shingles do not tell them apart, so no candidate goes unanswered and a family of close but unlike
+    texts does not make all its pairs.
 
     Cases: a null text counts as empty, and all texts without words are alike; texts of fewer words than a shingle are one
     shingle; of ties the least digest stands first; a null doc_id is kept only where a component has no other; repeated
@@ -460,7 +461,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, errors
             cols = [pa.array(c, pa.binary()) for c in cols] + [pa.array([word_set_fingerprints(t) for t in texts], pa.list_(pa.int64())), pa.array([profile(shingle_hashes(t, words)) for t in texts], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *cols], names=["doc_id", "raw", "digest", "fps", "profile"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, raw binary, digest binary, fps array<long>, profile binary")
+    rows = docs.select("doc_id", "text").mapInArrow(releasing_batches(run), "doc_id long, raw binary, digest binary, fps array<long>, profile binary")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "raw")).alias("k")
     texts = rows.groupBy("digest").agg(first, F.first("fps").alias("fps"), F.first("profile").alias("profile"))
     # The numbers are fixed once the table is written.
@@ -488,7 +489,8 @@ def _borders(placed: DataFrame, errors: int) -> DataFrame:
     grouped = entries.groupBy("tab", "fp").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"))
     grouped = materialize(grouped.select("tab", "fp", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("grp")), "groups")
     marked = links(grouped, errors).select("tab", F.col("a").alias("fp")).unionByName(grouped.where("grp is null").select("tab", "fp")).distinct()
-    return materialize(entries.join(marked, ["tab", "fp"], "left_semi").select("node", "grp").distinct(), "borders")
+    nodes = entries.join(marked, ["tab", "fp"], "left_semi").select("node").distinct()
+    return materialize(placed.join(nodes, "node", "left_semi").select("node", F.col("component").alias("grp")), "borders")
 
 
 def _rare_partners(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -504,7 +506,7 @@ def _rare_partners(nodes: DataFrame, sets: DataFrame, similarity: float) -> Data
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "n"])
 
     # At most CELLS rows, whatever the input.
-    counted = sets.select("hashes").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counted = sets.select("hashes").mapInArrow(releasing_batches(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(CELLS, np.int64)
     counts[counted["cell"].to_numpy()] = counted["n"].to_numpy()
     told = spark.sparkContext.broadcast(counts)
@@ -516,22 +518,27 @@ def _rare_partners(nodes: DataFrame, sets: DataFrame, similarity: float) -> Data
                 hashes = np.frombuffer(blob, "<u4")
                 own, few = prefixes(hashes, told.value, similarity)
                 k = len(own)
-                out.append((own.astype(np.int64), np.full(k, node), np.full(k, grp), np.full(k, len(hashes)), np.arange(k), np.arange(k) < few))
-            cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 5 + [np.zeros(0, bool)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "node", "grp", "n", "pos", "few"])
-
-    own = materialize(sets.join(nodes, "node").mapInArrow(rare, "h long, node long, grp long, n long, pos long, few boolean"), "rare")
+                out.append((own.astype(np.int64), np.full(k, node), np.full(k, grp), np.full(k, len(hashes)), np.arange(k), np.arange(k) < few, np.tile(np.frombuffer(profile(hashes), "<u4").astype(np.int32), k)))
+            if out:
+                *cols, parts = (np.concatenate(c) for c in zip(*out))
+                parts = pa.ListArray.from_arrays(pa.array(np.arange(0, len(parts) + 1, PROFILE, dtype=np.int32)), pa.array(parts))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), parts], names=["h", "node", "grp", "n", "pos", "few", "parts"])
+
+    own = sets.join(nodes, "node").mapInArrow(releasing_batches(rare), "h long, node long, grp long, n long, pos long, few boolean, parts array<int>")
+    own = materialize(own, "rare")
     sizes = own.groupBy("h").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("lo < hi").select("h", "blocks")
     placed = own.join(sizes, "h")
-    a = placed.where("few").select("h", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), *[F.col(c).alias(f"{c}_a") for c in ("node", "grp", "n", "pos")])
-    b = placed.select("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"{c}_b") for c in ("node", "grp", "n", "pos")])
+    a = placed.where("few").select("h", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), *[F.col(c).alias(f"{c}_a") for c in ("node", "grp", "n", "pos", "parts")])
+    b = placed.select("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"{c}_b") for c in ("node", "grp", "n", "pos", "parts")])
     # The smaller set's few rarest shingles meet the larger one's; what stands behind them bounds what both can share.
     needed = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-9)
     within = (F.struct("n_a", "node_a") < F.struct("n_b", "node_b")) & (F.col("grp_a") != F.col("grp_b")) & (F.col("n_a") >= similarity * F.col("n_b") - 1e-9)
     within &= F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= needed
     on = (a["h"] == b["h"]) & (a["block"] == b["block"])
-    pairs = a.join(b, on & within).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    return materialize(_alike(materialize(_ordered(pairs), "partners"), sets, similarity), "alike")
+    apart = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
+    within &= apart <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) + 1e-9
+    pairs = _ordered(a.join(b, on & within).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    return materialize(_alike(materialize(pairs, "partners"), sets, similarity), "alike")
 
 
 def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coverlace.llm.common import releasing_batches
+
 #: Labelled rows that the models are fitted on at most, those with the least hash of their id.
 MAX_LABELLED = 20_000
 #: The rows of each of so many parts are scored by counts of the others; those scores fit the logistic curve.
@@ -123,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         documents = np.array(rows.agg(*held).first(), float).reshape(PARTS, 2)
         if not documents.sum(axis=0).all():
             return Model({}, 1.0)
-        counts = rows.mapInArrow(count, "word string, " + ", ".join(f"{c} long" for c in columns)).groupBy("word").agg(*[F.sum(c).alias(c) for c in columns]).persist()
+        counts = rows.mapInArrow(releasing_batches(count), "word string, " + ", ".join(f"{c} long" for c in columns)).groupBy("word").agg(*[F.sum(c).alias(c) for c in columns]).persist()
         kind = F.startswith("word", F.lit(STEM))
         sums = {r[0]: np.array(r[1:], float).reshape(PARTS, 2) for r in counts.groupBy(kind).agg(*[F.sum(c) for c in columns]).collect()}
         sums = np.stack([sums.get(k, np.zeros((PARTS, 2))) for k in (False, True)])
@@ -143,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(ratios, pa.float64()), batch.column("toxic")], names=["ratio", "toxic"])
 
         # Two numbers for each of at most MAX_LABELLED rows.
-        measured = rows.select("text", "part", "toxic").mapInArrow(measure, "ratio double, toxic int").toPandas()
+        measured = rows.select("text", "part", "toxic").mapInArrow(releasing_batches(measure), "ratio double, toxic int").toPandas()
         model.slope, model.shift = _curve(measured["ratio"].to_numpy(), (measured["toxic"] > 0).to_numpy(float))
         told.unpersist()
         return model
@@ -165,7 +167,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
             s = told.value.score(np.array([told.value.ratio(x) for x in batch.column(1).to_pylist()], float))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(s)], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(releasing_batches(run), "doc_id long, score double")
 
 
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -184,4 +186,4 @@ def kept(docs: DataFrame, model: Model) -> DataFrame:
             s = told.value.score(np.array([told.value.ratio(x) for x in batch.column("text").to_pylist()], float))
             yield batch.filter(pa.array(s < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing_batches(run), docs.schema)
