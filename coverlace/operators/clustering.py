@@ -185,8 +185,27 @@ def pagerank(nodes: DataFrame, edges: DataFrame, labels: DataFrame, damping: flo
     return rank.join(labels, "node_id").select("node_id", "label", "score")
 
 
-def spectral_sparsify(nodes: list[int], edges: DataFrame, epsilon: float, seed: int = 42, sketch_dim: int | None = None, samples: int | None = None) -> DataFrame:
-    """Edges sampled by weight times effective resistance, reweighted so that the Laplacian is kept in expectation."""
+def spectral_layout(nodes: list[int], edges: DataFrame, width: int = 3) -> DataFrame:
+    """(node_id, v): the Laplacian's first vectors after the constant one, centred and scaled into the unit cube, for at
+    most DENSE_NODES nodes; missing ones are zero."""
+    a = dense_affinity(nodes, edges)
+    np.fill_diagonal(a, 0.0)
+    v = np.zeros((len(nodes), width))
+    if len(nodes) > 1:
+        vectors = np.linalg.eigh(np.diag(a.sum(axis=1)) - a)[1][:, 1 : width + 1]
+        vectors = vectors * np.where(vectors[np.abs(vectors).argmax(axis=0), np.arange(vectors.shape[1])] < 0, -1, 1)
+        vectors = vectors - vectors.mean(axis=0)
+        v[:, : vectors.shape[1]] = vectors / max(np.abs(vectors).max(), 1e-300)
+    return edges.sparkSession.createDataFrame(list(zip(map(int, nodes), v.tolist())), "node_id long, v array<double>")
+
+
+def spectral_sparsify(nodes: list[int], edges: DataFrame, epsilon: float, seed: int = 42, sketch_dim: int | None = None, samples: int | None = None, tolerance: float = 1e-6, rounds: int = 1000) -> DataFrame:
+    """Edges sampled by weight times effective resistance, reweighted so that the Laplacian is kept in expectation.
+
+    The driver solves for the resistances, so more than DENSE_NODES nodes are refused.
+    """
+    if len(nodes) > DENSE_NODES:
+        raise NoCut(f"{len(nodes)} nodes are too many to sparsify", {"max_nodes": DENSE_NODES})
     rows = edges.select("i", "j", "w").orderBy("i", "j").collect()
     at = {v: k for k, v in enumerate(nodes)}
     n, m = len(nodes), len(rows)
@@ -214,8 +233,8 @@ def spectral_sparsify(nodes: list[int], edges: DataFrame, epsilon: float, seed:
     r = b.copy()
     z = inverse * r
     p, rz = z.copy(), (r * z).sum(axis=0)
-    for _ in range(1000):
-        if np.linalg.norm(r, axis=0).max() <= 1e-6 * max(np.linalg.norm(b, axis=0).max(), 1e-12):
+    for _ in range(rounds):
+        if np.linalg.norm(r, axis=0).max() <= tolerance * max(np.linalg.norm(b, axis=0).max(), 1e-12):
             break
         lp = laplace(p)
         step = rz / np.maximum((p * lp).sum(axis=0), 1e-300)

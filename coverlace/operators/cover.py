@@ -69,7 +69,7 @@ def centres(maps: DataFrame) -> DataFrame:
     found = spark.createDataFrame([], schema)
     if top is None:
         return found.select("map_id", "eps", F.lit(0).cast("long").alias("ball_id"), F.col("node_id").alias("center_id"), F.col("v").alias("center"))
-    step = max(1, -(-(top + 1) // ID_RANGES))
+    whole = max(1, -(-(top + 1) // ID_RANGES))
     undecided = maps.select("map_id", "eps", "node_id", "v")
 
     def settle(t: pa.Table) -> pa.Table:
@@ -78,8 +78,13 @@ def centres(maps: DataFrame) -> DataFrame:
         return t.take(pa.array(greedy(_array_of(t["v"]), t["eps"][0].as_py())))
 
     while True:
-        # Rows here: maps by ID_RANGES at most.
-        counts = undecided.groupBy("map_id", F.floor(F.col("node_id") / step).alias("r")).count().groupBy("r").agg(F.max("count").alias("n")).orderBy("r").collect()
+        # Rows here: ID_RANGES at most. A first range of more points than a round takes is cut into ranges itself.
+        step, some = whole, undecided
+        while counts := some.groupBy("map_id", F.floor(F.col("node_id") / step).alias("r")).count().groupBy("r").agg(F.max("count").alias("n")).orderBy("r").collect():
+            if counts[0]["n"] <= ROUND_POINTS or step == 1:
+                break
+            first = int(counts[0]["r"])
+            some, step = undecided.where((F.col("node_id") >= first * step) & (F.col("node_id") < (first + 1) * step)), max(1, step // ID_RANGES)
         if not counts:
             break
         upto, n = counts[0]["r"], counts[0]["n"]

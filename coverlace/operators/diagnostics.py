@@ -172,3 +172,29 @@ def articulation_points(nodes: DataFrame, edges: DataFrame, max_nodes: int = 100
         if children > 1:
             cut.add(root)
     return sorted(cut)
+
+
+#: What a skeleton shows: numbers alone, with a summary, with its nodes, with its edges, or all.
+SKELETONS = ("summary", "nodes", "full_nodes", "edges", "full")
+
+
+def skeleton(nodes: DataFrame, edges: DataFrame, labels: DataFrame, threshold: float, detail: str = "summary", max_nodes: int = 1000, max_edges: int = 5000) -> dict:
+    """A bounded view of the graph above ``threshold``: counts, sizes, and what ``detail`` adds; what is left out is told."""
+    if detail not in SKELETONS:
+        raise ValueError(f"detail is one of {', '.join(SKELETONS)}")
+    kept = edges.where(F.col("w") > threshold)
+    n, m = nodes.count(), kept.count()
+    counts = {r["size"]: r["count"] for r in labels.groupBy("label").agg(F.count(F.lit(1)).alias("size")).groupBy("size").count().collect()}  # at most sqrt(2 n) sizes
+    top = [s for s in sorted(counts, reverse=True) for _ in range(min(counts[s], 20))][:20]
+    components = sum(counts.values())
+    buckets = {"1": (1, 1), "2-5": (2, 5), "6-20": (6, 20), ">20": (21, math.inf)}
+    summary = {"total": components, "preview": top, "omitted": max(components - len(top), 0), "largest": top[:5], "singleton_count": counts.get(1, 0), "size_buckets": {k: sum(c for s, c in counts.items() if a <= s <= b) for k, (a, b) in buckets.items()}}
+    own = [r["node_id"] for r in nodes.select("node_id").orderBy("node_id").limit(max_nodes).collect()] if detail in ("full_nodes", "full") else []
+    links = [tuple(r) for r in kept.select("i", "j", "w").orderBy("i", "j").limit(max_edges).collect()] if detail in ("edges", "full") else []
+    out = {
+        "detail": detail, "node_count": n, "edge_count": m, "resolved_construction_threshold": threshold, "component_count": components, "component_sizes_summary": summary,
+        "nodes_returned": len(own), "nodes_omitted": n - len(own), "edges_returned": len(links), "edges_omitted": m - len(links),
+    }
+    if detail == "nodes":
+        out["topological_summary"] = {"hubs": [tuple(r) for r in node_degrees(nodes, kept).orderBy(F.desc("val"), "node_id").limit(10).collect()], "articulation_points": articulation_points(nodes, kept)}
+    return out | ({"nodes": own} if own else {}) | ({"edges": links} if links else {})

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coverlace.session import materialize
+from coverlace.sources.tables import with_node_id
 
 #: Weights at or under this are not kept by the MinHash graph.
 FLOOR = 0.05
-#: Nodes of a bucket, or of a signature, that are paired with others in one block, about.
-BLOCK = 256
+#: Nodes of a signature that are paired with others in one block, about, and signatures that are compared as a block.
+BLOCK, SIGNATURES = 256, 512
 
 
 def global_balls(members: DataFrame, dataset: int = 0) -> DataFrame:
@@ -94,15 +98,45 @@ def _collapsed(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reps, materialize(members, "members")
 
 
-def _rep_candidates(reps: DataFrame, r: int) -> DataFrame:
-    """(i, j): signatures that agree on all ``r`` rows of a band. Large buckets are paired block by block, none in part."""
+def _compare(a: np.ndarray, b: np.ndarray, r: int) -> np.ndarray:
+    """For signatures as rows of ``a`` and ``b``, in how many places each pair agrees; 0 where no band of ``r`` does."""
+    n, met = np.zeros((len(a), len(b)), np.int32), np.zeros((len(a), len(b)), bool)
+    for k in range(0, a.shape[1], r):
+        band = [a[:, c, None] == b[None, :, c] for c in range(k, min(k + r, a.shape[1]))]
+        for x in band:
+            n += x
+        met |= np.logical_and.reduce(band)
+    return np.where(met, n, 0)
+
+
+def _rep_pairs(reps: DataFrame, d: int, r: int, floor: float = 0.0) -> DataFrame:
+    """(i, j, w): signatures that agree on all ``r`` rows of a band, with the share of equal rows, where it is above
+    ``floor``.
+
+    Signatures are laid out in blocks in their own order, so that like ones stand together; two blocks meet if any two of
+    theirs share a band, and are then compared place by place. No bucket is cut, and no pair is made more than once.
+    """
+    placed = with_node_id(reps.select("rep", "hs"), "hs", name="at").withColumn("blk", F.floor(F.col("at") / SIGNATURES))
+    placed = materialize(placed, "placed")
     bands = F.transform(F.sequence(F.lit(0), F.floor((F.size("hs") - 1) / r).cast("int")), lambda k: F.xxhash64(F.slice("hs", k * r + 1, r)))
-    keyed = reps.select("rep", F.posexplode(bands).alias("band", "key"))
-    sizes = keyed.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    placed = keyed.join(sizes, ["band", "key"])
-    a = placed.select("band", "key", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.col("rep").alias("i"))
-    b = placed.select("band", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("rep").alias("j"))
-    return a.join(b, ["band", "key", "block"]).where("i < j").select("i", "j").distinct()
+    keyed = placed.select("blk", F.posexplode(bands).alias("band", "key")).distinct()
+    meet = keyed.withColumnRenamed("blk", "x").join(keyed.withColumnRenamed("blk", "y"), ["band", "key"]).where("x <= y").select("x", "y").distinct()
+    packed = placed.groupBy("blk").agg(F.collect_list("rep").alias("reps"), F.flatten(F.collect_list("hs")).alias("hs"))  # SIGNATURES rows each
+    of = lambda c: packed.select(F.col("blk").alias(c), F.col("reps").alias(f"reps_{c}"), F.col("hs").alias(f"hs_{c}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {c: batch.column(c)[k] for c in batch.schema.names}
+                i, j = (row[f"reps_{c}"].values.to_numpy() for c in "xy")
+                a, b = (row[f"hs_{c}"].values.to_numpy().reshape(-1, d) for c in "xy")
+                n = _compare(a, b, r)
+                if row["x"].as_py() == row["y"].as_py():
+                    n = np.triu(n, 1)
+                p, q = np.nonzero(n > floor * d)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i[p], j[q])), pa.array(np.maximum(i[p], j[q])), pa.array(n[p, q] / d)], names=["i", "j", "w"])
+
+    return meet.join(of("x"), "x").join(of("y"), "y").mapInArrow(run, "i long, j long, w double")
 
 
 def _expanded(pairs: DataFrame, reps: DataFrame, members: DataFrame) -> DataFrame:
@@ -121,17 +155,30 @@ def candidates(sigs: DataFrame, d: int, bands: tuple[int, int] | None = None) ->
     """(i, j): all nodes that agree on all rows of a band. Nodes of equal signature are one until the end."""
     r, _ = bands or choose_bands(d)
     reps, members = _collapsed(sigs)
-    return _expanded(_rep_candidates(reps, r).unionByName(reps.select(F.col("rep").alias("i"), F.col("rep").alias("j"))), reps, members)
+    return _expanded(_rep_pairs(reps, d, r).select("i", "j").unionByName(reps.select(F.col("rep").alias("i"), F.col("rep").alias("j"))), reps, members)
+
+
+class CollapsedGraph:
+    """The MinHash graph over different signatures: its pairs of nodes are made only where they are asked for."""
+
+    def __init__(self, sigs: DataFrame, d: int, floor: float = FLOOR):
+        self.reps, self.members = _collapsed(sigs)
+        self.pairs = materialize(_rep_pairs(self.reps, d, choose_bands(d)[0], floor), "pairs")
+
+    def edges(self) -> DataFrame:
+        """(i, j, w): candidates with the share of equal rows, where it is above the floor."""
+        own = self.reps.select(F.col("rep").alias("i"), F.col("rep").alias("j"), F.lit(1.0).alias("w"))
+        return _expanded(self.pairs.unionByName(own), self.reps, self.members)
+
+    def spanning(self) -> DataFrame:
+        """Edges with the same components as all edges at every threshold below one: the pairs of signatures, and each
+        node with its signature's first."""
+        star = self.members.where("node_id != rep").select(F.col("rep").alias("i"), F.col("node_id").alias("j"), F.lit(1.0).alias("w"))
+        return self.pairs.unionByName(star)
 
 
 def estimated_graph(sigs: DataFrame, d: int, floor: float = FLOOR) -> DataFrame:
-    """(i, j, w): candidates with the share of equal rows, where it is above ``floor``."""
-    reps, members = _collapsed(sigs)
-    of = lambda k: reps.select(F.col("rep").alias(k), F.col("hs").alias(f"hs_{k}"))
-    pairs = _rep_candidates(reps, choose_bands(d)[0]).join(of("i"), "i").join(of("j"), "j")
-    w = F.size(F.filter(F.zip_with("hs_i", "hs_j", lambda x, y: x == y), lambda t: t)) / F.lit(float(d))
-    pairs = pairs.select("i", "j", w.alias("w")).unionByName(reps.select(F.col("rep").alias("i"), F.col("rep").alias("j"), F.lit(1.0).alias("w")))
-    return _expanded(pairs.where(F.col("w") > floor), reps, members)
+    return CollapsedGraph(sigs, d, floor).edges()
 
 
 def minhash_graph(balls: DataFrame, d: int = 256, seed: int = 42) -> DataFrame:

@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coverlace.functions.hashing import gaussian, uniform
+from coverlace.operators.stats import running
+from coverlace.sources.tables import with_node_id
 
 NUMERIC_METHODS = ("fill_mean", "fill_median", "sample_normal")
+#: Columns that one column's categories may become where no limit is given.
+MAX_CATEGORIES = 10_000
 METHODS = (*NUMERIC_METHODS, "fill_mode", "sample_categorical")
 
 
@@ -80,30 +84,41 @@ def missing_flags(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({f"{c}_was_missing": F.col(c).isNull().cast("double") for c in columns})
 
 
-def category_shares(df: DataFrame, column: str) -> list[tuple[object, float]]:
-    """Values ascending with the cumulative share of rows up to each."""
-    rows = df.where(F.col(column).isNotNull()).groupBy(column).count().orderBy(column).collect()
-    total, seen, out = sum(r["count"] for r in rows), 0, []
-    for r in rows:
-        seen += r["count"]
-        out.append((r[0], seen / total))
-    return out
+#: Parts of [0, 1) in which draws meet the values that may be drawn there.
+DRAW_PARTS = 1024
+
+
+def drawn_categories(df: DataFrame, column: str, seed: int, row_key: str) -> DataFrame:
+    """``df`` with missing values of ``column`` drawn by the shares of the others, in the values' order.
+
+    Values and draws meet by parts of [0, 1), so neither is collected; draws depend on the seed, the column and the key.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("k"))
+    total = counts.agg(F.sum("k").alias("total"))
+    # Ascending; distinct values are few against the rows, and running totals are taken in ranges of their numbers.
+    placed = with_node_id(counts, "value", name="at")
+    upto = running(placed.withColumn("one", F.lit(0)), ["one"], "at", "k").crossJoin(F.broadcast(total))  # one row
+    shares = upto.select("value", ((F.col("upto") - F.col("k")) / F.col("total")).alias("lo"), (F.col("upto") / F.col("total")).alias("hi"))
+    of = lambda c: F.least(F.floor(F.col(c) * DRAW_PARTS), F.lit(DRAW_PARTS - 1))
+    shares = shares.withColumn("part", F.explode(F.sequence(of("lo"), of("hi"))))
+    u = F.greatest(uniform(seed, F.lit(column), F.col(row_key)), F.lit(1e-300))
+    draws = df.where(F.col(column).isNull()).select(F.col(row_key).alias("key"), u.alias("u")).withColumn("part", of("u"))
+    drawn = draws.join(shares, "part").where("lo < u AND u <= hi").select("key", "value")
+    out = df.join(drawn, df[row_key] == drawn["key"], "left")
+    return out.select(*[F.coalesce(F.col(f"`{c}`"), F.col("value")).alias(c) if c == column else df[f"`{c}`"] for c in df.columns])
 
 
 def imputation(df: DataFrame, column: str, spec: Impute, row_key: str) -> Column | None:
-    """The value that replaces a missing one; draws depend on the seed, the column and the row's key alone."""
+    """The value that replaces a missing one; draws depend on the seed, the column and the row's key alone.
+
+    Categories are drawn by ``drawn_categories`` instead.
+    """
     kind = df.schema[column].dataType
     if spec.method not in METHODS:
         raise ValueError(f"Invalid parameter: unknown imputation method '{spec.method}'")
     if spec.method in NUMERIC_METHODS and not is_numeric(kind):
         raise ValueError(f"Column '{column}' is configured for numeric imputation ({spec.method}) but is not numeric")
     c = F.col(column)
-    if spec.method == "sample_categorical":
-        shares = category_shares(df, column)
-        u, out = uniform(spec.seed, F.lit(column), F.col(row_key)), None
-        for value, upto in shares:
-            out = F.when(u <= upto, F.lit(value)) if out is None else out.when(u <= upto, F.lit(value))
-        return out.otherwise(F.lit(shares[-1][0])) if shares else None
     if spec.method == "fill_mode":
         return F.lit(df.agg(F.mode(c, True)).first()[0])
     x = c.cast("double")
@@ -116,10 +131,11 @@ def imputation(df: DataFrame, column: str, spec: Impute, row_key: str) -> Column
 
 
 def vocabulary_of(df: DataFrame, column: str, limit: int | None) -> tuple[str, ...]:
-    """Sorted categories; more than ``limit`` is an error, more than fifty a warning."""
-    found = [r[0] for r in df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("c")).distinct().limit((limit or 100_000) + 1).collect()]
-    if limit is not None and len(found) > limit:
-        raise ValueError(f"Column '{column}' has {len(found)} categories or more, exceeding max_categories={limit}")
+    """Sorted categories; more than ``limit``, or than columns can be made for, is an error, more than fifty a warning."""
+    most = MAX_CATEGORIES if limit is None else limit
+    found = [r[0] for r in df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("c")).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"Column '{column}' has {len(found)} categories or more, exceeding max_categories={most}")
     if len(found) > 50:
         warnings.warn(f"Column '{column}' has {len(found)} categories", stacklevel=2)
     return tuple(sorted(found))
@@ -139,8 +155,11 @@ def preprocess(df: DataFrame, spec: Preprocessing, row_key: str = "node_id", exp
     df = coerce(df, [c for c, s in impute.items() if s.method in NUMERIC_METHODS])
     guard_all_missing(df, list(dict.fromkeys([*impute, *encode])))
     df = missing_flags(df, list(impute))
-    filled = {c: F.coalesce(F.col(c), value.cast(df.schema[c].dataType) if not is_numeric(df.schema[c].dataType) else value.cast("double")) for c, s in impute.items() if (value := imputation(df, c, s, row_key)) is not None}
+    filled = {c: F.coalesce(F.col(c), value.cast(df.schema[c].dataType) if not is_numeric(df.schema[c].dataType) else value.cast("double")) for c, s in impute.items() if s.method != "sample_categorical" and (value := imputation(df, c, s, row_key)) is not None}
     df = df.withColumns(filled) if filled else df
+    for c, s in impute.items():
+        if s.method == "sample_categorical":
+            df = drawn_categories(df, c, s.seed, row_key)
     words = {c: (vocabulary or {}).get(c) or vocabulary_of(df, c, s.max_categories) for c, s in encode.items()}
     for c in encode:
         df = one_hot(df, c, words[c])

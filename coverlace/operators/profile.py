@@ -35,7 +35,8 @@ def probe_column(df: DataFrame, column: str, max_sample: int = 10) -> dict:
 
 
 def nearest(points: DataFrame, k: int) -> DataFrame:
-    """(node_id, rank, d): distances to the first ``k`` neighbours, brute force among a bounded sample of points."""
+    """(node_id, rank, d): distances to the first ``k`` neighbours, by brute force: for bounded sets of points, as
+    ``geometry`` takes."""
     a = points.select("node_id", "v")
     b = points.select(F.col("node_id").alias("other"), F.col("v").alias("u"))
     d = F.sqrt(F.aggregate(F.zip_with("v", "u", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, t: s + t))

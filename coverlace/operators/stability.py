@@ -154,95 +154,9 @@ def mass_profile(sizes: DataFrame, n: int, small_share: float = 0.01) -> DataFra
         F.count_if(size == 1).alias("singleton_count"),
         (F.max(size) / F.lit(float(n))).alias("giant_fraction"),
         (F.count_if(size == 1) / F.lit(float(n))).alias("singleton_fraction"),
-        (F.sum(F.when(size <= F.lit(small_share * n), size).otherwise(0)) / F.lit(float(n))).alias("small_mass_fraction"),
+        (F.sum(F.when(size <= F.lit(max(1, int(small_share * n))), size).otherwise(0)) / F.lit(float(n))).alias("small_mass_fraction"),
     )
 
 
 def useful_size(n: int) -> int:
-    return max(3, min(round(n**0.5), round(0.005 * n)))
-
-
-def significant_sizes(sizes: list[int]) -> list[int]:
-    """Sizes above the lowest cliff of three times or more, without singletons."""
-    ordered = sorted((s for s in sizes if s > 1), reverse=True)
-    cliffs = [k for k in range(len(ordered) - 1) if ordered[k] >= 3 * ordered[k + 1]]
-    return ordered[: cliffs[-1] + 1] if cliffs else ordered
-
-
-def shape_metrics(sizes: DataFrame, n: int) -> dict:
-    """Count, mass, coverage, normalised entropy and balance of the components that are not trivial."""
-    floor = useful_size(n)
-    big = sizes.where(F.col("size") >= floor)
-    p = F.col("size") / F.sum("size").over(Window.partitionBy(F.lit(0)))
-    row = big.withColumn("p", p).agg(F.count(F.lit(1)).alias("k"), F.sum("size").alias("mass"), F.sum(-F.col("p") * F.log("p")).alias("h")).first()
-    top = [r["size"] for r in big.orderBy(F.desc("size")).limit(2).collect()]
-    k, mass = row["k"], row["mass"] or 0
-    return {
-        "nontrivial_count": k,
-        "nontrivial_mass": mass / n if n else 0.0,
-        "nontrivial_coverage": (mass - (top[0] if top else 0)) / n if n else 0.0,
-        "entropy": (row["h"] or 0.0) / np.log(k) if k > 1 else 0.0,
-        "top_two_balance": top[1] / top[0] if len(top) == 2 else 0.0,
-    }
-
-
-def plateau_tier(giant: float, singletons: float, nontrivial: int, mass: float) -> str:
-    if singletons >= 0.35:
-        return "outlier_frontier"
-    if giant >= 0.95:
-        return "giant_component_with_dust"
-    if nontrivial >= 2 and singletons <= 0.05 and mass >= 0.8:
-        return "report_ready"
-    if nontrivial >= 2 and singletons <= 0.2 and mass >= 0.55:
-        return "balanced"
-    return "exploratory" if nontrivial >= 2 else "weak_candidate"
-
-
-#: Fixed weights of the policies: persistence, balance, mass, entropy, singletons, small mass.
-POLICIES = {"report_ready": (0.35, 0.25, 0.30, 0.10, -0.55, -0.25), "detail_seeking": (0.25, 0.30, 0.25, 0.20, -0.20, -0.10), "outlier_mining": (0.15, 0.10, 0.20, 0.35, 0.20, -0.05), "balanced": (0.30, 0.25, 0.30, 0.15, -0.35, -0.15)}
-
-
-def plateau_rank(policy: str, width: float, active_range: float, balance: float, mass: float, entropy: float, singletons: float, small: float) -> float:
-    persistence = min(max(width / (0.25 * active_range if active_range > 0 else 0.05), 0.0), 1.0)
-    return round(max(sum(a * b for a, b in zip(POLICIES[policy], (persistence, balance, mass, entropy, singletons, small))), 0.0), 4)
-
-
-def threshold_candidates(nodes: DataFrame, edges: DataFrame, n: int, policy: str = "balanced", top_k: int = 3, bins: int = BINS) -> list[dict]:
-    """The best plateaus under a policy, each with the shape of its partition."""
-    forest = spanning_forest(edges)
-    curve = component_curve(forest, n, bins)
-    found = plateaus(curve).where("components > 1").limit(20).collect()
-    changes = [r["threshold"] for r in change_points(curve).collect()]
-    active = max(changes) - min(changes) if changes else 0.0
-    out = []
-    for p in found:
-        sizes = checkpoint(component_sizes(component_labels(nodes, edges, p["midpoint"], forest=forest)))
-        mass, shape = mass_profile(sizes, n).first(), shape_metrics(sizes, n)
-        out.append(
-            {
-                "threshold": p["midpoint"],
-                "components": p["components"],
-                "tier": plateau_tier(mass["giant_fraction"], mass["singleton_fraction"], shape["nontrivial_count"], shape["nontrivial_mass"]),
-                "rank": plateau_rank(policy, p["length"], active, shape["top_two_balance"], shape["nontrivial_mass"], shape["entropy"], mass["singleton_fraction"], mass["small_mass_fraction"]),
-                **shape,
-            }
-        )
-    return sorted(out, key=lambda x: (-x["rank"], x["threshold"]))[:top_k]
-
-
-def breakpoints(nodes: DataFrame, edges: DataFrame, n: int, thresholds: list[float]) -> DataFrame:
-    """(threshold, label, merged, size, absorbed): components that come together between a threshold and the next lower."""
-    forest, out = spanning_forest(edges), None
-    labels = {t: checkpoint(component_labels(nodes, edges, t, forest=forest)) for t in sorted(set(thresholds), reverse=True)}
-    order = sorted(labels, reverse=True)
-    for high, low in zip(order, order[1:]):
-        both = labels[high].select("node_id", F.col("label").alias("before")).join(labels[low], "node_id")
-        parts = both.groupBy("label", "before").agg(F.count(F.lit(1)).alias("size"))
-        merged = parts.groupBy("label").agg(F.count(F.lit(1)).alias("merged"), F.sum("size").alias("size"), (F.sum("size") - F.max("size")).alias("absorbed")).where("merged > 1")
-        share = F.col("absorbed") / F.lit(float(n))
-        event = F.when((share >= 0.05) & (F.col("merged") >= 2), "large_merge").when(share < 0.01, "small_absorption").otherwise("mixed")
-        part = merged.select(F.lit(low).alias("threshold"), "label", "merged", "size", "absorbed", event.alias("event"))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise ValueError("at least two thresholds are needed")
-    return out
+    return max(3, min(round(n**0.5), round(0.005 * n))) if n > 0 else 1

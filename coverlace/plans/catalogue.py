@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coverlace.functions.hashing import gaussian_matrix
-from coverlace.operators import clustering, cover, diagnostics, graph, panel, preprocess, profile, project, stability, stats
+from coverlace.operators import clustering, cover, diagnostics, graph, longitudinal, panel, preprocess, profile, project, stability, stats, thresholds
 from coverlace.operators.preprocess import Impute, OneHot, Preprocessing
-from coverlace.plans import sweep
+from coverlace.plans import dossier, sweep
 from coverlace.plans.config import SweepConfig
 from coverlace.session import checkpoint, materialize
 from coverlace.sources import tables
@@ -136,7 +136,7 @@ def impute_mode(spark, d):
 @query()
 def impute_sample_categorical(spark, d):
     rows = customers(spark, d).select("node_id", F.when(F.col("c_custkey") % 5 != 0, F.col("segment")).alias("segment"))
-    return rows.select("node_id", F.coalesce("segment", preprocess.imputation(rows, "segment", Impute("sample_categorical"), "node_id")).alias("segment"))
+    return preprocess.drawn_categories(rows, "segment", 42, "node_id")
 
 
 @query("SELECT doc_id, n_chars::DOUBLE AS n_chars, (lang = 'de')::INT::DOUBLE AS lang_de, (lang = 'en')::INT::DOUBLE AS lang_en, (lang = 'es')::INT::DOUBLE AS lang_es, (lang = 'fr')::INT::DOUBLE AS lang_fr FROM documents")
@@ -323,7 +323,7 @@ def components_by_size(spark, d):
 SIZES = REACH + ", sizes AS (SELECT root, count(*) AS size FROM roots GROUP BY 1), n AS (SELECT count(*)::DOUBLE AS n FROM pts)"
 
 
-@query(SIZES + " SELECT count(*) AS component_count, count(*) FILTER (size = 1) AS singleton_count, round(max(size) / max(n), 6) AS giant_fraction, round(count(*) FILTER (size = 1) / max(n), 6) AS singleton_fraction, round(sum(CASE WHEN size <= 0.01::DOUBLE * n THEN size ELSE 0 END) / max(n), 6) AS small_mass_fraction FROM sizes, n")
+@query(SIZES + " SELECT count(*) AS component_count, count(*) FILTER (size = 1) AS singleton_count, round(max(size) / max(n), 6) AS giant_fraction, round(count(*) FILTER (size = 1) / max(n), 6) AS singleton_fraction, round(sum(CASE WHEN size <= greatest(1, floor(0.01::DOUBLE * n)) THEN size ELSE 0 END) / max(n), 6) AS small_mass_fraction FROM sizes, n")
 def mass_profile(spark, d):
     nodes, edges, n = customer_graph(spark, d)
     return rounded(stability.mass_profile(stability.component_sizes(stability.component_labels(nodes, edges, TAU)), n))
@@ -406,16 +406,126 @@ def optimal_threshold(spark, d):
     return spark.createDataFrame([(tau,)], "threshold double")
 
 
-@query()
-def threshold_candidates(spark, d):
+LADDER_SQL = SUPPLIERS + """, n AS (SELECT count(*) AS n FROM pts), ends AS (SELECT i, j, w FROM edges UNION ALL SELECT j, i, w FROM edges), rungs(t) AS ({at}),
+  lreach(t, node_id, other) AS (SELECT t, node_id, node_id FROM rungs, pts UNION SELECT r.t, r.node_id, s.j FROM lreach r JOIN ends s ON s.i = r.other AND s.w > r.t),
+  lroots AS MATERIALIZED (SELECT t, node_id, min(other) AS root FROM lreach GROUP BY 1, 2), lsizes AS (SELECT t, root, count(*) AS size FROM lroots GROUP BY 1, 2)"""
+
+
+def _shape_sql(top: int) -> str:
+    """Masses and shape of each threshold's partition, as the tables mass and shape."""
+    return f""", mass AS (SELECT t, count(*) AS component_count, max(size) AS giant, round(max(size)::DOUBLE / max(n), 4) AS g, count(*) FILTER (size = 1) AS singleton_count, round(count(*) FILTER (size = 1) / max(n)::DOUBLE, 4) AS s,
+    round(coalesce(sum(size) FILTER (size <= greatest(1, floor(n * 0.01::DOUBLE))), 0) / max(n)::DOUBLE, 4) AS d FROM lsizes, n GROUP BY 1),
+  tops AS (SELECT t, size, row_number() OVER (PARTITION BY t ORDER BY size DESC) AS rn FROM lsizes QUALIFY rn <= {top}),
+  cliffs AS (SELECT t, coalesce(max(rn) FILTER (size >= 3 * nxt), {top}) AS cut FROM (SELECT *, lead(size) OVER (PARTITION BY t ORDER BY rn) AS nxt FROM tops) GROUP BY 1),
+  real AS (SELECT t, size, rn FROM tops JOIN cliffs USING (t) WHERE rn <= cut AND size > 1),
+  shares AS (SELECT t, size::DOUBLE / sum(size) OVER (PARTITION BY t) AS p FROM tops),
+  evenness AS (SELECT t, CASE WHEN count(*) > 1 THEN round(-sum(p * ln(p)) / ln(count(*)), 4) ELSE 0 END AS e FROM shares GROUP BY 1),
+  modes AS (SELECT t, count(*) AS k, sum(size) AS held, sum(size) FILTER (rn > 1) AS lesser, max(size) FILTER (rn = 1) AS a, max(size) FILTER (rn = 2) AS b FROM real GROUP BY 1),
+  shape AS (SELECT t, coalesce(k, 0) AS k, round(coalesce(held, 0) / n::DOUBLE, 4) AS m, round(coalesce(lesser, 0) / n::DOUBLE, 4) AS c, CASE WHEN b IS NULL THEN 0 ELSE round(1 - (a - b) / (a + b)::DOUBLE, 4) END AS b, e FROM evenness LEFT JOIN modes USING (t), n)"""
+
+
+def partitions(spark: SparkSession, d: str) -> tuple[thresholds.Partitions, DataFrame]:
     nodes, edges, n = supplier_graph(spark, d)
-    return spark.createDataFrame([{k: float(v) if isinstance(v, float) else v for k, v in x.items()} for x in stability.threshold_candidates(nodes, edges, n)], "threshold double, components long, tier string, rank double, nontrivial_count long, nontrivial_mass double, nontrivial_coverage double, entropy double, top_two_balance double")
+    forest = stability.spanning_forest(edges)
+    return thresholds.Partitions(nodes, forest, n), stability.component_curve(forest, n)
 
 
-@query()
+def frame(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    names = [c.split()[0] for c in schema.split(", ")]
+    return spark.createDataFrame([tuple(float(r[c]) if f"{c} double" in schema else r[c] for c in names) for r in rows], schema)
+
+
+_LADDER = "VALUES (0.0::DOUBLE), (0.1::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE), (0.9::DOUBLE)"
+_HINT = "CASE WHEN component_count <= 1 THEN 'mostly connected graph' WHEN g >= 0.95 THEN 'mostly connected graph with a small tail' WHEN s >= 0.2 THEN 'singleton-heavy fragmentation' WHEN g >= 0.8 AND d >= 0.05 THEN 'giant component with small-tail fragmentation' WHEN g <= 0.8 AND s <= 0.05 THEN 'stable nontrivial multi-component structure' ELSE 'mixed component-size structure' END"
+
+
+@query(LADDER_SQL.format(at=_LADDER) + _shape_sql(10) + f" SELECT mass.t AS threshold, component_count, g AS giant_fraction, coalesce((SELECT round(size::DOUBLE / giant, 4) FROM tops WHERE tops.t = mass.t AND rn = 2), 0) AS second_largest_ratio, singleton_count, s AS singleton_fraction, d AS small_component_mass_fraction, k AS nontrivial_component_count, m AS nontrivial_mass_fraction, c AS multi_component_coverage, e AS component_size_entropy, {_HINT} AS interpretation_hint FROM mass JOIN shape USING (t)")
+def threshold_morphology(spark, d):
+    parts, _ = partitions(spark, d)
+    return frame(spark, thresholds.morphology(parts, 0.0, 0.1, 0.25, 0.5, 0.75, 0.9), "threshold double, component_count long, giant_fraction double, second_largest_ratio double, singleton_count long, singleton_fraction double, small_component_mass_fraction double, nontrivial_component_count long, nontrivial_mass_fraction double, multi_component_coverage double, component_size_entropy double, interpretation_hint string")
+
+
+_POINTS = "SELECT bin, threshold, components FROM (SELECT *, lag(components) OVER (ORDER BY bin DESC) AS above FROM curve) WHERE above IS NULL OR above <> components OR bin = 0"
+_STABLE = LADDER_SQL.format(at="SELECT DISTINCT midpoint FROM plateaus").replace(", n AS (", PLATEAUS.removeprefix(SUPPLIERS) + ", n AS (", 1) + _shape_sql(5)
+_TIER = "CASE WHEN s >= 0.35 THEN 'outlier_frontier' WHEN g >= 0.95 THEN 'giant_component_with_dust' WHEN k >= 2 AND s <= 0.05 AND m >= 0.8 THEN 'report_ready' WHEN k >= 2 AND s <= 0.2 AND m >= 0.55 THEN 'balanced' WHEN k >= 2 THEN 'exploratory' ELSE 'weak_candidate' END"
+
+
+@query(_STABLE + f""", points AS ({_POINTS}), active AS (SELECT coalesce(max(threshold) - min(threshold), 0) AS r FROM points WHERE components > 1 AND components < (SELECT max(components) FROM points)),
+  scored AS (SELECT midpoint AS threshold, components AS component_count, start, {_TIER} AS tier, k AS nontrivial_count, m AS nontrivial_mass, b AS top_two_balance, e AS entropy, length,
+    round(greatest(0.3::DOUBLE * least(length / CASE WHEN r > 1e-9 THEN 0.25::DOUBLE * r ELSE 0.05::DOUBLE END, 1) + 0.25::DOUBLE * b + 0.3::DOUBLE * m + 0.15::DOUBLE * e - 0.35::DOUBLE * s - 0.15::DOUBLE * d, 0), 4) AS rank
+    FROM (SELECT * FROM plateaus ORDER BY length DESC, start DESC LIMIT 20) p JOIN mass ON mass.t = p.midpoint JOIN shape ON shape.t = p.midpoint, active)
+  SELECT threshold, component_count, tier, rank, nontrivial_count, nontrivial_mass, top_two_balance, entropy FROM scored ORDER BY rank DESC, length DESC, start DESC LIMIT 3""")
+def threshold_candidates(spark, d):
+    parts, curve = partitions(spark, d)
+    found = [r.asDict() for r in stability.plateaus(curve).limit(20).collect()]
+    rows = thresholds.plateau_candidates(parts, found, "balanced", 3, thresholds.active_range(thresholds.curve_points(curve)))
+    rows = [r | {"tier": r["interpretability_tier"], "nontrivial_count": r["mass_shape"]["nontrivial_component_count"], "nontrivial_mass": r["mass_shape"]["nontrivial_mass_fraction"], "top_two_balance": r["mass_shape"]["top_two_balance"], "entropy": r["mass_shape"]["component_size_entropy"]} for r in rows]
+    return frame(spark, rows, "threshold double, component_count long, tier string, rank double, nontrivial_count long, nontrivial_mass double, top_two_balance double, entropy double")
+
+
+@query(LADDER_SQL.format(at=f"SELECT threshold FROM ({_POINTS})") + f""", points AS ({_POINTS}), pairs AS (SELECT threshold AS low, lag(threshold) OVER w AS high, components AS after, lag(components) OVER w AS before FROM points WINDOW w AS (ORDER BY bin DESC)),
+  steps AS (SELECT * FROM pairs WHERE before <> after),
+  pieces AS (SELECT low, before, after, a.root AS into_, b.root, count(*) AS size FROM steps JOIN lroots a ON a.t = low JOIN lroots b ON b.t = high AND b.node_id = a.node_id GROUP BY ALL),
+  merged AS (SELECT low, before, after, into_, sum(size) AS mass, sum(size) - max(size) AS absorbed, list(size ORDER BY size DESC)[2] AS second FROM pieces GROUP BY ALL HAVING count(*) > 1),
+  best AS (SELECT * FROM merged QUALIFY row_number() OVER (PARTITION BY low ORDER BY absorbed DESC, mass DESC, second DESC) = 1),
+  events AS (SELECT low AS threshold, CASE WHEN absorbed / n::DOUBLE >= 0.05 AND second / n::DOUBLE >= 0.05 THEN 'large_component_transition' WHEN after < before AND second / n::DOUBLE < 0.01 THEN 'small_component_absorption' ELSE 'mixed_component_transition' END AS event, before AS component_count_before, after AS component_count_after, round(absorbed / n::DOUBLE, 4) AS absorbed_mass_fraction, round(mass / n::DOUBLE, 4) AS resulting_component_fraction FROM best, n)
+  SELECT * FROM events WHERE event <> 'small_component_absorption' OR NOT EXISTS (SELECT 1 FROM events WHERE event <> 'small_component_absorption')""")
 def structural_breakpoints(spark, d):
+    """All steps of the curve, at thresholds that it chooses itself."""
+    parts, curve = partitions(spark, d)
+    rows = thresholds.breakpoints(parts, thresholds.curve_points(curve), most=1 << 20, tried=1 << 20)
+    return frame(spark, rows, "threshold double, event string, component_count_before long, component_count_after long, absorbed_mass_fraction double, resulting_component_fraction double")
+
+
+@query()
+def threshold_options(spark, d):
+    parts, curve = partitions(spark, d)
+    found, points = [r.asDict() for r in stability.plateaus(curve).limit(10).collect()], thresholds.curve_points(curve)
+    rows = [(p, o["selection_strategy"], k, c["candidate_kind"], float(c["threshold"]), c["interpretability_tier"], float(c["rank"]), c["component_count"]) for p in thresholds.POLICIES for o in [thresholds.options(parts, found, points, p)] for k, c in enumerate(o["candidates"])]
+    return spark.createDataFrame(rows, "policy string, selection_strategy string, position int, kind string, threshold double, tier string, rank double, component_count long")
+
+
+@query()
+def threshold_curve(spark, d):
     nodes, edges, n = supplier_graph(spark, d)
-    return stability.breakpoints(nodes, edges, n, [0.8, 0.5, 0.3, 0.1])
+    import json
+
+    reports = [(x, json.dumps(thresholds.curve_report(nodes, edges, n, 0.5, detail=x), default=float)) for x in ("summary", "full")]
+    return spark.createDataFrame(reports, "detail string, report string")
+
+
+@query(LADDER_SQL.format(at=f"VALUES ({TAU}::DOUBLE)") + f""", counts AS (SELECT size, count(*) AS k FROM lsizes GROUP BY 1), cl AS (SELECT coalesce(max(rn) FILTER (size >= 3 * nxt), max(rn)) AS cut FROM (SELECT size, row_number() OVER (ORDER BY size DESC) AS rn, lead(size) OVER (ORDER BY size DESC) AS nxt FROM counts)),
+  md AS (SELECT size, k FROM (SELECT *, row_number() OVER (ORDER BY size DESC) AS rn FROM counts), cl WHERE rn <= cut AND size > 1)
+  SELECT (SELECT sum(k)::BIGINT FROM counts) AS component_count, coalesce((SELECT sum(k)::BIGINT FROM md), 0) AS nontrivial_component_count, round(coalesce((SELECT sum(size * k) FROM md), 0) / n::DOUBLE, 4) AS nontrivial_mass_fraction, (SELECT sum(k)::BIGINT FROM counts) - coalesce((SELECT sum(k)::BIGINT FROM md), 0) AS tail_component_count,
+  round((n - coalesce((SELECT sum(size * k) FROM md), 0)) / n::DOUBLE, 4) AS tail_mass_fraction, (SELECT CASE WHEN sum(k) > 1 THEN round(-sum(k * (size / n2::DOUBLE) * ln(size / n2::DOUBLE)) / ln(sum(k)), 4) ELSE 0 END FROM counts, (SELECT n AS n2 FROM n)) AS component_size_entropy FROM n""")
+def graph_morphology(spark, d):
+    parts, _ = partitions(spark, d)
+    (sizes,) = parts.sizes(TAU)
+    return frame(spark, [thresholds.component_morphology(sizes)], "component_count long, nontrivial_component_count long, nontrivial_mass_fraction double, tail_component_count long, tail_mass_fraction double, component_size_entropy double")
+
+
+@query()
+def cluster_dossier(spark, d):
+    nodes, edges, _ = customer_graph(spark, d)
+    rows = materialize(customers(spark, d), "rows")
+    out = dossier.dossier(rows, ["a", "b"], ["segment"], nodes, edges, rows.select("node_id", F.col("nation").cast("long").alias("label")))
+    return out.select("label", "size", F.round("share", 6).alias("share"), *[F.to_json(c).alias(c) for c in ("neighbours", "numeric", "categorical", "central")])
+
+
+@query()
+def graph_skeleton(spark, d):
+    nodes, edges, _ = supplier_graph(spark, d)
+    import json
+
+    labels = checkpoint(stability.component_labels(nodes, edges, TAU))
+    return spark.createDataFrame([(x, json.dumps(diagnostics.skeleton(nodes, edges, labels, TAU, x), default=float)) for x in diagnostics.SKELETONS], "detail string, payload string")
+
+
+@query()
+def spectral_layout(spark, d):
+    nodes, edges, _ = supplier_graph(spark, d)
+    found = clustering.spectral_layout([r[0] for r in nodes.orderBy("node_id").collect()], edges)
+    return rounded(found.select("node_id", *[F.get("v", F.lit(k)).alias(c) for k, c in enumerate(("ex", "ey", "ez"))]))
 
 
 @query()
@@ -443,9 +553,9 @@ def pagerank(spark, d):
     return rounded(clustering.pagerank(nodes, edges, labels))
 
 
-# Statistics: the first four dimensions of the embeddings, by label ---------------------------------------------------
+# Statistics: all dimensions of the embeddings, by label --------------------------------------------------------------
 
-DIMS = 4
+DIMS = 64
 VALUES = f"own AS MATERIALIZED (SELECT vec_id AS node_id, label::BIGINT AS label, 'e' || k AS col, embedding[k + 1]::DOUBLE AS x FROM embeddings, range({DIMS}) t(k))"
 
 
@@ -713,6 +823,60 @@ def trajectory_edges(spark, d):
     return panel.trajectory_edges(observations(spark, d))
 
 
+SIGHTED = OBS + """, seen AS (SELECT obs_id, 'n' || n AS ball FROM obs JOIN weeks USING (entity) JOIN times ON times.wk = weeks.wk AND times.t_idx = obs.t UNION ALL SELECT obs_id, 'v' || floor(v / 5)::BIGINT FROM obs JOIN weeks USING (entity) JOIN times ON times.wk = weeks.wk AND times.t_idx = obs.t),
+  oe AS MATERIALIZED (SELECT a.obs_id AS i, b.obs_id AS j, count(*) / (4 - count(*))::DOUBLE AS w FROM seen a JOIN seen b ON a.ball = b.ball AND a.obs_id < b.obs_id GROUP BY 1, 2)"""
+
+
+def sighted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Observations, their graph, and their balls: an observation is in the ball of its number of events and in one of
+    its mean value."""
+    w = panel.pivot_panel(weeks(spark, d), "user_id", "wk", ["n", "v"], "allow_ragged")
+    obs = materialize(tables.with_node_id(w.select("entity", F.col("t_idx").alias("t"), "n", "v"), "t", "entity", name="obs_id"), "obs")
+    balls = obs.select(F.col("obs_id").alias("node_id"), F.explode(F.array(F.concat(F.lit("n"), F.col("n").cast("string")), F.concat(F.lit("v"), F.floor(F.col("v") / 5).cast("string")))).alias("ball"))
+    return obs.select("obs_id", "entity", "t"), materialize(graph.exact_graph(balls), "edges"), balls
+
+
+@query(SIGHTED + """ SELECT (SELECT count(*) FROM obs) AS n_observations, (SELECT count(DISTINCT entity) FROM obs) AS n_entities, (SELECT count(DISTINCT t) FROM obs) AS n_times, count(*) AS n_edges, count(*) FILTER (a.t <> b.t) AS cross_time_edges, round(quantile_cont(w, 0.25), 6) AS weight_p25, round(quantile_cont(w, 0.5), 6) AS weight_p50, round(quantile_cont(w, 0.95), 6) AS weight_p95, round(max(w), 6) AS weight_max, round(count(*) FILTER (a.t <> b.t) / count(*), 4) AS cross_time_fraction
+  FROM oe JOIN obs a ON a.obs_id = i JOIN obs b ON b.obs_id = j""")
+def trajectory_diagnosis(spark, d):
+    obs, edges, _ = sighted(spark, d)
+    return rounded(longitudinal.trajectory_diagnosis(obs, edges))
+
+
+@query()
+def trajectory_ladder(spark, d):
+    obs, edges, _ = sighted(spark, d)
+    return longitudinal.threshold_ladder(obs, edges)
+
+
+@query(SIGHTED + """, ways AS (SELECT i AS obs_id, j AS neighbour, w FROM oe UNION ALL SELECT j, i, w FROM oe), x AS (SELECT a.obs_id, b.obs_id AS neighbour, b.entity, b.t, b.t - a.t AS delta_t, w AS weight FROM ways JOIN obs a USING (obs_id) JOIN obs b ON b.obs_id = neighbour WHERE w > 0.5 AND b.t > a.t)
+  SELECT obs_id, row_number() OVER (PARTITION BY obs_id ORDER BY weight DESC, neighbour) AS rank, neighbour, entity, t, delta_t, round(weight, 6) AS weight, count(*) OVER (PARTITION BY obs_id) AS degree FROM x QUALIFY rank <= 10""")
+def cross_time_neighbours(spark, d):
+    obs, edges, _ = sighted(spark, d)
+    return rounded(longitudinal.cross_time_neighbours(edges, obs, 0.5, 10, "forward"))
+
+
+@query(f"WITH {STATES}, s AS (SELECT entity, array_to_string(seq, '>') AS sequence, len(list_filter(range(2, len(seq) + 1), lambda k: seq[k] <> seq[k - 1])) AS transitions FROM seqs), g AS (SELECT sequence, count(*) AS n_entities, max(transitions) AS transitions, list(entity ORDER BY entity)[1:5] AS entities FROM s GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10) SELECT sequence, n_entities, round(n_entities / (SELECT count(*) FROM s)::DOUBLE, 4) AS fraction, transitions, array_to_string(entities, ',') AS entities, n_entities - len(entities) AS entities_omitted FROM g")
+def archetype_report(spark, d):
+    return longitudinal.archetype_report(states(spark, d)).withColumn("entities", F.array_join(F.col("entities").cast("array<string>"), ","))
+
+
+_PAIRS = "n AS (SELECT count(DISTINCT user_id) AS n FROM events), np AS (SELECT n * (n - 1) // 2 AS np FROM n)"
+_AGG = " UNION ALL ".join([f"SELECT '{k}' AS aggregation, i, j, {e} AS w FROM tedges, steps GROUP BY 2, 3" for k, e in _TEMPORAL.items()] + ["SELECT 'change_point', i, j, max(g) FROM jumps GROUP BY 2, 3"])
+
+
+@query(SQL["temporal_change_point"].rsplit(" SELECT i, j,", 1)[0] + f", {_PAIRS}, agg AS MATERIALIZED (SELECT aggregation, i, j, w, abs(w) AS m FROM ({_AGG}) WHERE w <> 0)," + """ dense_ AS (SELECT aggregation, m FROM agg UNION ALL SELECT aggregation, 0 FROM (SELECT aggregation, unnest(range(np - k)) FROM (SELECT aggregation, count(*) AS k FROM agg GROUP BY 1), np)),
+  q AS (SELECT aggregation, count(*) AS count, quantile_cont(m, 0.25) AS p25, quantile_cont(m, 0.5) AS p50, quantile_cont(m, 0.95) AS p95, max(m) AS top, quantile_cont(m, 0.9) AS cut FROM dense_ GROUP BY 1)
+  SELECT aggregation, max(count) AS count, round(max(p25), 5) AS p25, round(max(p50), 5) AS p50, round(max(p95), 5) AS p95, round(max(top), 5) AS max, round(max(cut), 5) AS self_scaled_cut FROM agg JOIN q USING (aggregation) GROUP BY 1""")
+def temporal_diagnosis(spark, d):
+    """Counts at the cut are left to the operator: sums of another order move ties across it."""
+    w, steps = tedges(spark, d)
+    entities = read(spark, d, "events").select(F.col("user_id").alias("node_id")).distinct()
+    rows = longitudinal.temporal_diagnosis(w, steps, entities, entities.count(), components=False)
+    rows = [r | {k: round(r[k], 5) for k in ("p25", "p50", "p95", "max", "self_scaled_cut")} for r in rows]
+    return frame(spark, rows, "aggregation string, count long, p25 double, p50 double, p95 double, max double, self_scaled_cut double")
+
+
 @query()
 def trajectory_graph(spark, d):
     snapshots = panel.pivot_panel(weeks(spark, d), "user_id", "wk", ["n", "v"], "allow_ragged")

@@ -36,13 +36,16 @@ def _own_dir() -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the setting is missing (single-machine tests) a temporary folder is made and set for the context.
+    Where the setting is missing on one machine (tests) a temporary folder is made and set for the context; on a cluster
+    that would lose data, so it is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = found.get() if found.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = _own_dir()
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -64,6 +67,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     if path.startswith("file:"):
         atexit.register(shutil.rmtree, path.removeprefix("file:").replace("//", "/", 1), ignore_errors=True)
+    else:
+        own = spark._jvm.org.apache.hadoop.fs.Path(path)
+        own.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(own)
     return spark.read.schema(df.schema).parquet(path)
 
 

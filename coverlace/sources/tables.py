@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fcntl
 import hashlib
 import json
 import os
@@ -28,13 +29,15 @@ def with_node_id(df: DataFrame, *order: str, name: str = "node_id") -> DataFrame
     Rows are range-sorted and written; only one count per partition reaches the driver.
     """
     spark = df.sparkSession
-    placed = materialize(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), "rows")
-    part, place = F.shiftrightunsigned("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    free = lambda c: next(x for x in (f"{c}{k}" for k in range(len(df.columns) + 1)) if x not in df.columns)
+    at, of, base = free("__at"), free("__part"), free("__base")
+    placed = materialize(df.orderBy(*order).withColumn(at, F.monotonically_increasing_id()), "rows")
+    part, place = F.shiftrightunsigned(at, 33), F.col(at).bitwiseAND((1 << 33) - 1)
     counts = sorted(placed.groupBy(part.alias("part")).count().collect())
     starts = np.cumsum([0] + [c for _, c in counts])[:-1].tolist() if counts else []
-    bases = spark.createDataFrame([(p, int(s)) for (p, _), s in zip(counts, starts)], "__part long, __base long")
-    joined = placed.withColumn("__part", part).join(F.broadcast(bases), "__part")
-    return joined.select((F.col("__base") + place).alias(name), *[F.col(f"`{c}`") for c in df.columns if c != name])
+    bases = spark.createDataFrame([(p, int(s)) for (p, _), s in zip(counts, starts)], f"{of} long, {base} long")
+    joined = placed.withColumn(of, part).join(F.broadcast(bases), of)  # a row a partition
+    return joined.select((F.col(base) + place).alias(name), *[F.col(f"`{c}`") for c in df.columns if c != name])
 
 
 # Handles of ingested files -------------------------------------------------------------------------------------------
@@ -81,7 +84,7 @@ class Upload:
 
 
 class RunStore:
-    """Records of runs and cluster assignments as JSON files, replaced as a whole."""
+    """Records of runs and cluster assignments as JSON files, replaced as a whole; writers wait for each other."""
 
     def __init__(self, folder: str):
         self.folder = folder
@@ -89,9 +92,11 @@ class RunStore:
 
     def save(self, kind: str, key: str, record: dict) -> str:
         path = os.path.join(self.folder, f"{kind}-{key}.json")
-        with open(path + ".new", "w") as f:
-            json.dump(record, f, sort_keys=True)
-        os.replace(path + ".new", path)
+        with open(os.path.join(self.folder, ".lock"), "w") as lock:
+            fcntl.flock(lock, fcntl.LOCK_EX)
+            with open(path + ".new", "w") as f:
+                json.dump(record, f, sort_keys=True)
+            os.replace(path + ".new", path)
         return path
 
     def load(self, kind: str, key: str) -> dict | None:
@@ -165,7 +170,14 @@ def export_bundle(folder: str, name: str, raw: DataFrame, clean: DataFrame, node
 
 
 def labelled(rows: DataFrame, labels: DataFrame, names: dict[int, str] | None = None) -> DataFrame:
-    """``rows`` (with node_id) with topological_cluster_id and topological_cluster_name; every row needs a label."""
+    """``rows`` (with node_id) with topological_cluster_id and topological_cluster_name.
+
+    Rows and labels must be of the same nodes, each once: labels of another run of the table are refused.
+    """
+    n, m = rows.count(), labels.count()
+    met = rows.join(labels, "node_id").count()
+    if not n == m == met:
+        raise ValueError(f"{n} rows and {m} labels, of which {met} meet: the labels are not of this table")
     out = rows.join(labels.select("node_id", F.col("label").alias("topological_cluster_id")), "node_id", "left")
     given = F.create_map(*[F.lit(x) for k, v in (names or {}).items() for x in (k, v)])[F.col("topological_cluster_id")] if names else F.lit(None).cast("string")
     return out.withColumn("topological_cluster_name", F.coalesce(given, F.concat(F.lit("Cluster "), F.col("topological_cluster_id").cast("string")))).drop("node_id")
