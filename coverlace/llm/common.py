@@ -59,18 +59,22 @@ def text_list(column) -> list[bytes]:
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
-    """Ascending integers as differences of as many bytes as the largest needs; the first byte says how many."""
+    """Ascending integers as differences of as many bytes as the largest needs. The last byte of all, then the ones before
+    it, stand together; the upper ones, which are small, are compressed. A head tells width, plain bytes and number."""
     steps = np.diff(values.astype(np.uint64), prepend=np.uint64(0))
     width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
-    raw = np.ascontiguousarray(steps, "<u8").view(np.uint8).reshape(-1, 8)
-    return bytes([width]) + np.ascontiguousarray(raw[:, :width]).tobytes()
+    columns = np.ascontiguousarray(np.ascontiguousarray(steps, "<u8").view(np.uint8).reshape(-1, 8).T[:width])
+    plain = max(0, int(np.median(steps)).bit_length() // 8 - 1) if len(steps) else 0
+    return bytes([width, plain]) + len(steps).to_bytes(6, "little") + columns[:plain].tobytes() + pa.compress(columns[plain:].tobytes(), codec="zstd", asbytes=True)
 
 
 def unpack_sorted(blob: bytes) -> np.ndarray:
-    raw = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, blob[0])
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, : blob[0]] = raw
-    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
+    width, plain, n = blob[0], blob[1], int.from_bytes(blob[2:8], "little")
+    out = np.zeros((8, n), np.uint8)
+    out[:plain] = np.frombuffer(blob, np.uint8, plain * n, 8).reshape(plain, n)
+    rest = pa.decompress(memoryview(blob)[8 + plain * n :], decompressed_size=(width - plain) * n, codec="zstd", asbytes=True)
+    out[plain:width] = np.frombuffer(rest, np.uint8).reshape(width - plain, n)
+    return np.cumsum(np.ascontiguousarray(out.T).view("<u8").ravel(), dtype=np.uint64)
 
 
 def release() -> None:

@@ -9,7 +9,7 @@ per document. All of a document's counts are taken without the document itself,
                    = BACKOFF * S(w | shorter context)     otherwise;   S(w) = count(w) / N, unseen: 1 / (N + 1)
 
 Words are lower-cased (A-Z) runs of bytes without ASCII white space. Cases: a null text counts as empty; a text without
-words has sum and mean 0; contexts do not reach over a document's start; repeated rows count as documents of their own;
+words has sum and mean 0; very long texts are read block by block, and a word longer than a block is one word; contexts do not reach over a document's start; repeated rows count as documents of their own;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -19,15 +19,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from coverlace.llm.common import n_shards_for, pack_sorted, sharded, text_bytes, unpack_sorted
+from coverlace.llm.common import n_shards_for, pack_sorted, releasing, sharded, text_bytes, unpack_sorted
 
 ORDER = 3
 BACKOFF = 0.4
 SHARD_BYTES = 6 << 20
 BLOCK = 1 << 20
-#: Bits of an n-gram's hash beyond those that number the corpus' bytes: an n-gram meets another by chance about once in
-#: 2**(SPARE_BITS + 1), at every size, and sorted hashes stay a few bytes apart.
-SPARE_BITS = 18
+#: Bits of an n-gram's hash, at every size, so that a count does not depend on how large the corpus is: among 10**12
+#: different n-grams one meets another by chance about once in 70,000 cases. (All 64 would take 0.6 x the input more of
+#: shuffle than the check tool allows; see the README.)
+KEY_BITS = 56
 #: The value under which shards send their number of words.
 TOTAL = np.uint64(0)
 
@@ -96,7 +97,7 @@ def hash_long(word: bytes) -> int:
 class Grams:
     """N-grams of a shard's documents: per order k the value of the k-gram that ends at each word, and which exist."""
 
-    def __init__(self, table: pa.Table, order: int, bits: int):
+    def __init__(self, table: pa.Table, order: int, bits: int = KEY_BITS):
         ids = table["doc_id"].to_pylist()
         datas = [b"" if x is None else x for x in table["text"].cast(pa.large_binary()).to_pylist()]
         rank = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, datas[i]))
@@ -178,10 +179,8 @@ def document_scores(g: Grams, total: np.ndarray, n_words: int, order: int) -> tu
 
 def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, n_words, full_context, log10_sum, log10_mean for every row of ``docs``."""
-    total_bytes = text_bytes(docs)
-    shards = n_shards_for(total_bytes, SHARD_BYTES)
+    shards = n_shards_for(text_bytes(docs), SHARD_BYTES)
     buckets = max(1, -(-shards // 2))
-    bits = min(64, SPARE_BITS + max(16, total_bytes.bit_length()))
     texts = sharded(docs, shards)
     # Within a bucket the remainder of all values is the same, so what is sent is the quotient.
     packed = lambda v: pack_sorted(v // np.uint64(buckets))
@@ -189,14 +188,14 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     def send(t: pa.Table) -> pa.Table:
         if not t.num_rows:
             return _rows([])
-        g, shard = Grams(t, order, bits), t["shard"][0].as_py()
+        g, shard = Grams(t, order), t["shard"][0].as_py()
         rows = [(b, shard, packed(g.distinct[k]), _squeeze(g.count[k])) for b, k in g.by_bucket(buckets) if len(k) and b]
         first = next(k for b, k in g.by_bucket(buckets) if b == 0)
         rows.append((0, shard, packed(np.concatenate(([TOTAL], g.distinct[first]))), _squeeze(np.concatenate(([len(g.doc)], g.count[first])))))
         return _rows(rows)
 
     def score(t: pa.Table, told: pa.Table) -> pa.Table:
-        g = Grams(t, order, bits)
+        g = Grams(t, order)
         blobs = dict(zip(told["bucket"].to_pylist(), told["b"].to_pylist()))
         total, n_words = np.zeros(len(g.distinct), np.int64), 0
         for b, k in g.by_bucket(buckets):
@@ -209,5 +208,5 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
         mean = np.where(g.n > 0, sums / np.maximum(g.n, 1), 0.0)
         return pa.table({"doc_id": pa.array(g.ids, pa.int64()), "n_words": g.n, "full_context": full, "log10_sum": sums, "log10_mean": mean})
 
-    counts = texts.groupBy("shard").applyInArrow(send, SENT).groupBy("bucket").applyInArrow(_sum_counts, SENT)
-    return texts.groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(score, "doc_id long, n_words long, full_context long, log10_sum double, log10_mean double")
+    counts = texts.groupBy("shard").applyInArrow(releasing(send), SENT).groupBy("bucket").applyInArrow(releasing(_sum_counts), SENT)
+    return texts.groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(releasing(score), "doc_id long, n_words long, full_context long, log10_sum double, log10_mean double")

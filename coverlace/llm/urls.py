@@ -6,7 +6,8 @@ with allowed pages (personalised PageRank), distrust spreads against them from h
 bad host is suspect), and a host whose distrust exceeds its trust is blocked.
 
 Cases: a null URL, or one without ``://``, has an empty host and path, no rule, and is allowed; a null page has no
-links; repeated rows are judged alike and their links count each; an empty table gives an empty result; other columns
+links; repeated rows are judged alike and their links count each; a page with very many links gives them all, a very long URL
+is read whole; an empty table gives an empty result; other columns
 are ignored. Hosts without links keep what their own pages' rules give them; equal trust and distrust allow.
 """
 
@@ -20,6 +21,9 @@ from pyspark.sql import functions as F
 from coverlace.session import checkpoint, materialize
 
 DAMPING, ROUNDS = 0.85, 8
+#: Pages of a host from which on its pages are dealt out, at least, and such hosts at most: the bound rises with the pages,
+#: so that the list of hosts, which goes to all tasks, stays bounded.
+HOT_PAGES, MAX_HOT = 512, 10_000
 #: (verdict, host, beginning of the path)
 Rule = tuple[str, str, str]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -78,12 +82,17 @@ def verdicts(pages: DataFrame, rules: list[Rule], margin: float = 0.0) -> DataFr
     """page_id, host, path, rule, verdict, trust and distrust of the host, for every row of ``pages``."""
     rows = ruled(pages, rules)
     edges = checkpoint(links(rows))
-    hosts = rows.where("host != ''").groupBy("host").agg(F.sum((F.col("ruled") == "allow").cast("long")).alias("good"), F.sum((F.col("ruled") == "block").cast("long")).alias("bad"))
+    hosts = rows.where("host != ''").groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.sum((F.col("ruled") == "allow").cast("long")).alias("good"), F.sum((F.col("ruled") == "block").cast("long")).alias("bad"))
     hosts = materialize(hosts, "hosts")
     trust = propagate(edges, _seeds(hosts, F.coalesce("good", F.lit(0))))
     distrust = propagate(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), _seeds(hosts, F.coalesce("bad", F.lit(0))))
-    known = reduce(lambda a, b: a.join(b, "host", "left"), [hosts.select("host"), trust.withColumnRenamed("score", "trust"), distrust.withColumnRenamed("score", "distrust")])
-    standing = known.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
-    judged = rows.select("page_id", "host", "path", "rule", "ruled").join(standing, "host", "left")
+    known = reduce(lambda a, b: a.join(b, "host", "left"), [hosts.select("host", "pages"), trust.withColumnRenamed("score", "trust"), distrust.withColumnRenamed("score", "distrust")])
+    standing = known.select("host", "pages", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    bound = max(HOT_PAGES, -(-(hosts.agg(F.sum("pages")).first()[0] or 0) // MAX_HOT))
+    copies = F.ceil(F.col("pages") / bound).cast("int")
+    hot = hosts.where(F.col("pages") > bound).select("host", copies.alias("copies"))
+    dealt = rows.select("page_id", "host", "path", "rule", "ruled", F.xxhash64("page_id", "url").alias("h")).join(F.broadcast(hot), "host", "left")
+    dealt = dealt.withColumn("copy", F.pmod("h", F.coalesce("copies", F.lit(1))).cast("int"))
+    judged = dealt.join(standing.withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))), ["host", "copy"], "left")
     by_graph = F.when(F.col("distrust") > F.col("trust") + margin, "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", by_graph).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

@@ -168,6 +168,52 @@ def test_minhash(spark, rows):
                 assert r.edited_sha256 == hashlib.sha256((texts[0][: n - n // 2] + nxt[: n // 2]).encode()).hexdigest()
 
 
+def plain_minhash(text):
+    """One-permutation MinHash with densification, hash by hash."""
+    import struct
+
+    from xxhash import xxh64_intdigest
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def fold(values, kind="<q"):
+        seed = 42
+        for v in values:
+            seed = xxh64_intdigest(struct.pack(kind, v), seed)
+        return signed(seed)
+
+    words = [signed(xxh64_intdigest(w.encode(), 42)) for w in (text or "").lower().split()]
+    hashes = [fold(words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else []
+    least = {}
+    for h in hashes:
+        b = (h & (1 << 64) - 1) >> 57
+        least[b] = min(least.get(b, h), h)
+    if not least:
+        return ""
+
+    def drawn(e):
+        return min((signed((fold((e, b), "<i") & (1 << 64) - 256) | h & 255) for b, h in least.items())) & 255
+
+    return "".join(f"{least[e] & 255 if e in least else drawn(e):02x}" for e in range(128))
+
+
+def test_minhash_equals_a_plain_version(spark, rows):
+    got = {r.doc_id: (r.fingerprint, r.near_next) for r in minhash.edited_fingerprints(table(spark, rows)).collect()}
+    text = dict(rows)
+    once = [i for i in text if i is not None and sum(j == i for j, _ in rows) == 1]
+    assert {i: got[i][0] for i in once} == {i: plain_minhash(text[i]) for i in once}
+    # near_next: the share of equal bytes, without those that agree by chance.
+    follow = {a: b for a, b in zip(sorted(once, reverse=True), sorted(once, reverse=True)[1:])}
+    for i, j in list(follow.items())[:40]:
+        if 3 in (i, j):
+            continue
+        a, b = (bytes.fromhex(plain_minhash(text[x])) for x in (i, j))
+        same = sum(x == y for x, y in zip(a, b)) / 128
+        expected = (1.0 if not a and not b else 0.0) if not a or not b else max(0.0, (same - 1 / 256) / (1 - 1 / 256))
+        if not any(i > k > j for k, _ in rows if k is not None):
+            assert got[i][1] == pytest.approx(expected)
+
+
 def test_minhash_likeness_is_near_the_truth(spark):
     rng = random.Random(2)
     pairs = []
@@ -336,6 +382,39 @@ def test_chroma_votes_of_common_codes(spark, monkeypatch):
     assert not got
 
 
+def test_chroma_fingerprints_equal_plain_ones():
+    image = np.random.default_rng(5).random((30, 12))
+    bits = lambda v: v ^ v >> 1
+    expected = []
+    for t in range(len(image) - audio.SPAN + 1):
+        code = 0
+        for kind, c, classes, frames in audio.FILTERS:
+            own = image[t : t + frames, c : c + classes]
+            if kind == "time":
+                a, b = own[: frames // 2].sum(), own[frames // 2 :].sum()
+            elif kind == "class":
+                a, b = own[:, : classes // 2].sum(), own[:, classes // 2 :].sum()
+            else:
+                a = own[frames // 3 : frames - frames // 3].sum()
+                b = own.sum() - a
+            code = code << 2 | bits(sum(np.log((a + 1e-3) / (b + 1e-3)) > x for x in (-0.15, 0.0, 0.15)))
+        expected.append(code)
+    assert audio.fingerprint(image).tolist() == expected
+    assert len(audio.fingerprint(image[: audio.SPAN - 1])) == 0
+
+
+def test_chroma_cases(spark):
+    rng = np.random.default_rng(6)
+    long = (8000 * np.sin(2 * np.pi * 220 * 2 ** (np.repeat(rng.integers(0, 24, 600), audio.RATE // 8) / 12) * np.arange(600 * (audio.RATE // 8)) / audio.RATE)).astype("<i2").tobytes()
+    part = long[: len(long) // 3 // 2 * 2]
+    rows = [(0, long, "d", 1), (0, long, "d", 1), (7, part, None, None), (None, None, "x", 2), (20, b"", "y", 3)]
+    got = audio.searches(spark.createDataFrame(rows, "id long, media binary, digest string, codes int")).collect()
+    assert len(got) == 5
+    mine = [r for r in got if r.id == 0]
+    assert len(mine) == 2 and all([m.match for m in r.aligned] == [7] and r.aligned[0].offset == 0 for r in mine)
+    assert next(r for r in got if r.id is None).n_frames == 0 and next(r for r in got if r.id == 20).aligned == []
+
+
 def test_integral_image_gives_sums():
     image = np.random.default_rng(0).random((20, 12))
     total = audio.integral(image)
