@@ -546,7 +546,19 @@ def average_linkage_clusters(spark, d):
     return clustering.agglomerative_clusters(nodes, edges, 5)
 
 
-@query()
+def _pagerank_sql(rounds: int = 40) -> str:
+    """Weighted PageRank within components, a table a round."""
+    parts = [LADDER_SQL.format(at="VALUES (0.5::DOUBLE)")]
+    parts.append("lab AS MATERIALIZED (SELECT node_id, dense_rank() OVER (ORDER BY root) - 1 AS label FROM lroots), inner_ AS (SELECT e.i, e.j, e.w FROM ends e JOIN lab a ON a.node_id = e.i JOIN lab b ON b.node_id = e.j AND b.label = a.label)")
+    parts.append("moves AS MATERIALIZED (SELECT i, j, w / sum(w) OVER (PARTITION BY i) AS share FROM inner_), base AS MATERIALIZED (SELECT node_id, label, count(*) OVER (PARTITION BY label) AS size, node_id NOT IN (SELECT i FROM inner_) AS lone FROM lab), p0 AS (SELECT node_id, 1.0::DOUBLE / size AS score FROM base)")
+    for k in range(rounds):
+        lost = f"(SELECT label, sum(CASE WHEN lone THEN score ELSE 0 END) AS lost FROM p{k} JOIN base USING (node_id) GROUP BY 1)"
+        came = f"(SELECT j AS node_id, sum(score * share) AS came FROM moves JOIN p{k} ON p{k}.node_id = i GROUP BY 1)"
+        parts.append(f"p{k + 1} AS MATERIALIZED (SELECT node_id, 0.15::DOUBLE / size + 0.85::DOUBLE * (coalesce(came, 0) + lost / size) AS score FROM base JOIN {lost} USING (label) LEFT JOIN {came} USING (node_id))")
+    return ", ".join(parts) + f" SELECT node_id, label, round(score, 6) AS score FROM p{rounds} JOIN lab USING (node_id)"
+
+
+@query(_pagerank_sql())
 def pagerank(spark, d):
     nodes, edges, _ = supplier_graph(spark, d)
     labels = checkpoint(stability.component_labels(nodes, edges, 0.5))
@@ -920,10 +932,11 @@ def export_groups(spark, d):
     return g.select("group_id", "name", "desc", F.array_join(F.col("member_ids").cast("array<string>"), ",").alias("members"))
 
 
-@query()
+@query(REACH + ", lab AS (SELECT node_id, dense_rank() OVER (ORDER BY root) - 1 AS label FROM roots), val AS (SELECT node_id, sum(w) AS val FROM (SELECT i AS node_id, w FROM edges UNION ALL SELECT j, w FROM edges) GROUP BY 1) SELECT node_id, label AS group_id, round(coalesce(val, 0)::FLOAT::DOUBLE, 3) AS val, 'Group ' || label AS archetype, 0.0::FLOAT AS ex, 0.0::FLOAT AS ey, 0.0::FLOAT AS ez, true AS is_live, c_custkey FROM lab LEFT JOIN val USING (node_id) JOIN base USING (node_id)")
 def export_nodes(spark, d):
     nodes, edges, _ = customer_graph(spark, d)
-    return tables.node_table(nodes, edges, stability.component_labels(nodes, edges, TAU), passthrough=["c_custkey"])
+    out = tables.node_table(nodes, edges, stability.component_labels(nodes, edges, TAU), passthrough=["c_custkey"])
+    return out.withColumn("val", F.round(F.col("val").cast("double"), 3))
 
 
 @query(REACH + " SELECT i, j, round(w, 6) AS w, r.root AS component FROM edges JOIN roots r ON r.node_id = i")
