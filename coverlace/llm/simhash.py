@@ -4,11 +4,11 @@ Fingerprints are made per document; equal ones collapse before anything is joine
 bits agree on one of ``errors + 1`` blocks, so every fingerprint enters one trie per block, keyed by that block's bits
 and holding the rest. A trie is a sorted array; a node is a range of it. Pairs of nodes are walked together from the
 root, one bit a step: a pair's differing bits add up and the pair is dropped as soon as they exceed the budget. Tries
-that hold very many fingerprints are dealt out by pairs of nodes some bits below the root, so no task gets a hot key
-whole. Each trie gives a spanning forest of its links, and the forests meet in star contractions.
+that hold very many fingerprints are dealt out by pairs of nodes some bits below the root, as many as their size asks for,
+so no task gets a hot key whole. Each trie gives a spanning forest of its links, and the forests meet in star contractions.
 
 Cases: a null text counts as empty; no words give fingerprint zero, linked like any other; fewer words than a shingle
-are one shingle; repeated rows share their fingerprint and class; a null doc_id never is a class's least id unless no
+are one shingle; very long texts are counted piece by piece; repeated rows share their fingerprint and class; a null doc_id never is a class's least id unless no
 other is there; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -27,8 +27,8 @@ from coverlace.session import materialize
 
 #: Fingerprints in one trie beyond which it is dealt out by node pairs.
 HOT_TRIE = 200_000
-#: Bits below the root at which a hot trie is dealt out.
-SPLIT_BITS = 8
+#: Bits below the root at which a hot trie is dealt out, at most.
+MAX_SPLIT = 12
 #: Fingerprints that one task's tries hold, about.
 TASK_ROWS = 400_000
 
@@ -248,18 +248,23 @@ def whole_tries(keys: np.ndarray, width: int, errors: int, groups: np.ndarray |
     return trie_links(keys, roots, width, errors, groups)
 
 
-def dealt_tries(keys: np.ndarray, p: np.ndarray, q: np.ndarray, width: int, errors: int, groups: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links between pairs of nodes (p, q) that stand SPLIT_BITS below the roots of hot tries."""
-    out, split, mask = [], np.uint64(SPLIT_BITS), np.uint64((1 << SPLIT_BITS) - 1)
+def flips(bits: int, errors: int) -> list[int]:
+    """All numbers of ``bits`` bits with at most ``errors`` ones."""
+    return [m for m in range(1 << bits) if m.bit_count() <= errors]
+
+
+def dealt_tries(keys: np.ndarray, p: np.ndarray, q: np.ndarray, bits: int, width: int, errors: int, groups: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links between pairs of nodes (p, q) that stand ``bits`` below the roots of hot tries."""
+    out, split, mask = [], np.uint64(bits), np.uint64((1 << bits) - 1)
     tag = (keys >> np.uint64(64 - width)) << (split + split) | p.astype(np.uint64) << split | q.astype(np.uint64)
     for t in np.unique(tag):
         own, of = _unique(keys[tag == t], None if groups is None else groups[tag == t])
-        node = own >> np.uint64(64 - width - SPLIT_BITS) & mask
+        node = own >> np.uint64(64 - width - bits) & mask
         a, b, n = int(t >> split & mask), int(t & mask), len(own)
         cut = 0 if a == b else int(np.searchsorted(node, np.uint64(b)))
         root = [0, n, 0, n, 0] if a == b else [0, cut, cut, n, (a ^ b).bit_count()]
         if root[0] < root[1] and root[2] < root[3]:
-            out.append(trie_links(own, np.array([root]), width + SPLIT_BITS, errors, of))
+            out.append(trie_links(own, np.array([root]), width + bits, errors, of))
     return out
 
 
@@ -279,32 +284,36 @@ def links(prints: DataFrame, errors: int = 3) -> DataFrame:
     each = prints.select("tab", *extra, F.explode(F.array(*[F.struct(F.lit(b).alias("block"), turned(b).alias("key")) for b in range(blocks)])).alias("x"))
     extra = ["grp"] if grouped else []
     each = each.select("tab", *extra, F.col("x.block").alias("block"), F.col("x.key").alias("key"), F.shiftrightunsigned("x.key", 64 - width).alias("head"))
-    node = F.shiftrightunsigned("key", 64 - width - SPLIT_BITS).bitwiseAND((1 << SPLIT_BITS) - 1).cast("int")
-    # At most tables * blocks * 2**width heads exist, so the broadcast table is bounded whatever the input.
-    hot = each.groupBy("tab", "block", "head").count().where(F.col("count") > HOT_TRIE).select("tab", "block", "head", F.lit(True).alias("hot"))
-    near = F.filter(F.sequence(F.lit(0), F.lit((1 << SPLIT_BITS) - 1)), lambda q: F.bit_count(q.bitwiseXOR(F.col("node"))) <= errors)
-    dealt = each.join(F.broadcast(hot), ["tab", "block", "head"], "left").withColumn("node", node)
-    dealt = dealt.withColumn("other", F.explode(F.when(F.col("hot"), near).otherwise(F.array(F.lit(-1)))))
+    node_at = lambda bits: F.call_function("shiftrightunsigned", F.col("key"), F.lit(64 - width) - bits).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1).cast("int")
+    # A trie is dealt out as far as its number of keys asks for, if they were even, and all the way where they are not. At
+    # most tables * blocks * 2**width heads exist, so the broadcast tables are bounded whatever the input.
+    by_count = F.least(F.lit(MAX_SPLIT), F.ceil(F.log2(2 * F.col("count") / HOT_TRIE)).cast("int"))
+    hot = each.groupBy("tab", "block", "head").count().where(F.col("count") > HOT_TRIE).select("tab", "block", "head", by_count.alias("bits"))
+    nodes = each.join(F.broadcast(hot), ["tab", "block", "head"]).groupBy("tab", "block", "head", "bits", node_at(F.col("bits")).alias("node")).count()
+    hot = nodes.groupBy("tab", "block", "head").agg(F.when(F.max("count") > HOT_TRIE, MAX_SPLIT).otherwise(F.first("bits")).alias("bits"))
+    masks = F.array(*[F.array(*[F.lit(m) for m in flips(b, errors)]) for b in range(1, MAX_SPLIT + 1)])
+    dealt = each.join(F.broadcast(hot), ["tab", "block", "head"], "left").withColumn("bits", F.coalesce("bits", F.lit(0)))
+    dealt = dealt.withColumn("node", node_at(F.col("bits")))
+    near = F.transform(F.element_at(masks, F.col("bits")), lambda m: m.bitwiseXOR(F.col("node")))
+    dealt = dealt.withColumn("other", F.explode(F.when(F.col("bits") > 0, near).otherwise(F.array(F.lit(-1)))))
     lo = F.when(F.col("other") < 0, -1).otherwise(F.least("node", "other"))
     hi = F.when(F.col("other") < 0, -1).otherwise(F.greatest("node", "other"))
     tasks = max(1, -(-n * blocks // TASK_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = dealt.select("tab", "block", "key", *extra, lo.alias("lo"), hi.alias("hi"), F.pmod(F.xxhash64("tab", "block", "head", lo, hi), F.lit(tasks)).cast("int").alias("task"))
+    dealt = dealt.select("tab", "block", "key", *extra, "bits", lo.alias("lo"), hi.alias("hi"), F.pmod(F.xxhash64("tab", "block", "head", lo, hi), F.lit(tasks)).cast("int").alias("task"))
 
     def run(t: pa.Table) -> pa.Table:
         kind, keys = t["tab"].to_numpy().astype(np.int64) * blocks + t["block"].to_numpy(), t["key"].to_numpy().view(np.uint64)
-        p, q = t["lo"].to_numpy(), t["hi"].to_numpy()
+        p, q, bits = t["lo"].to_numpy(), t["hi"].to_numpy(), t["bits"].to_numpy()
         groups = t["grp"].to_numpy() if grouped else None
         found = []
         for k in np.unique(kind):
             back = np.full(1, (64 - (k % blocks) * width) % 64)
-            for is_dealt in (False, True):
-                pick = (kind == k) & ((p >= 0) == is_dealt)
-                if pick.any():
-                    own = groups[pick] if grouped else None
-                    pairs = dealt_tries(keys[pick], p[pick], q[pick], width, errors, own) if is_dealt else [whole_tries(keys[pick], width, errors, own)]
-                    for x, y in pairs:
-                        x, y = _rotated(x, back), _rotated(y, back)
-                        found.append((k // blocks, x, y))
+            for b in np.unique(bits[kind == k]).tolist():
+                pick = (kind == k) & (bits == b)
+                own = groups[pick] if grouped else None
+                pairs = dealt_tries(keys[pick], p[pick], q[pick], b, width, errors, own) if b else [whole_tries(keys[pick], width, errors, own)]
+                for x, y in pairs:
+                    found.append((k // blocks, _rotated(x, back), _rotated(y, back)))
         none = [np.zeros(0, np.uint64)]
         tab = np.concatenate([np.full(len(x), k) for k, x, _ in found] or [np.zeros(0)]).astype(np.int32)
         a, b = (np.concatenate([f[c] for f in found] or none).view(np.int64) for c in (1, 2))

@@ -42,7 +42,8 @@ def test_tries_find_all_links(seed):
     assert [int(keys[k]) for k in forest.label] == components(keys, 3)
 
 
-def test_dealt_tries_equal_whole_ones():
+@pytest.mark.parametrize("bits", [2, 5, 8])
+def test_dealt_tries_equal_whole_ones(bits):
     rng = random.Random(9)
     center = rng.getrandbits(64)
     keys = np.unique(np.array(family(rng, center, 400, 6), np.uint64))
@@ -50,14 +51,30 @@ def test_dealt_tries_equal_whole_ones():
     whole, dealt = simhash.Forest(len(keys)), simhash.Forest(len(keys))
     a, b = simhash.whole_tries(keys, 16, 3)
     whole.link(np.searchsorted(keys, a), np.searchsorted(keys, b))
-    node = (keys >> np.uint64(40) & np.uint64(255)).astype(np.int64)
-    rows = [(k, min(p, q), max(p, q)) for k, p in zip(keys.tolist(), node.tolist()) for q in range(256) if (p ^ q).bit_count() <= 3]
+    node = (keys >> np.uint64(48 - bits) & np.uint64((1 << bits) - 1)).astype(np.int64)
+    rows = [(k, min(p, p ^ m), max(p, p ^ m)) for k, p in zip(keys.tolist(), node.tolist()) for m in simhash.flips(bits, 3)]
     ks, p, q = (np.array(c, t) for c, t in zip(zip(*rows), (np.uint64, np.int64, np.int64)))
-    for a, b in simhash.dealt_tries(ks, p, q, 16, 3):
+    for a, b in simhash.dealt_tries(ks, p, q, bits, 16, 3):
         dealt.link(np.searchsorted(keys, a), np.searchsorted(keys, b))
     assert whole.label.tolist() == dealt.label.tolist()
 
 
+@pytest.mark.parametrize("hot", [40, 150, 100_000])
+def test_hot_tries_are_dealt_out(spark, monkeypatch, hot):
+    rng = random.Random(4)
+    keys = [rng.getrandbits(64) for _ in range(100)]
+    center = rng.getrandbits(64)
+    keys = np.unique(np.array([*keys, *family(rng, center, 500, 5), *family(rng, center ^ 7 << 30, 200, 3)], np.uint64))
+    monkeypatch.setattr(simhash, "HOT_TRIE", hot)
+    prints = spark.createDataFrame([(0, int(k)) for k in keys.view(np.int64)], "tab int, fp long")
+    forest = simhash.Forest(len(keys))
+    for r in simhash.links(prints, 3).collect():
+        i, j = np.searchsorted(keys, np.array([r.a, r.b], np.int64).view(np.uint64))
+        assert int(keys[i] ^ keys[j]).bit_count() <= 3
+        forest.link(np.array([i]), np.array([j]))
+    assert [int(keys[k]) for k in forest.label] == components(keys, 3)
+
+
 def test_large_family_stays_cheap():
     rng = random.Random(3)
     keys = np.unique(np.array(family(rng, rng.getrandbits(64), 30_000, 7), np.uint64))
