@@ -45,7 +45,7 @@ RUN = 128
 #: A value that stands in more documents of one shard, or in more shards, is sent start by start.
 MANY_DOCUMENTS, MANY_SHARDS = 256, 1024
 #: Bytes that are sorted in one suffix array, about.
-SORT_BYTES = 2 << 20
+SORT_BYTES = 4 << 20
 LAST = np.iinfo(np.int64).max
 
 _TABLE = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, dtype=np.uint64)
@@ -169,8 +169,11 @@ def _send_values(buckets: int) -> Callable[[pa.Table], pa.Table]:
         if not t.num_rows:
             return _rows([])
         s = Shard(t, buckets)
-        pairs = np.unique(s.inverse.astype(np.int64) * len(s.ids) + s.doc) // max(1, len(s.ids)) if len(s.doc) else np.zeros(0, np.int64)
-        documents = np.bincount(pairs, minlength=len(s.distinct))
+        # Runs are in the order of the documents, so a value's runs of one document stand together.
+        order = np.argsort(s.inverse, kind="stable")
+        value, doc = s.inverse[order], s.doc[order]
+        new = np.concatenate((np.ones(min(len(doc), 1), bool), (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])))
+        documents = np.bincount(value[new], minlength=len(s.distinct))
         # Documents of one id count as one here only if they are one row; a false candidate costs work, not exactness.
         shard = t["shard"][0].as_py()
         return _rows([(b, shard, 0, pack6(s.distinct[k]), _bits(documents[k] > 1), _bits(documents[k] > MANY_DOCUMENTS)) for b, k in s.buckets()])
@@ -356,7 +359,7 @@ def _marked(s: Shard, told: pa.Table, buckets: int) -> np.ndarray:
 
 def _finish(docs: DataFrame, schema, of: Callable[[pa.Table, Shard, np.ndarray], pa.Table], carry: list[str] | None = None) -> DataFrame:
     shards = n_shards_for(text_bytes(docs), SHARD_BYTES)
-    buckets = max(1, -(-shards // 2))
+    buckets = max(1, -(-shards // 4))
     texts = sharded(docs, shards, carry)
     plain = texts.select("shard", "doc_id", "text") if carry else texts
     values = plain.groupBy("shard").applyInArrow(releasing(_send_values(buckets)), SENT)

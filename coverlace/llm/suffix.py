@@ -3,7 +3,8 @@
 Positions are classified as S or L by what follows; leftmost S positions are put into their symbols' buckets; one sweep
 over the buckets upwards induces the L suffixes and one downwards the S suffixes. A sweep takes a bucket's entries
 together: what they induce falls into later buckets, or into the same bucket's next round, in the order of a scan. Equal
-leftmost-S substrings get equal names, and where names repeat, the string of names is sorted by recursion; names
+leftmost-S substrings get equal names, and where names repeat, the string of names is sorted by recursion (a short one
+by doubling); names
 beyond a bucket table's size are written as two digits, whose order is the same.
 """
 
@@ -13,6 +14,8 @@ import numpy as np
 
 #: Largest alphabet that is swept bucket by bucket.
 MAX_SYMBOLS = 2048
+#: Strings of names up to this length end the recursion: sweeping their buckets would cost more than sorting them.
+SHORT = 1 << 15
 
 
 def _types(t: np.ndarray) -> np.ndarray:
@@ -111,6 +114,22 @@ def _names(t, lms, order) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(~equal)))
 
 
+def _doubled(t: np.ndarray) -> np.ndarray:
+    """Suffix array of a short string by ranks of twice as many symbols each round."""
+    n, k = len(t), 1
+    rank = t.astype(np.int64)
+    while True:
+        after = np.zeros(n, np.int64)
+        after[: max(0, n - k)] = rank[k:] + 1
+        key = rank * (int(rank.max()) + 2) + after
+        sa = np.argsort(key, kind="stable")
+        steps = np.cumsum(key[sa][1:] != key[sa][:-1])
+        if steps[-1] == n - 1:
+            return sa.astype(np.int32)
+        rank[sa[0]], rank[sa[1:]] = 0, steps
+        k *= 2
+
+
 def _sais(t: np.ndarray, sigma: int) -> np.ndarray:
     """Suffix array of ``t``, whose last symbol is its only 0."""
     n = len(t)
@@ -128,7 +147,9 @@ def _sais(t: np.ndarray, sigma: int) -> np.ndarray:
         rank = np.empty(n, np.int32)
         rank[order] = names
         r = rank[lms]
-        if top <= MAX_SYMBOLS:
+        if len(r) <= SHORT:
+            sub = _doubled(r)
+        elif top <= MAX_SYMBOLS:
             sub = _sais(r.astype(np.uint16), top)
         else:
             bits = ((top - 1).bit_length() + 1) // 2

@@ -3,19 +3,23 @@ import random
 import numpy as np
 import pytest
 
+from coverlace.llm import suffix
 from coverlace.llm.suffix import plcp_at_least, suffix_array
 
 
+@pytest.mark.parametrize("short", [0, suffix.SHORT])
 @pytest.mark.parametrize("alphabet", [b"a", b"ab", b"abc", bytes(range(256))])
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 17, 200, 3000])
-def test_suffix_array_equals_sorting(alphabet, n):
+def test_suffix_array_equals_sorting(alphabet, n, short, monkeypatch):
+    monkeypatch.setattr(suffix, "SHORT", short)
     rng = random.Random(n * 7 + len(alphabet))
     s = bytes(rng.choice(alphabet) for _ in range(n))
     s += s[: n // 2] * 2
     assert suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
 
 
-def test_large_alphabet_of_names_recurses():
+def test_large_alphabet_of_names_recurses(monkeypatch):
+    monkeypatch.setattr(suffix, "SHORT", 0)
     rng = random.Random(5)
     words = [bytes(rng.choice(b"abcdefghij") for _ in range(9)) for _ in range(3000)]
     s = b"".join(rng.choice(words) for _ in range(9000))
