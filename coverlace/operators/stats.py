@@ -27,16 +27,30 @@ def long_values(table: DataFrame, columns: list[str]) -> DataFrame:
     return table.select("node_id", F.explode(parts).alias("p")).select("node_id", "p.col", "p.x").where("x is not null and not isnan(x)")
 
 
+def _in_ranges(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """``rows`` with __range, the range of its group's values that its ``order`` value is in."""
+    cuts = rows.groupBy(*by).agg(F.percentile_approx(order, [k / RANGES for k in range(1, RANGES)], 1000).alias("__cuts"))
+    return rows.join(F.broadcast(cuts), by).withColumn("__range", F.size(F.filter(F.array_distinct("__cuts"), lambda c: c < F.col(order)))).drop("__cuts")
+
+
 def running(rows: DataFrame, by: list[str], order: str, what: str, name: str = "upto") -> DataFrame:
     """``rows`` with the sum of ``what`` over the rows of its group up to and including its own ``order`` value."""
-    cuts = rows.groupBy(*by).agg(F.percentile_approx(order, [k / RANGES for k in range(1, RANGES)], 1000).alias("__cuts"))
-    placed = rows.join(F.broadcast(cuts), by).withColumn("__range", F.size(F.filter(F.array_distinct("__cuts"), lambda c: c < F.col(order)))).drop("__cuts")
+    placed = _in_ranges(rows, by, order)
     totals = placed.groupBy(*by, "__range").agg(F.sum(what).alias("__sum"))
     before = totals.withColumn("__before", F.coalesce(F.sum("__sum").over(Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__sum")
     inside = F.sum(what).over(Window.partitionBy(*by, "__range").orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
     return placed.withColumn("__in", inside).join(F.broadcast(before), [*by, "__range"]).withColumn(name, F.col("__in") + F.col("__before")).drop("__in", "__before", "__range")
 
 
+def following(rows: DataFrame, by: list[str], order: str, name: str) -> DataFrame:
+    """``rows``, whose ``order`` values differ within a group, with the next greater one of the group."""
+    placed = _in_ranges(rows, by, order)
+    firsts = placed.groupBy(*by, "__range").agg(F.min(order).alias("__first"))
+    after = firsts.withColumn("__after", F.lead("__first").over(Window.partitionBy(*by).orderBy("__range"))).drop("__first")  # RANGES rows a group
+    inside = F.lead(order).over(Window.partitionBy(*by, "__range").orderBy(order))
+    return placed.withColumn("__in", inside).join(F.broadcast(after), [*by, "__range"]).withColumn(name, F.coalesce("__in", "__after")).drop("__in", "__after", "__range")
+
+
 def value_counts(values: DataFrame) -> DataFrame:
     """(col, x, k, upto): how many rows have a value, and how many have it or less."""
     return running(values.groupBy("col", "x").agg(F.count(F.lit(1)).alias("k")), ["col"], "x", "k")
@@ -105,18 +119,18 @@ def ks_statistics(values: DataFrame, labels: DataFrame, counts: DataFrame | None
     return at.groupBy("label", "col").agg(F.max(widest).alias("gap"), F.first("n").alias("n"), F.first("total").alias("total")).where("total > n").select("label", "col", (F.col("gap") * F.col("total") / (F.col("total") - F.col("n"))).alias("ks"))
 
 
-def wasserstein(values: DataFrame, labels: DataFrame) -> DataFrame:
-    """(label, col, w1): area between the two distribution functions; one row per value and label is made."""
+def wasserstein(values: DataFrame, labels: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """(label, col, w1): area between the two distribution functions; one row per value and label is made, and running
+    counts are taken in ranges of values."""
+    counts = value_counts(values) if counts is None else counts
     own = values.join(labels, "node_id").groupBy("col", "x", "label").agg(F.count(F.lit(1)).alias("k"))
-    totals = own.groupBy("col", "x").agg(F.sum("k").alias("all_k"))
-    names = own.select("label").distinct()
-    grid = totals.crossJoin(F.broadcast(names)).join(own, ["col", "x", "label"], "left").select("col", "label", "x", "all_k", F.coalesce("k", F.lit(0)).alias("k"))
-    w = Window.partitionBy("col", "label").orderBy("x")
-    whole = Window.partitionBy("col", "label")
-    step = grid.select("col", "label", F.sum("k").over(w).alias("c"), F.sum("all_k").over(w).alias("a"), F.sum("k").over(whole).alias("n"), F.sum("all_k").over(whole).alias("total"), (F.lead("x").over(w) - F.col("x")).alias("dx"))
-    step = step.where("n > 0 and total > n")
-    area = F.abs(F.col("c") / F.col("n") - (F.col("a") - F.col("c")) / (F.col("total") - F.col("n"))) * F.col("dx")
-    return step.groupBy("label", "col").agg(F.coalesce(F.sum(area), F.lit(0.0)).alias("w1"))
+    sizes = own.groupBy("col", "label").agg(F.sum("k").alias("n"))
+    totals = counts.groupBy("col").agg(F.sum("k").alias("total"))
+    steps = following(counts.select("col", "x", F.col("upto").alias("a")), ["col"], "x", "next_x")
+    grid = steps.join(F.broadcast(sizes), "col").join(own, ["col", "x", "label"], "left").select("col", "label", "x", "a", "next_x", "n", F.coalesce("k", F.lit(0)).alias("k"))  # columns by clusters
+    at = running(grid, ["col", "label"], "x", "k", "c").join(F.broadcast(totals), "col").where("total > n")
+    area = F.abs(F.col("c") / F.col("n") - (F.col("a") - F.col("c")) / (F.col("total") - F.col("n"))) * (F.col("next_x") - F.col("x"))
+    return at.groupBy("label", "col").agg(F.coalesce(F.sum(area), F.lit(0.0)).alias("w1"))
 
 
 def rank_sums(values: DataFrame, labels: DataFrame, counts: DataFrame | None = None) -> DataFrame:
@@ -237,7 +251,7 @@ def numeric_evidence(values: DataFrame, labels: DataFrame, neighbours: DataFrame
     counts = value_counts(values)
     c = F.col
     table = cluster_moments(values, labels).join(F.broadcast(column_profile(values).select("col", c("mean").alias("g_mean"), c("std1").alias("g_std"), c("mad").alias("g_mad"), "iqr")), "col")
-    table = table.join(ks_statistics(values, labels, counts), ["label", "col"]).join(wasserstein(values, labels), ["label", "col"]).join(rank_sums(values, labels, counts).select("label", "col", "u"), ["label", "col"])
+    table = table.join(ks_statistics(values, labels, counts), ["label", "col"]).join(wasserstein(values, labels, counts), ["label", "col"]).join(rank_sums(values, labels, counts).select("label", "col", "u"), ["label", "col"])
     table = table.join(F.broadcast(tie_terms(counts).select("col", "ties")), "col").join(F.broadcast(kruskal(values, labels)), "col", "left")
     e1 = (c("mean") - c("mean_rest")) / F.greatest(pooled_std(c("n"), c("std"), c("n_rest"), c("std_rest")), F.lit(EPS))
     e2 = (c("median") - c("median_rest")) / F.greatest(1.4826 * F.greatest("mad_rest", "g_mad"), F.lit(EPS))
