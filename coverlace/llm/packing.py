@@ -83,6 +83,23 @@ def cut(start: int, n: int, width: int, full: int, tail: np.ndarray) -> tuple[np
     return begins, ends, seq, offset
 
 
+def cuts(start: np.ndarray, n: np.ndarray, width: int, full: int, tail: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of many documents: each piece's document, global begin and end, sequence id and offset."""
+    first, last = start // width, (start + n - 1) // width
+    # Documents that end within the full windows are cut at multiples of the width alone; the few others one by one.
+    inside = start + n <= full * width
+    k = np.where(inside, last - first + 1, 0)
+    row = np.repeat(np.arange(len(n)), k)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k)
+    seq = first[row] + nth
+    begins, stops = np.maximum(seq * width, start[row]), np.minimum((seq + 1) * width, (start + n)[row])
+    parts = [(row, begins, stops, seq, begins - seq * width)]
+    for i in np.flatnonzero(~inside).tolist():
+        b, e, s, o = cut(int(start[i]), int(n[i]), width, full, tail)
+        parts.append((np.full(len(b), i), b, e, s, o))
+    return tuple(np.concatenate(c).astype(np.int64) for c in zip(*parts))
+
+
 def pack(docs: DataFrame, path: str, pattern: str, width: int = 1024, end_id: int = 0) -> DataFrame:
     """One row per piece of a document in a sequence of at most ``width`` ids."""
     spark = docs.sparkSession
@@ -95,21 +112,14 @@ def pack(docs: DataFrame, path: str, pattern: str, width: int = 1024, end_id: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[] for _ in range(7)]
-            for doc, start, n, blob in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "n", "ids"))):
-                ids = memoryview(np.frombuffer(blob, "<u2").astype("<u4").tobytes())
-                begins, stops, seq, offset = cut(start, n, width, full, tail)
-                k = len(begins)
-                cols[0] += [doc] * k
-                cols[1].append(begins - start)
-                cols[2].append(stops - begins)
-                cols[3] += [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip((begins - start).tolist(), (stops - start).tolist())]
-                cols[4].append(np.full(k, n))
-                cols[5].append(seq)
-                cols[6].append(offset)
-            flat = [cols[0], cols[3]]
-            rest = [np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64) for c in (cols[1], cols[2], cols[4], cols[5], cols[6])]
-            arrays = [pa.array(flat[0], pa.int64()), pa.array(rest[0]), pa.array(rest[1]), pa.array(flat[1], pa.int64()), *map(pa.array, rest[2:])]
+            start, n = (batch.column(c).to_numpy().astype(np.int64) for c in ("start", "n"))
+            row, begins, stops, seq, offset = cuts(start, n, width, full, tail)
+            ids = memoryview(np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u2").astype("<u4").tobytes())
+            # Where a piece's ids stand in the batch.
+            own, length = begins - start[row], stops - begins
+            at = 4 * ((np.cumsum(n) - n)[row] + own)
+            sums = [zlib.crc32(ids[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist())]
+            arrays = [batch.column("doc_id").take(pa.array(row)), pa.array(own), pa.array(length), pa.array(sums, pa.int64()), pa.array(n[row]), pa.array(seq), pa.array(offset)]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     placed = tokens.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n", "ids")

@@ -40,9 +40,17 @@ class PieceTable:
         if len(self.young) > self.bound:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        split = [self.find(t) for t in texts]
+        get, find, join = young.__getitem__, self.find, b"".join
+        out: list[bytes] = [b""] * len(texts)
+        left = []  # texts with matches that the younger table lacks
+        for k, t in enumerate(texts):
+            matches = find(t)
+            try:
+                out[k] = join(map(get, matches))
+            except KeyError:
+                left.append((k, matches))
         met: set[str] = set()
-        for matches in split:
+        for _, matches in left:
             met.update(matches)
         new = []
         for m in met.difference(young):
@@ -51,8 +59,8 @@ class PieceTable:
             else:
                 new.append(m)
         young.update(zip(new, self.encode([m.encode() for m in new])))
-        get = young.__getitem__
-        out = [b"".join(map(get, matches)) for matches in split]
+        for k, matches in left:
+            out[k] = join(map(get, matches))
         for m in new:
             if len(m) > self.longest:
                 del young[m]
