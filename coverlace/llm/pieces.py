@@ -12,10 +12,10 @@ from collections.abc import Callable, Iterator
 #: Characters of texts whose new matches are encoded together, about.
 TOGETHER = 4 << 20
 
-#: In texts of these characters alone, PLAIN matches as the byte-level pattern does: letters are the word characters
-#: but digits and the underscore, digits the only numbers, white space the ASCII white space.
+#: In texts of these characters alone, PLAIN matches as the byte-level pattern does: the letters are these ranges, digits the
+#: only numbers, white space the ASCII white space, and all others are punctuation.
 OTHER = re.compile("[^\t\n\x0b\x0c\r -~À-ÖØ-öø-ɏ]")
-PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[!-/:-@\[-`{-~]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 
 
 def splitter(pattern: str) -> Callable[[str], list[str]]:

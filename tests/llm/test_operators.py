@@ -123,6 +123,22 @@ def test_bpe_equals_the_library(spark, rows):
     assert order([(r.doc_id, r.text) for r in back.collect()]) == order([(i, t or "") for i, t in more])
 
 
+def test_plain_texts_are_split_alike():
+    import regex
+
+    from coverlace.llm import pieces
+
+    _, pattern = tokenizer("byte_bpe_multi_50k.tiktoken")
+    full, split = regex.compile(pattern).findall, pieces.splitter(pattern)
+    rng = random.Random(12)
+    letters = [chr(c) for c in range(1, 0x250)] + ["'s", "'ll", "'re", "'x", "  ", "\n\n", " '", "_"] * 20
+    for _ in range(4000):
+        t = "".join(rng.choice(letters) for _ in range(rng.randrange(12)))
+        t = t if rng.random() < 0.3 else pieces.OTHER.sub("", t)
+        assert split(t) == full(t)
+    assert all(split(c) == full(c) for c in map(chr, range(1, 0x3000)))
+
+
 def test_bpe_one_at_a_time_equals_in_step():
     path, _ = tokenizer("byte_bpe_50k.json")
     v = bpe.vocabulary(path)
