@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from coverlace.llm.common import releasing_batches
+from coverlace.llm.common import EMPTY
 from coverlace.llm.pieces import PieceTable, splitter
 
 NONE = np.int64(1) << 62
@@ -245,6 +245,9 @@ def piece_table(path: str, pattern: str, dtype: str) -> PieceTable:
     return PieceTable(splitter(pattern), lambda pieces: v.encode_many(pieces, dtype))
 
 
+EMPTY.append(piece_table.cache_clear)
+
+
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of ``docs``; ``path`` must exist on every executor."""
 
@@ -258,7 +261,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 text_sha.append(hashlib.sha256(v.decode(np.frombuffer(ids, "<u4"))).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(releasing_batches(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_column(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -270,7 +273,7 @@ def encode_column(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in table.texts(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(releasing_batches(run), "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode_column(encoded: DataFrame, path: str) -> DataFrame:
@@ -282,4 +285,4 @@ def decode_column(encoded: DataFrame, path: str) -> DataFrame:
             texts = [v.decode(np.array(ids or [], np.int64)).decode("utf-8", "replace") for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(releasing_batches(run), "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")

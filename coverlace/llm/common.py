@@ -77,8 +77,15 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(out.T).view("<u8").ravel(), dtype=np.uint64)
 
 
+#: What empties tables that operators keep in a worker between tasks of one stage.
+EMPTY: list[Callable[[], None]] = []
+
+
 def release() -> None:
-    """Give freed memory back to the system, as a worker serves many groups and stages."""
+    """Give memory back to the system, as a worker serves many groups and stages: other operators' tables and what is
+    freed."""
+    for empty in EMPTY:
+        empty()
     gc.collect()
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux":

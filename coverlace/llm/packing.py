@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coverlace.llm.bpe import piece_table
-from coverlace.llm.common import releasing_batches
+from coverlace.llm.common import EMPTY
 from coverlace.session import materialize
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -39,6 +39,9 @@ def _special(path: str) -> tuple[list[str], Callable[[str], bytes]]:
     return [x.content for x in t.get_added_tokens_decoder().values()], lambda s: np.array(t.encode(s, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
 
+EMPTY.append(_special.cache_clear)
+
+
 def encode_texts(texts: list[str | None], path: str, pattern: str) -> list[bytes]:
     """Ids of whole texts as little-endian 16-bit integers, as the tokenizer in ``path`` gives them."""
     added, own = _special(path)
@@ -60,7 +63,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, end_id: int = 0) -> DataFr
             at += int(n.sum())
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(starts), batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(blobs, pa.binary())], names=["part", "local_start", "doc_id", "n", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(releasing_batches(run), "part int, local_start long, doc_id long, n long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "part int, local_start long, doc_id long, n long, ids binary")
 
 
 def window_bounds(total: int, width: int) -> tuple[int, np.ndarray]:
@@ -123,4 +126,4 @@ def pack(docs: DataFrame, path: str, pattern: str, width: int = 1024, end_id: in
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     placed = tokens.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n", "ids")
-    return placed.mapInArrow(releasing_batches(run), PIECES)
+    return placed.mapInArrow(run, PIECES)
