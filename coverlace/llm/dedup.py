@@ -6,10 +6,10 @@ alone, so equal strings have equal values. A document is a sequence of runs of s
 over shards of documents and buckets of values, all in one plan (the shuffled texts are reused):
 
 1. each shard sends its distinct values to their buckets;
-2. each bucket answers which values stand in two documents or more, and which in very many;
+2. each bucket answers which values stand in two documents or more, and which have many runs or very many;
 3. each shard sends the runs with such values, as one string each (identical strings once, with the least id); runs of a
-   value that stands in very many documents are sent start by start, by the hash of the string itself, so that no
-   bucket gets a frequent value whole;
+   value that has many are cut where the value of longer grams changes and go by that, and runs of a value that has very
+   many are sent start by start, by the hash of the string itself, so that no bucket gets a frequent value whole;
 4. each bucket joins identical strings, sorts the suffixes of the others by induced sorting, and finds by permuted
    common prefixes which starts share ``length`` bytes; it answers for each start whether a smaller id has it;
 5. each shard marks what the starts cover and digests or cuts its documents.
@@ -36,43 +36,52 @@ from coverlace.llm.suffix import plcp_at_least, suffix_array
 LENGTH = 50
 #: Bytes of the grams whose least hash is a string's value.
 GRAM = 20
+#: The same for runs of a value that has many: longer grams part what shares a short one.
+FINE = 40
 #: Text bytes of one shard, about.
 SHARD_BYTES = 4 << 20
 #: Bytes hashed at a time.
 BLOCK = 1 << 18
 #: Starts of one run at most (longer runs, as in periodic text, are several).
 RUN = 128
-#: A value that stands in more documents of one shard, or in more shards, is sent start by start.
-MANY_DOCUMENTS, MANY_SHARDS = 256, 1024
+#: A value with more runs in all shards is cut by longer grams; one with more than the second, start by start. Runs, not
+#: shards, are what a bucket has to bear: numbers of shards would make ever more values hot as the input grows.
+MANY, VERY_MANY = 1 << 15, 1 << 17
 #: Bytes that are sorted in one suffix array, about.
 SORT_BYTES = 4 << 20
 LAST = np.iinfo(np.int64).max
 
 _TABLE = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, dtype=np.uint64)
 _FACTOR = 0x9E3779B97F4A7C15
-_POWER = {n: np.uint64(pow(_FACTOR, n, 1 << 64)) for n in (1, 2, 4, 8)}
+_POWER = {n: np.uint64(pow(_FACTOR, n, 1 << 64)) for n in (1, 2, 4, 8, 16, 32)}
 _S32, _MIX = np.uint64(32), np.uint64(0xD6E8FEB86659FD93)
 
 
-def gram_hashes(raw: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM bytes from each position."""
-    h1 = _TABLE[raw]
-    h2 = h1[:-1] * _POWER[1] + h1[1:]
-    h4 = h2[:-2] * _POWER[2] + h2[2:]
-    h8 = h4[:-4] * _POWER[4] + h4[4:]
-    h16 = h8[:-8] * _POWER[8] + h8[8:]
-    n = len(raw) - GRAM + 1
-    h = h16[:n] * _POWER[4] + h4[16 : 16 + n]
+def gram_hashes(raw: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """Hash of the ``gram`` bytes from each position."""
+    part, width, h, done = _TABLE[raw], 1, None, 0
+    while True:
+        if gram & width:
+            if h is None:
+                h = part
+            else:
+                n = len(raw) - done - width + 1
+                h = h[:n] * _POWER[width] + part[done : done + n]
+            done += width
+        if done == gram:
+            break
+        part = part[:-width] * _POWER[width] + part[width:]
+        width *= 2
     h ^= h >> _S32
     h *= _MIX
     h ^= h >> _S32
     return h
 
 
-def string_values(raw: np.ndarray) -> np.ndarray:
-    """Least gram hash within the LENGTH bytes from each position, its upper 48 bits."""
-    h = gram_hashes(raw)
-    span = LENGTH - GRAM + 1
+def string_values(raw: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """Least hash of the grams within the LENGTH bytes from each position, its upper 48 bits."""
+    h = gram_hashes(raw, gram)
+    span = LENGTH - gram + 1
     width = 1
     while 2 * width <= span:
         h = np.minimum(h[:-width], h[width:])
@@ -174,9 +183,10 @@ def _send_values(buckets: int) -> Callable[[pa.Table], pa.Table]:
         value, doc = s.inverse[order], s.doc[order]
         new = np.concatenate((np.ones(min(len(doc), 1), bool), (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])))
         documents = np.bincount(value[new], minlength=len(s.distinct))
+        number = np.bincount(value, minlength=len(s.distinct)).astype("<u4")
         # Documents of one id count as one here only if they are one row; a false candidate costs work, not exactness.
         shard = t["shard"][0].as_py()
-        return _rows([(b, shard, 0, pack6(s.distinct[k]), _bits(documents[k] > 1), _bits(documents[k] > MANY_DOCUMENTS)) for b, k in s.buckets()])
+        return _rows([(b, shard, 0, pack6(s.distinct[k]), _bits(documents[k] > 1), number[k].tobytes()) for b, k in s.buckets()])
 
     return run
 
@@ -185,17 +195,20 @@ def _answer_values(t: pa.Table) -> pa.Table:
     blobs = [unpack6(x) for x in t["a"].to_pylist()]
     n = [len(x) for x in blobs]
     multi = np.concatenate([_unbits(x, k) for x, k in zip(t["b"].to_pylist(), n)])
-    many = np.concatenate([_unbits(x, k) for x, k in zip(t["c"].to_pylist(), n)])
+    number = np.concatenate([np.frombuffer(x, "<u4") for x in t["c"].to_pylist()])
     _, inverse, shards = np.unique(np.concatenate(blobs), return_inverse=True, return_counts=True)
     shared = (shards > 1) | (np.bincount(inverse, multi) > 0)
-    hot = (shards > MANY_SHARDS) | (np.bincount(inverse, many) > 0)
+    load = np.bincount(inverse, number)
+    # Of two marks, the first alone says whole runs, the second alone cut runs, both say start by start.
+    hot = shared & (load > MANY)
+    shared &= ~hot | (load > VERY_MANY)
     shared, hot = shared[inverse], hot[inverse]
     ends = np.cumsum(n)
     return _rows([(b, s, 1, _bits(shared[e - k : e]), _bits(hot[e - k : e]), None) for b, s, k, e in zip(t["bucket"].to_pylist(), t["shard"].to_pylist(), n, ends.tolist())])
 
 
 def _wanted(s: Shard, answers: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Marks of the shard's runs: shared, and to be sent start by start."""
+    """The two marks of the shard's runs."""
     shared, hot = np.zeros(len(s.distinct), bool), np.zeros(len(s.distinct), bool)
     told = {b: (x, y) for b, x, y in answers}
     for b, k in s.buckets():
@@ -204,6 +217,23 @@ def _wanted(s: Shard, answers: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarr
     return shared[s.inverse], hot[s.inverse]
 
 
+def _cut(s: Shard, pick: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
+    """For each of these runs, (offset, starts, value) of its pieces whose starts have one value of FINE bytes."""
+    out: dict[int, list[tuple[int, int, int]]] = {r: [] for r in pick.tolist()}
+    size = s.count[pick] + LENGTH - 1
+    for own in np.split(np.arange(len(pick)), np.flatnonzero(np.diff(np.cumsum(size) // BLOCK)) + 1) if len(pick) else []:
+        p = pick[own]
+        raw = np.frombuffer(b"".join([s.datas[d][a : a + n] for d, a, n in zip(s.doc[p].tolist(), s.start[p].tolist(), size[own].tolist())]), np.uint8)
+        v = string_values(raw, FINE)
+        n = s.count[p]
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        v = v[np.repeat(np.cumsum(size[own]) - size[own], n) + nth]
+        begin = np.flatnonzero((nth == 0) | np.concatenate(([True], v[1:] != v[:-1])))
+        for r, o, m, x in zip(np.repeat(p, n)[begin].tolist(), nth[begin].tolist(), np.diff(np.append(begin, len(v))).tolist(), v[begin].tolist()):
+            out[r].append((o, m, x))
+    return out
+
+
 def _strings(s: Shard, shared: np.ndarray, hot: np.ndarray, buckets: int):
     """The strings to send, each once: lists by bucket of strings, least ids, and (run, first start) pairs to strings."""
     from xxhash import xxh64_intdigest
@@ -213,17 +243,18 @@ def _strings(s: Shard, shared: np.ndarray, hot: np.ndarray, buckets: int):
     least: list[int] = []
     bucket: list[int] = []
     string_of, run_of, offset_of = [], [], []
-    pick = np.flatnonzero(shared)
+    cut = _cut(s, np.flatnonzero(hot & ~shared))
+    pick = np.flatnonzero(shared | hot)
     for r, d, a, n, v, h in zip(pick.tolist(), s.doc[pick].tolist(), s.start[pick].tolist(), s.count[pick].tolist(), s.value[pick].tolist(), hot[pick].tolist()):
         data = s.datas[d]
-        for o in range(n) if h else (0,):
-            text = data[a + o : a + o + LENGTH] if h else data[a : a + n + LENGTH - 1]
+        for o, m, x in (cut[r] if r in cut else [(o, 1, None) for o in range(n)]) if h else ((0, n, v),):
+            text = data[a + o : a + o + m + LENGTH - 1]
             k = seen.get(text)
             if k is None:
                 k = seen[text] = len(strings)
                 strings.append(text)
                 least.append(s.rank[d])
-                bucket.append((xxh64_intdigest(text) if h else v) % buckets)
+                bucket.append((xxh64_intdigest(text) if x is None else x) % buckets)
             string_of.append(k)
             run_of.append(r)
             offset_of.append(o)
@@ -253,8 +284,9 @@ def _send_strings(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return run
 
 
-def earlier_starts(strings: list[bytes], least: np.ndarray) -> list[np.ndarray]:
-    """For each distinct string and each of its starts, the least id of all strings that hold these LENGTH bytes."""
+def earlier_starts(strings: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each distinct string and each of its starts, the least id of all strings that hold these LENGTH bytes; where the
+    strings' starts begin in this, and their numbers."""
     n = len(strings)
     size = np.fromiter(map(len, strings), np.int64, n)
     starts = size - LENGTH + 1
@@ -285,7 +317,7 @@ def earlier_starts(strings: list[bytes], least: np.ndarray) -> list[np.ndarray]:
             heads_of = np.flatnonzero(~with_previous[sa])
             found = np.minimum.reduceat(out[place[sa]], heads_of)
             out[place[sa]] = np.repeat(found, np.diff(np.append(heads_of, len(sa))))
-    return np.split(out, first[1:]) if n else []
+    return out, first, starts
 
 
 def _answer_strings(t: pa.Table) -> pa.Table:
@@ -311,10 +343,11 @@ def _answer_strings(t: pa.Table) -> pa.Table:
             elif i < least[k]:
                 least[k] = i
             own.append(k)
-        told.append((bucket, shard, own, ids))
-    by_start = earlier_starts(strings, np.array(least, np.int64))
+        told.append((bucket, shard, np.array(own, np.int64), ids))
+    by_start, first, starts = earlier_starts(strings, np.array(least, np.int64))
     for bucket, shard, own, ids in told:
-        bits = np.concatenate([by_start[k] for k in own]) < np.repeat(ids, [len(by_start[k]) for k in own])
+        m = starts[own]
+        bits = by_start[np.repeat(first[own] - (np.cumsum(m) - m), m) + np.arange(m.sum())] < np.repeat(ids, m)
         rows.append((bucket, shard, 4, pa.compress(_bits(bits), codec="zstd", asbytes=True), None, None))
     return _rows(rows)
 
