@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from coverlace.session import checkpoint
 from coverlace.sources.tables import node_degrees
 
 
@@ -15,13 +16,18 @@ def weight_percentiles(edges: DataFrame, n: int, shares: tuple[float, ...] = (0.
 
     Only the order statistics that fall among the edges are looked up.
     """
+    return counted_percentiles(edges.groupBy("w").agg(F.count(F.lit(1)).alias("k")), n, shares)  # weights are ratios of small counts
+
+
+def counted_percentiles(sizes: DataFrame, n: int, shares: tuple[float, ...] = (0.25, 0.5, 0.95)) -> dict[str, float]:
+    """The same from how many edges have each weight (w, k)."""
     pairs = n * (n - 1) // 2
-    m = edges.count()
+    sizes = checkpoint(sizes)
+    m = int(sizes.agg(F.sum("k")).first()[0] or 0)
     zeros = pairs - m
     wanted = sorted({k for s in shares for k in (math.floor(s * (pairs - 1)), math.ceil(s * (pairs - 1))) if k >= zeros}) if pairs else []
     value: dict[int, float] = {}
     if wanted:
-        sizes = edges.groupBy("w").agg(F.count(F.lit(1)).alias("k"))  # weights are ratios of small counts
         upto = sizes.withColumn("upto", F.sum("k").over(Window.partitionBy(F.lit(0)).orderBy("w")))
         for k in wanted:
             value[k] = upto.where(F.col("upto") > k - zeros).agg(F.min("w")).first()[0]
@@ -35,7 +41,12 @@ def weight_percentiles(edges: DataFrame, n: int, shares: tuple[float, ...] = (0.
 
 def graph_metrics(nodes: DataFrame, edges: DataFrame, n: int, sizes: DataFrame) -> DataFrame:
     """One row: nodes, edges, density, mean degree, component counts and shares."""
-    m = edges.agg(F.count(F.lit(1)).alias("n_edges"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("total_weight"))
+    return counted_metrics(edges.groupBy("w").agg(F.count(F.lit(1)).alias("k")), n, sizes)
+
+
+def counted_metrics(weights: DataFrame, n: int, sizes: DataFrame) -> DataFrame:
+    """The same from how many edges have each weight (w, k)."""
+    m = weights.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n_edges"))
     c = sizes.agg(F.count(F.lit(1)).alias("component_count"), F.max("size").alias("giant"), F.count_if(F.col("size") == 1).alias("singletons"))
     pairs = float(n * (n - 1) / 2) or 1.0
     return m.crossJoin(F.broadcast(c)).select(  # one row each
@@ -54,6 +65,11 @@ def hubs(nodes: DataFrame, edges: DataFrame, labels: DataFrame, top: int = 3) ->
 def singletons_at(nodes: DataFrame, edges: DataFrame, thresholds: list[float]) -> DataFrame:
     """(threshold, singletons): nodes whose heaviest edge is not above the threshold."""
     ends = edges.select(F.col("i").alias("node_id"), "w").unionByName(edges.select(F.col("j").alias("node_id"), "w")).groupBy("node_id").agg(F.max("w").alias("top"))
+    return tops_at(nodes, ends, thresholds)
+
+
+def tops_at(nodes: DataFrame, ends: DataFrame, thresholds: list[float]) -> DataFrame:
+    """The same from the weight ``top`` of the heaviest edge of nodes that have any."""
     top = nodes.select("node_id").join(ends, "node_id", "left")
     row = top.agg(*[F.count_if(F.coalesce("top", F.lit(-1.0)) <= t).alias(f"t{k}") for k, t in enumerate(thresholds)])
     return row.select(F.explode(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"t{k}").alias("singletons")) for k, t in enumerate(thresholds)])).alias("x")).select("x.*")
