@@ -132,3 +132,18 @@ def test_sparsifier_of_sets(spark, monkeypatch):
     got = {(r.i, r.j): r.w for r in clustering.set_sparsify(g, 1.0, sketch_dim=2000, samples=q).collect()}
     assert set(got) <= set(pairs) and sum(got.values()) == pytest.approx(sum(pairs.values()), rel=0.1)
     assert all(abs(got.get(k, 0.0) - w) < 6 * w / (q * share[k] / total / 1.3) ** 0.5 for k, w in pairs.items())
+
+
+def test_wasserstein_makes_no_row_per_value_and_cluster(spark, monkeypatch):
+    monkeypatch.setattr(stats, "RANGES", 5)
+    rng = random.Random(2)
+    rows = [(n, c, float(rng.randrange(12)) if c == "t" else rng.gauss(0, 1)) for n in range(90) for c in ("t", "u")]
+    values = spark.createDataFrame(rows, "node_id long, col string, x double").repartition(3)
+    labels = spark.range(90).select(F.col("id").alias("node_id"), (F.col("id") % 7).alias("label"))
+    monkeypatch.setattr(stats, "following", None)  # rows were made with it for every value and cluster
+    got = {(r.label, r.col): r.w1 for r in stats.wasserstein(values, labels).collect()}
+    for label, col in itertools.product(range(7), ("t", "u")):
+        x = sorted({v for _, c, v in rows if c == col})
+        mine, rest = ([v for n, c, v in rows if c == col and (n % 7 == label) == own] for own in (True, False))
+        area = sum(abs(sum(v <= a for v in mine) / len(mine) - sum(v <= a for v in rest) / len(rest)) * (b - a) for a, b in zip(x, x[1:]))
+        assert got[label, col] == pytest.approx(area)
