@@ -147,3 +147,11 @@ def test_wasserstein_makes_no_row_per_value_and_cluster(spark, monkeypatch):
         mine, rest = ([v for n, c, v in rows if c == col and (n % 7 == label) == own] for own in (True, False))
         area = sum(abs(sum(v <= a for v in mine) / len(mine) - sum(v <= a for v in rest) / len(rest)) * (b - a) for a, b in zip(x, x[1:]))
         assert got[label, col] == pytest.approx(area)
+
+
+def test_minhash_of_sets_equals_that_of_nodes(spark):
+    own, balls = some_balls(spark)
+    g = graph.CollapsedGraph.of(balls, 16)
+    key = lambda df: sorted((r.i, r.j, r.w) for r in df.collect())
+    assert key(g.edges()) == key(graph.estimated_graph(graph.signatures(balls, 16), 16))
+    assert g.sets.count() <= len({frozenset(x) for x in own.values()})
